@@ -23,9 +23,48 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, documents(spark, sf_dir))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import base_failed, judge
+
+    found = judge(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(documents(spark, sf_dir))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 3)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
+v AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+      FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT l) AS n_distinct
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+      WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(n_lines - n_distinct, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words,
+             len(list_filter(w, lambda x: regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}'))) AS n_capitals
+      FROM w LEFT JOIN v USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words
+            OR 100 * n_capitals > 50 * n_words OR 100 * n_dup_lines > 50 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+FROM m
+"""
+
+
 def queries() -> dict:
-    return {"op2_token_files": op2_token_files, "op10_packing": op10_packing}
+    return {"op2_token_files": op2_token_files, "op4_pii": op4_pii, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": OP9_SQL}
