@@ -129,3 +129,35 @@ def vocab_bytes(path: str) -> int:
     from tokenizers import Tokenizer
 
     return 2 if Tokenizer.from_file(path).get_vocab_size(True) <= 1 << 16 else 4
+
+
+def planes(a: np.ndarray) -> bytes:
+    """Bytes by significance, so that the zeros of small numbers stand together and compress."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def unplanes(raw: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    flat = np.frombuffer(raw, dtype=np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(flat.T).view(dtype).reshape(-1)
+
+
+class WordHash(dict):
+    """Hash of each word, the lowest bit 0; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 2_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word) & ~1
+        return h
+
+
+WORD_HASHES = WordHash()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of a text's words, in order."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(WORD_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import WORD_HASHES, Scratch, planes, text_or_empty, unplanes
 
 BLOCK = 1_500_000
 BUCKET_KEYS = 1_000_000
@@ -45,30 +45,6 @@ _COUNTED = "block long, row array<long>, doc_id array<long>, held array<boolean>
 _SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def planes(a: np.ndarray) -> bytes:
-    """Bytes by significance, so that the zeros of small numbers stand together and compress."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-
-
-def unplanes(raw: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    flat = np.frombuffer(raw, dtype=np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(flat.T).view(dtype).reshape(-1)
-
-
-class WordHash(dict):
-    """Hash of each word, the lowest bit 0; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 2_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word) & ~1
-        return h
-
-
-_HASHES = WordHash()
 _END = b"\n"  # no word holds it
 
 
@@ -88,11 +64,11 @@ def pieces(text: str, size: int):
     """Hashes of the words and the end, each piece led by its context; the first context is the end."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     words.append(_END)
-    end = _HASHES[_END]
+    end = WORD_HASHES[_END]
     for at in range(0, len(words), size):
         part = words[at : at + size]
-        hashes = np.fromiter(map(_HASHES.__getitem__, part), dtype=np.uint64, count=len(part))
-        yield np.concatenate([np.array([_HASHES[words[at - 1]] if at else end], dtype=np.uint64), hashes])
+        hashes = np.fromiter(map(WORD_HASHES.__getitem__, part), dtype=np.uint64, count=len(part))
+        yield np.concatenate([np.array([WORD_HASHES[words[at - 1]] if at else end], dtype=np.uint64), hashes])
 
 
 def to_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:

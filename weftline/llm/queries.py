@@ -42,6 +42,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark, documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_groups
+
+    return near_groups(spark, documents(spark, sf_dir))[0]
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -69,7 +75,7 @@ FROM m
 
 
 def queries() -> dict:
-    return {"op2_token_files": op2_token_files, "op4_pii": op4_pii, "op6_lm_scoring": op6_lm_scoring, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
+    return {"op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op6_lm_scoring": op6_lm_scoring, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
