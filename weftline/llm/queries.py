@@ -48,6 +48,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark, documents(spark, sf_dir))[0]
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(spark, documents(spark, sf_dir)).select("doc_id", "text")
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -75,7 +81,7 @@ FROM m
 
 
 def queries() -> dict:
-    return {"op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op6_lm_scoring": op6_lm_scoring, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
+    return {"op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op6_lm_scoring": op6_lm_scoring, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
