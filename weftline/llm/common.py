@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -87,6 +88,7 @@ class Encoder:
     def __init__(self, path: str, room: int = 1_500_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cluster's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
@@ -97,31 +99,54 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _encode_lines(self, chunks: list[str]) -> list[bytes]:
-        """Chunks joined by line ends, each of which is a pre-token and so an id of its own."""
-        ids = np.array(self.tokenizer.encode("\n".join(chunks), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(ids == self.line_end).tolist()
-        if len(ends) != len(chunks) - 1:  # a chunk holds the id of a line end: not in byte-level vocabularies
-            return self._encode(chunks)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+    def _encode_lines(self, parts: list[list[str]]) -> list[bytes]:
+        """Each part's chunks joined by line ends, every one of which is a pre-token and so an id of its own."""
+        out = []
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_end).tolist()
+            if len(ends) != len(part) - 1:  # a chunk holds the id of a line end: not in byte-level vocabularies
+                out += self._encode(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.room:
             self.known.clear()
-        known, chunks = self.known, []
+        known, held, missing = self.known, [], set()
         for text in texts:
-            odd = _ODD_SPACE.search(text)
-            chunks.append(None if odd else _CHUNK.findall(text))
-        missing = list({c for found in chunks if found for c in found if c not in known})
+            chunks = [] if _ODD_SPACE.search(text) else _CHUNK.findall(text)
+            ids = list(map(known.get, chunks))
+            if None in ids:
+                missing.update([c for c, x in zip(chunks, ids, strict=True) if x is None])
+                held.append((text, chunks, ids))
+            else:
+                held.append((text, None, b"".join(ids)) if chunks else (text, [], None))
         spaces = [c for c in missing if c.isspace()]
         known.update(zip(spaces, self._encode(spaces), strict=True))
-        missing = [c for c in missing if c not in known]
-        for at in range(0, len(missing), 512):
-            part = missing[at : at + 512]
-            known.update(zip(part, self._encode_lines(part), strict=True))
-        get = known.__getitem__
-        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks, strict=True)]
+        words = list(missing.difference(spaces))
+        known.update(zip(words, self._encode_lines([words[at : at + 128] for at in range(0, len(words), 128)]), strict=True))
+        out = []
+        for text, chunks, ids in held:
+            if chunks is None:
+                out.append(ids)
+            elif ids is None:  # empty, or with odd spaces
+                out.append(self._encode([text])[0] if text else b"")
+            else:
+                out.append(b"".join([known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]))
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: what it has learnt about chunks serves its later tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def vocab_bytes(path: str) -> int:

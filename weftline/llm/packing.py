@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Encoder, Scratch, prefix_sums, text_or_empty, tokenizer_path, vocab_bytes
+from .common import Scratch, encoder_of, prefix_sums, text_or_empty, tokenizer_path, vocab_bytes
 
 LENGTH = 2048
 END_ID = 1
@@ -33,7 +33,7 @@ def encode(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     """doc_id, its partition, tokens of the partition before it, its tokens, ids of `width` bytes each."""
 
     def run(batches):
-        encoder, part, at = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder_of(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Encoder, Scratch, prefix_sums, text_or_empty, tokenizer_path, vocab_bytes
+from .common import Scratch, encoder_of, prefix_sums, text_or_empty, tokenizer_path, vocab_bytes
 
 LENGTH = 2048
 ROWS = 128
@@ -107,7 +107,7 @@ def write_sequences(spark: SparkSession, docs: DataFrame, path: str | None = Non
     folder = out or scratch.path("files")
 
     def run(batches):
-        encoder, end = Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], dtype="<u4").tobytes()
         uri, file, at, where, first = f"{folder}/{uuid.uuid4().hex}", None, 0, [[], [], []], None
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
