@@ -66,6 +66,12 @@ def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -93,7 +99,7 @@ FROM m
 
 
 def queries() -> dict:
-    return {"op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_span_dedup": op5_span_dedup, "op6_lm_scoring": op6_lm_scoring, "op7_weak_quality": op7_weak_quality, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
+    return {"op1_decontaminate": op1_decontaminate, "op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_span_dedup": op5_span_dedup, "op6_lm_scoring": op6_lm_scoring, "op7_weak_quality": op7_weak_quality, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
