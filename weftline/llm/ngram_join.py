@@ -4,15 +4,15 @@ Texts become sets of five-word shingles (a text of one to four words is one shin
 from there on only classes are compared. Signatures are cut into bands, their number and rows chosen for the
 target recall at the threshold; classes that share a band hash meet in a bucket.
 
-A bucket is not expanded into its pairs. Each member is verified on the full sets against the bucket's leader;
-only members that fail are verified against the others of the bucket, so no link that joins two groups is lost
-while a large group of near copies costs as many comparisons as it has members. Verified links give connected
-groups (minimum labels with pointer jumping, a table a round). Within a group the number of links of each
-class is counted on the full sets in blocks of about BLOCK classes a side, inside the tasks, without a row per
-pair; blocks are dealt by hash, so a huge group spreads over many tasks.
+A bucket is not expanded into its pairs. Its members are chained to its leader, and the chains give candidate
+groups (minimum labels with pointer jumping, a table a round). Inside a candidate group all classes are verified
+against each other on their full sets, in blocks of about BLOCK classes a side, dealt by hash so that a huge
+group spreads over many tasks. A task hands on the number of links of each class and a spanning forest of the
+links, never a row per pair; so copies cost nothing, no link between different texts is lost, and the rows stay
+in proportion to the documents. The forests' connected groups are the result.
 
 Defined results: null text counts as empty; a text without words is linked to nothing; copies are links of
-each other; ties between leaders go to the smaller key and the class id is the smallest doc_id; repeated
+each other; the leader of a bucket is its smallest key and the class id is the smallest doc_id; repeated
 doc_ids give a row each; an empty table gives no rows; other columns are ignored by near_groups() and kept by
 drop_near_copies().
 """
@@ -33,6 +33,7 @@ N = 5
 SIMILARITY = 0.8
 RECALL = 0.998
 BLOCK = 400
+BLOCK_BYTES = 16_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
@@ -120,28 +121,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return some.mapInArrow(run, "key binary, shingles binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b, whether the full sets reach the similarity."""
-
-    def run(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                if len(short) < similarity * len(long):
-                    good.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                both = int((long[at] == short).sum())
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
-
-    one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
-
-
 def groups(edges: DataFrame, scratch: Scratch, name: str = "labels") -> DataFrame:
     """node, label: the smallest node of its connected group."""
     both = scratch.write(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
@@ -164,8 +143,9 @@ def groups(edges: DataFrame, scratch: Scratch, name: str = "labels") -> DataFram
 
 
 def _links_in_block(table: pa.Table, similarity: float) -> pa.Table:
-    """For the classes of one block, their links (weighted by copies) to those of the other."""
-    keys, left, right, copies = (table.column(c).to_pylist() for c in ("key", "left", "right", "copies"))
+    """For the classes of two blocks: how many documents each is linked to in the other, and links enough to
+    connect what is connected (a spanning forest, at most one link a class)."""
+    keys = table.column("key").to_pylist()
     sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
     sizes = np.array([len(x) for x in sets], dtype=np.float64)
     order, where = np.unique(np.concatenate(sets), return_inverse=True)
@@ -173,7 +153,7 @@ def _links_in_block(table: pa.Table, similarity: float) -> pa.Table:
     by = np.argsort(where, kind="stable")
     where, row = where[by], row[by]
     both = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    width = 4096
+    width = min(4096, len(order))
     cuts = np.searchsorted(where, np.arange(0, len(order) + width, width))
     for low, a, b in zip(range(0, len(order), width), cuts, cuts[1:], strict=False):
         some = np.zeros((len(sets), width), dtype=np.float32)
@@ -181,14 +161,25 @@ def _links_in_block(table: pa.Table, similarity: float) -> pa.Table:
         both += some @ some.T
     linked = both >= similarity * (sizes[:, None] + sizes[None, :] - both)
     np.fill_diagonal(linked, False)
-    left, right, weight = np.array(left), np.array(right), np.array(copies, dtype=np.int64)
     block = np.array(table.column("block").to_pylist())
-    if left[0] != right[0]:  # pairs across two blocks only; pairs within one are counted where left is right
+    if table.column("left")[0] != table.column("right")[0]:  # pairs within a block are counted where left is right
         linked &= block[:, None] != block[None, :]
-    return pa.table([pa.array(keys, pa.binary()), pa.array((linked * weight[None, :]).sum(axis=1))], names=["key", "n"])
-
-
-def near_groups(spark: SparkSession, docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
+    counts = linked @ np.array(table.column("copies").to_pylist(), dtype=np.int64)
+    ones, others, fresh = [], [], np.ones(len(sets), dtype=bool)
+    for root in range(len(sets)):
+        stack = [root] if fresh[root] else []
+        fresh[root] = False
+        while stack:
+            one = stack.pop()
+            new = np.flatnonzero(linked[one] & fresh)
+            fresh[new] = False
+            ones += [keys[one]] * len(new)
+            others += [keys[k] for k in new]
+            stack += new.tolist()
+    return pa.table([pa.array(keys + ones, pa.binary()), pa.array([None] * len(keys) + others, pa.binary()), pa.array([*counts.tolist(), *[0] * len(ones)], pa.int64())], names=["key", "other", "n"])
+
+
+def near_groups(spark: SparkSession, docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """doc_id, class_id (smallest doc_id of its group), n_links (other documents of that similarity); and the
     verified pairs of classes (a, b: keys) that hold the groups together."""
     bands, rows = choose_bands(similarity, recall)
@@ -199,38 +190,30 @@ def near_groups(spark: SparkSession, docs: DataFrame, n: int = N, similarity: fl
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     wanted = scratch.write(classes.join(met.select("key").distinct(), "key", "left_semi"), "wanted")
     sets = scratch.write(sets_of(docs, wanted, n), "sets")
-    star = met.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    star = scratch.write(verified(star, sets, similarity), "star")
-    # members that are not like their leader: against all others of the bucket
-    apart = met.join(star.where("not linked").select(F.col("a").alias("leader"), F.col("b").alias("key")), ["leader", "key"]).select("bucket", F.col("key").alias("one"))
-    rest = apart.join(met.where("key <> leader").select("bucket", "key"), "bucket").where("one <> key")
-    rest = rest.select(F.least("one", "key").alias("a"), F.greatest("one", "key").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = scratch.write(verified(rest, sets, similarity), "rest")
-    links = scratch.write(star.union(rest).where("linked").select("a", "b"), "links")
-    labels = groups(links, scratch)
-    members = labels.withColumnRenamed("node", "key").join(wanted, "key")
-    tops = members.groupBy("label").agg(F.min("rep").alias("class_id"), F.count("*").alias("m"))
-    members = scratch.write(members.join(tops, "label"), "members")
-    result = members.select("key", "class_id", F.lit(0).cast("long").alias("links"))
-    if count_links:
-        sides = F.ceil(F.col("m") / BLOCK).cast("int")
-        placed = members.join(sets, "key").withColumn("sides", sides).withColumn("block", F.pmod(F.xxhash64("key"), F.col("sides")).cast("int"))
-        dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        dealt = dealt.select("label", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "key", "copies", "shingles")
-        counted = dealt.groupBy("label", "left", "right").applyInArrow(lambda t: _links_in_block(t, similarity), "key binary, n long")
-        counted = counted.groupBy("key").agg(F.sum("n").alias("links"))
-        result = members.select("key", "class_id").join(counted, "key")
+    edges = met.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    members = groups(edges, scratch, "met").withColumnRenamed("node", "key").join(wanted, "key").join(sets, "key")
+    members = scratch.write(members.withColumn("size", F.octet_length("shingles")), "members")
+    sides = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
+    placed = members.join(members.groupBy("label").agg(sides.alias("sides")), "label").withColumn("block", F.pmod(F.xxhash64("key"), F.col("sides")).cast("int"))
+    dealt = placed.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    dealt = dealt.select("label", F.least("block", "to").alias("left"), F.greatest("block", "to").alias("right"), "block", "key", "copies", "shingles")
+    compared = scratch.write(dealt.groupBy("label", "left", "right").applyInArrow(lambda t: _links_in_block(t, similarity), "key binary, other binary, n long"), "compared")
+    links = scratch.write(compared.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), "links")
+    labels = groups(links, scratch).withColumnRenamed("node", "key").join(wanted, "key")
+    tops = labels.groupBy("label").agg(F.min("rep").alias("class_id"))
+    counted = compared.where("other is null").groupBy("key").agg(F.sum("n").alias("links"))
+    result = labels.join(tops, "label").select("key", "class_id").join(counted, "key")
     grouped = classes.select("key", "copies", F.col("rep").alias("own")).join(result, "key", "left")
     grouped = grouped.select("key", F.coalesce("class_id", "own").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     found = signed.select("doc_id", "key").join(grouped, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     found = scratch.write(found, "found")
-    scratch.drop("signed", "met", "wanted", "sets", "star", "rest", "members")
+    scratch.drop("signed", "met", "wanted", "sets", "members", "compared")
     return found, links
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The rows of docs, all columns, one document of each group: the one with the smallest doc_id."""
-    found, _ = near_groups(spark, docs, n, similarity, recall, count_links=False)
+    found, _ = near_groups(spark, docs, n, similarity, recall)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("m"))
     keep = keep.select(F.col("doc_id").alias("_kept"), "m")
     stay = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
