@@ -111,6 +111,10 @@ def glob_to_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+def _matches(rule: str):
+    return lambda part: part.rlike(rule)
+
+
 def ignored_by(path: Column, patterns: list[str]) -> Column:
     """Ignore-file rules: patterns with a slash match the path, others its name, any folder of it, or all of it."""
     rules = [F.lit(False)]
@@ -123,7 +127,7 @@ def ignored_by(path: Column, patterns: list[str]) -> Column:
         if "/" in p.strip("/"):
             rules.append(path.rlike(rule) | path.rlike(glob_to_regex("*/" + p.strip("/"))))
         else:
-            rules.append(path.rlike(rule) | F.exists(parts, lambda x, r=rule: x.rlike(r)))
+            rules.append(path.rlike(rule) | F.exists(parts, _matches(rule)))
     return reduce(lambda a, b: a | b, rules)
 
 

@@ -104,7 +104,7 @@ def build_time(events: DataFrame, most_s: float = 60.0) -> DataFrame:
     """Runs whose last build took longer: run_id, seconds."""
     at = lambda kind: F.max(F.when(F.col("type") == kind, F.col("ts")))
     found = events.groupBy("run_id").agg(at("BUILD_STARTED").alias("a"), at("BUILD_COMPLETED").alias("b"))
-    return found.select("run_id", (F.unix_micros("b") - F.unix_micros("a")).alias("us")).where(F.col("us") > most_s * 1e6).select("run_id", (F.col("us") / 1e6).alias("seconds"))
+    return found.select("run_id", (F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))).alias("us")).where(F.col("us") > most_s * 1e6).select("run_id", (F.col("us") / 1e6).alias("seconds"))
 
 
 def outside_globs(files: DataFrame, globs: list[str]) -> DataFrame:
