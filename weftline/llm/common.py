@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -34,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written once to the shared folder: they cut lineage and outlive lost executors.
 
-    drop() removes what no later plan reads; what a returned DataFrame still reads stays.
+    drop() removes what no later plan reads, and lets go of the shuffles of finished steps; what a returned
+    DataFrame still reads stays.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -53,6 +55,8 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()  # Spark's cleaner takes away shuffle files of what no one refers to any more
 
 
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
@@ -173,7 +177,7 @@ class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 2_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word) & ~1
         return h

@@ -21,6 +21,7 @@ uniform one; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_HASHES, Scratch, planes, text_or_empty, unplanes
 
-BLOCK = 1_500_000
-BUCKET_KEYS = 1_000_000
+BLOCK = 800_000
+BUCKET_KEYS = 500_000
 FOLDS = 10
 ALPHA = 0.1
 EM_STEPS = 30
@@ -132,6 +133,23 @@ class Block:
         return own[: self.n_words], own[self.n_words :]
 
 
+def rows_of(batch: pa.RecordBatch):
+    for k in range(batch.num_rows):  # one at a time: a row is a whole block
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+@contextmanager
+def few_rows(spark: SparkSession, n: int = 4):
+    """Arrow batches of n rows, for tables whose rows are blocks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def _block_of(ids: bytes, sizes: list[int], held: list[bool], words: bytes | None) -> Block:
     return Block(unplanes(ids, np.uint32), np.array(sizes, dtype=np.int64), np.array(held, dtype=bool), None if words is None else unplanes(words, np.uint64))
 
@@ -141,7 +159,7 @@ def ask(blocks: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 block = _block_of(r["ids"], r["size"], r["held"], r["words"])
                 counts = block.own_counts()
                 bucket = (block.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(block.keys), dtype=np.int64)
@@ -206,7 +224,7 @@ def deleted_histogram(counted: DataFrame, n: int, v: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 block, word, context, pair = _counts(r)
                 word, context, pair = (x[block.train] - 1 for x in (word, context, pair))
                 single = _bin(word / max(n - 1, 1) * (v + 1))
@@ -237,7 +255,7 @@ def scores(counted: DataFrame, weights: np.ndarray, n: int, v: int) -> DataFrame
     def run(batches):
         mix = np.array(weights)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 block, word, context, pair = _counts(r)
                 own = mix[_level(context)]
                 p = own[:, 0] * np.where(context > 0, pair / np.maximum(context, 1), 0) + own[:, 1] * (word / max(n, 1)) + own[:, 2] / (v + 1)
@@ -257,12 +275,14 @@ def score_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, bu
     blocks = scratch.write(to_blocks(docs, block), "blocks")
     n_keys = blocks.agg(F.sum("n_keys")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, n_keys / bucket_keys)))))
-    said = scratch.write(ask(blocks, bits).groupBy("bucket").applyInArrow(answer, _SAID), "said")
-    v, n = (int(x or 0) for x in said.agg(F.sum("n_words"), F.sum("n_tokens")).first())
-    counted = scratch.write(blocks.groupBy("block").cogroup(said.select("block", "bucket", "counts").groupBy("block")).applyInArrow(join_counts, _COUNTED), "counted")
-    scratch.drop("blocks", "said")
-    found = deleted_histogram(counted, n, v).toPandas()
-    weights = em(found["cell"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.float64))
-    result = scratch.write(scores(counted, weights, n, v), "scores")
+    with few_rows(spark):
+        said = scratch.write(ask(blocks, bits).groupBy("bucket").applyInArrow(answer, _SAID), "said")
+        v, n = (int(x or 0) for x in said.agg(F.sum("n_words"), F.sum("n_tokens")).first())
+        scratch.drop()
+        counted = scratch.write(blocks.groupBy("block").cogroup(said.select("block", "bucket", "counts").groupBy("block")).applyInArrow(join_counts, _COUNTED), "counted")
+        scratch.drop("blocks", "said")
+        found = deleted_histogram(counted, n, v).toPandas()
+        weights = em(found["cell"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.float64))
+        result = scratch.write(scores(counted, weights, n, v), "scores")
     scratch.drop("counted")
     return result
