@@ -98,9 +98,39 @@ FROM m
 """
 
 
+#: Shingles of five words, pairs that share one, exact Jaccard, groups by reachability.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT d.doc_id, least(d.doc_id, coalesce(g.b, d.doc_id)) AS class_id, coalesce(l.n, 0) AS n_links
+FROM documents d LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) g ON g.a = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = d.doc_id
+"""
+
+#: Lines as sets of words, rarest first, pairs that share a word of their prefixes, exact Jaccard.
+OP8_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS k, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+s AS (SELECT doc_id, k, list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS s FROM l),
+e AS (SELECT doc_id, k, len(s) AS n, unnest(s) AS x FROM s),
+f AS (SELECT x, count(*) AS df FROM e GROUP BY x),
+o AS (SELECT doc_id, k, n, x, row_number() OVER (PARTITION BY doc_id, k ORDER BY df, x) AS p FROM e JOIN f USING (x)),
+q AS (SELECT * FROM o WHERE p <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT b.doc_id, b.k, a.doc_id AS d0, a.k AS k0 FROM q a JOIN q b ON a.x = b.x AND (a.doc_id, a.k) < (b.doc_id, b.k)
+      WHERE a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9),
+g AS (SELECT DISTINCT c.doc_id, c.k FROM c JOIN s t ON t.doc_id = c.doc_id AND t.k = c.k JOIN s u ON u.doc_id = c.d0 AND u.k = c.k0
+      WHERE len(list_intersect(t.s, u.s)) >= 0.8 * (len(t.s) + len(u.s) - len(list_intersect(t.s, u.s))) - 1e-9)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (g.k IS NULL), '') END AS text
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY d.doc_id, d.text
+"""
+
+
 def queries() -> dict:
     return {"op1_decontaminate": op1_decontaminate, "op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_span_dedup": op5_span_dedup, "op6_lm_scoring": op6_lm_scoring, "op7_weak_quality": op7_weak_quality, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op8_line_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
