@@ -180,10 +180,10 @@ def budget_first_breach(spark, d):
     return telemetry.first_breach(runs_table(spark, d).withColumn("one", F.lit(1)), "run_id", "event_id", "one", 8)
 
 
-@query("WITH t AS (SELECT conv_id AS call_id, turn AS ord, CASE WHEN role = 'user' THEN 'start' ELSE 'finish' END AS kind FROM conversations), n AS (SELECT *, lead(kind) OVER w AS nk, lead(ord) OVER w AS no FROM t WINDOW w AS (PARTITION BY call_id ORDER BY ord)) SELECT call_id, ord AS started, CASE WHEN nk = 'finish' THEN no END AS finished FROM n WHERE kind = 'start'")
+@query("WITH t AS (SELECT conv_id AS call_id, turn AS ord, CASE WHEN role = 'user' THEN 'start' ELSE 'finish' END AS kind FROM conversations), n AS (SELECT *, lead(kind) OVER w AS nk, lead(ord) OVER w AS no FROM t WINDOW w AS (PARTITION BY call_id ORDER BY ord)) SELECT call_id, ord AS started, CASE WHEN nk = 'finish' THEN no ELSE -1 END AS finished FROM n WHERE kind = 'start'")
 def call_pairing(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("ord"), F.when(F.col("role") == "user", "start").otherwise("finish").alias("kind"))
-    return telemetry.pair_calls(c)
+    return telemetry.pair_calls(c).withColumn("finished", F.coalesce("finished", F.lit(-1)))
 
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN round((length(text) * 3.0 + 15.0 * turn) / 1e6, 6) ELSE 0.0 END AS cost FROM conversations")
@@ -612,17 +612,33 @@ def pages_pass_fail(spark, d):
     return gates.pages_pass_fail(_some_issues(spark, d))
 
 
-@query("SELECT unnest(['content_quality', 'technical_accuracy', 'usability']) AS dimension, unnest([1, 5, 2]) AS score")
+_SCORED = rf"""{LINES}, si AS (SELECT 'content_quality' AS dimension, slug, 'warn' AS severity FROM lines, (SELECT unnest(['kinda', 'sorta', 'gonna', 'wanna', 'you guys', 'awesome', 'super', 'retty']) AS p) WHERE regexp_matches(text, '(?i)\b' || p || '\b')
+UNION ALL SELECT 'usability', slug, 'warn' FROM lines, (SELECT unnest(['Error:', 'Exception:', 'Warning:', 'Failed:', 'Cannot:']) AS p) WHERE regexp_matches(slug, 'troubleshoot|error|faq') AND NOT inside AND regexp_matches(text, p)),
+sc AS (SELECT d.dimension, count(si.slug) AS n FROM (SELECT unnest(['content_quality', 'technical_accuracy', 'usability']) AS dimension) d LEFT JOIN si USING (dimension) GROUP BY 1),
+s5 AS (SELECT dimension, CASE WHEN n = 0 THEN 5 WHEN n > 6 THEN 2 ELSE 3 END AS score FROM sc)"""
+
+
+def _scored(spark, d):
+    lines = md_lines(spark, d)
+    return checks.tone(lines).unionByName(checks.error_messages(lines))
+
+
+@query(f"WITH {_SCORED} SELECT dimension, score FROM s5")
 def issue_scores(spark, d):
-    return gates.dimension_scores(spark, checks.all_checks(markdown(spark, d), _roles(spark, d), PRODUCT))
+    return gates.dimension_scores(spark, _scored(spark, d))
 
 
-@query("SELECT 'REJECT' AS route")
+@query(f"WITH {_SCORED} SELECT CASE WHEN (SELECT min(score) FROM s5) <= 2 OR w > 10 THEN 'REJECT' WHEN (SELECT bool_or(score = 3) FROM s5) OR w >= 5 THEN 'NEEDS_CHANGES' ELSE 'PASS' END AS route FROM (SELECT count(*) / greatest(1, count(DISTINCT slug)) AS w FROM si)")
 def issue_route(spark, d):
-    found = checks.all_checks(markdown(spark, d), _roles(spark, d), PRODUCT)
+    found = _scored(spark, d)
     return gates.route(gates.dimension_scores(spark, found), found)
 
 
+@query()
+def all_page_checks(spark, d):
+    return checks.all_checks(markdown(spark, d), _roles(spark, d), PRODUCT)
+
+
 def _roles(spark, d):
     m = markdown(spark, d)
     section = F.expr("CASE doc_id % 5 WHEN 0 THEN 'products' WHEN 1 THEN 'docs' WHEN 2 THEN 'reference' WHEN 3 THEN 'kb' ELSE 'blog' END")
