@@ -16,7 +16,7 @@ from ..functions.text import any_in, body, front_matter, front_matter_field, rea
 
 #: Patterns and phrases of the checks.
 TECHNICAL_TERMS = (
-    "aspose api sdk foss github json yaml readme cli ci cd llm uuid toc cta seo xml html css npm pip onenote xlsx pdf docx"
+    "api sdk foss github json yaml readme cli ci cd llm uuid toc cta seo xml html css npm pip onenote xlsx pdf docx"
 ).split()
 GRAMMAR = [("space before comma", r"\s+,"), ("space before period", r"\s+\."), ("no space after period", r"[a-z]\.[A-Z]"), ("repeated word", r"\b(the the|a a|an an)\b")]
 CASUAL = [r"\bkinda\b", r"\bsorta\b", r"\bgonna\b", r"\bwanna\b", r"\byou guys\b", r"\bawesome\b", r"\bsuper\b", r"\bretty\b"]
