@@ -92,19 +92,20 @@ def class_key(shingle: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key of the set (null without words), band hashes."""
+    """doc_id, h (hash of the text), key of the set (null without words), band hashes."""
 
     def run(batches):
         sign = MinHash(bands, rows)
         for batch in batches:
             keys, hashes = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingles(text, n)
                 keys.append(class_key(found) if len(found) else None)
                 hashes.append(sign(found) if len(found) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "h", "key", "bands"])
 
-    return text_or_empty(docs).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    keyed = text_or_empty(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return keyed.mapInArrow(run, "doc_id long, h long, key binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -179,9 +180,8 @@ def _links_in_block(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table([pa.array(keys + ones, pa.binary()), pa.array([None] * len(keys) + others, pa.binary()), pa.array([*counts.tolist(), *[0] * len(ones)], pa.int64())], names=["key", "other", "n"])
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """doc_id, class_id (smallest doc_id of its group), n_links (other documents of that similarity); and the
-    verified pairs of classes (a, b: keys) that hold the groups together."""
+def _grouped(spark: SparkSession, docs: DataFrame, n: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, h (hash of the text), grp (null without words), class_id, n_links; and the links."""
     bands, rows = choose_bands(similarity, recall)
     scratch = Scratch(spark, "near")
     signed = scratch.write(signatures(docs, n, bands, rows), "signed")
@@ -202,21 +202,34 @@ def near_groups(spark: SparkSession, docs: DataFrame, n: int = N, similarity: fl
     labels = groups(links, scratch).withColumnRenamed("node", "key").join(wanted, "key")
     tops = labels.groupBy("label").agg(F.min("rep").alias("class_id"))
     counted = compared.where("other is null").groupBy("key").agg(F.sum("n").alias("links"))
-    result = labels.join(tops, "label").select("key", "class_id").join(counted, "key")
+    result = labels.join(tops, "label").select("key", "label", "class_id").join(counted, "key")
     grouped = classes.select("key", "copies", F.col("rep").alias("own")).join(result, "key", "left")
-    grouped = grouped.select("key", F.coalesce("class_id", "own").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    found = signed.select("doc_id", "key").join(grouped, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    grouped = grouped.select("key", F.coalesce("label", "key").alias("grp"), F.coalesce("class_id", "own").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = signed.select("doc_id", "h", "key").join(grouped, "key", "left").select("doc_id", "h", "grp", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     found = scratch.write(found, "found")
     scratch.drop("signed", "met", "wanted", "sets", "members", "compared")
     return found, links
 
 
+def near_groups(spark: SparkSession, docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """doc_id, class_id (smallest doc_id of its group), n_links (other documents of that similarity); and the
+    verified pairs of classes (a, b: keys) that hold the groups together."""
+    found, links = _grouped(spark, docs, n, similarity, recall)
+    return found.select("doc_id", "class_id", "n_links"), links
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of docs, all columns, one document of each group: the one with the smallest doc_id."""
-    found, _ = near_groups(spark, docs, n, similarity, recall)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("m"))
-    keep = keep.select(F.col("doc_id").alias("_kept"), "m")
-    stay = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if keep.where("m > 1").limit(1).count():  # repeated rows: one of each stays
-        stay = stay.dropDuplicates(["doc_id", "text"])
-    return stay
+    """The rows of docs, all columns, one document of each group: the one with the smallest doc_id (then hash of
+    its text; null ids last). Texts without words stay."""
+    found, _ = _grouped(spark, docs, n, similarity, recall)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")
+    one = found.where("grp is not null").groupBy("grp").agg(first).select("x.doc_id", "x.h")
+    bare = found.where("grp is null").select("doc_id", "h").distinct()
+    keep = one.union(bare).select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h"))
+    stay = docs.join(keep, same, "left_semi")
+    again = found.where("grp is not null").groupBy("doc_id", "h").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"))
+    if not again.limit(1).count():
+        return stay
+    # rows repeated with their id: one of each stays
+    return stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

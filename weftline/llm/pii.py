@@ -24,6 +24,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import WORD, text_or_empty
 from .quality_rules import sampled
@@ -292,7 +293,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, float]:
             found = [t[max(0, a - 60) : b + 20] for t in batch.column(1).to_pylist() for a, b, _ in clusters(t) if b - a < 200]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["text"])
 
-    found = sampled(text_or_empty(docs), rows).mapInArrow(near, "text string").limit(rows).collect()
+    found = sampled(text_or_empty(docs), rows).mapInArrow(near, "text string").orderBy(F.xxhash64("text"), "text").limit(rows).collect()
     return train(sorted(r.text for r in found))
 
 

@@ -194,7 +194,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sampl
     keyed = text_or_empty(docs).select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < under).alias("chosen"), "text")
     scratch = Scratch(spark, "quality")
     picked = scratch.write(keyed.mapInArrow(examples, "at binary, q double, t double"), "examples")  # about `sample` rows
-    raw = picked.repartition(1).mapInArrow(fit, "weights binary").collect()
+    raw = picked.orderBy(F.xxhash64("at"), "at").limit(2 * sample).mapInArrow(fit, "weights binary").collect()
     scratch.drop("examples")
     weights = np.frombuffer(raw[0].weights, dtype=np.float32).reshape(2, -1) if raw else np.zeros((2, DIMS + 1), dtype=np.float32)
     shared = spark.sparkContext.broadcast(weights)  # two heads of DIMS numbers
