@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MIN_SENTENCES = 2
-MIN_WORDS = 20
-LONE_WORDS = 50
+MIN_WORDS = 15
+LONE_WORDS = 30
 
 #: A sentence with the marks and white space after it; a mark inside a word or number ends nothing.
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?=[^\s.!?]))+[.!?]*\s*|[.!?\n]+\s*")
