@@ -35,12 +35,15 @@ def replay(events: DataFrame) -> DataFrame:
     artifacts = events.where("type = 'ARTIFACT_WRITTEN'").groupBy("run_id", field("name").alias("name")).agg(F.max_by(F.struct(field("path").alias("path"), field("sha256").alias("sha256"), "ts", "event_id"), "ord").alias("entry")).where("name is not null")
     artifacts = artifacts.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "entry")))).alias("artifacts"))
     at = lambda kind, f: F.when(F.col("type") == kind, f)
-    items = events.where(F.col("type").startswith("WORK_ITEM_")).groupBy("run_id", field("work_item_id").alias("id")).agg(
-        F.min(at("WORK_ITEM_QUEUED", F.col("ord"))).alias("queued"),
+    own = events.where(F.col("type").startswith("WORK_ITEM_")).withColumn("id", field("work_item_id"))
+    queued = F.min(at("WORK_ITEM_QUEUED", F.col("ord"))).over(Window.partitionBy("run_id", "id"))
+    own = own.withColumn("queued", queued).where(F.col("ord") >= F.col("queued"))  # what comes before an item is queued moves nothing
+    items = own.groupBy("run_id", "id").agg(
+        F.min("queued").alias("queued"),
         F.max_by(at("WORK_ITEM_STARTED", F.col("ts")), at("WORK_ITEM_STARTED", F.col("ord"))).alias("started_at"),
         F.max_by(at("WORK_ITEM_FINISHED", F.col("ts")), at("WORK_ITEM_FINISHED", F.col("ord"))).alias("finished_at"),
         F.max_by(F.when(F.col("type") == "WORK_ITEM_STARTED", "running").otherwise("finished"), F.when(F.col("type") != "WORK_ITEM_QUEUED", F.col("ord"))).alias("moved"),
-    ).where("queued is not null")
+    )
     items = items.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("queued", "id", F.coalesce("moved", F.lit("queued")).alias("status"), "started_at", "finished_at"))).alias("work_items"))
     runs = events.groupBy("run_id").agg(F.count("*").alias("n_events"), F.max("ord").alias("last_ord"))
     return runs.join(state, "run_id", "left").join(artifacts, "run_id", "left").join(items, "run_id", "left")

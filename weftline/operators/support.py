@@ -101,9 +101,9 @@ def update_front_matter(content: Column, fields: dict[str, str]) -> Column:
     """Fields replaced where the block has them, else added at its end; a block is made where there is none."""
     out = F.when(content.rlike(r"^---\s*\n"), content).otherwise(F.concat(F.lit("---\n---\n"), content))
     for k, v in fields.items():
-        line = f"{k}: {v}"
+        line = f"{k}: {v}".replace("\\", "\\\\").replace("$", "\\$")
         has = F.regexp_extract(out, r"(?s)^---\s*\n(.*?)---", 1).rlike(f"(?m)^{k}:")
-        out = F.when(has, F.regexp_replace(out, rf"(?m)^{k}:.*$", line)).otherwise(F.regexp_replace(out, r"(?s)^(---\s*\n.*?)(---)", rf"$1{line}\n$2"))
+        out = F.when(has, F.regexp_replace(out, rf"(?m)^{k}:.*$", line)).otherwise(F.regexp_replace(out, r"(?s)^(---\s*\n.*?)(---)", f"$1{line}\n$2"))
     return out
 
 
