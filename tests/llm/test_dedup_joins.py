@@ -121,3 +121,25 @@ def test_span_dedup(spark, docs, empty, texts):
 @pytest.mark.parametrize("text", ["", "a. b! c?", "no end", "3.14 is pi. Yes", "...", "\n\nx.\n"])
 def test_sentences_make_up_the_text(text):
     assert "".join(sentences(text)) == text
+
+
+def test_prefixes_of_pairs_lose_no_similar_sets():
+    """The prefix lemma of line_dedup, on random sets."""
+    import math
+    import random
+
+    def prefix(s):
+        s, n = sorted(s), len(s)
+        lost = math.floor(0.75 * math.floor(0.2 * n + 1e-9) + 0.25 * n + 1e-9)
+        return set(zip(s[: lost + 1], s[1 : lost + 2], strict=False))
+
+    rnd, met = random.Random(1), 0
+    for _ in range(20000):
+        x = set(rnd.sample(range(500), rnd.randrange(5, 60)))
+        y = x - set(rnd.sample(sorted(x), rnd.randrange(0, len(x) // 5 + 1)))
+        while rnd.random() < 0.8:
+            y.add(rnd.randrange(500))
+        if len(y) >= 5 and similar(x, y):
+            met += 1
+            assert prefix(x) & prefix(y)
+    assert met > 5000
