@@ -81,6 +81,30 @@ def test_leaks(spark, docs, empty):
     assert find_leaks(spark, docs, benchmark.limit(0)).where("leaked").count() == 0
 
 
+def planted(rnd, passages, hosts, each):
+    """Documents with `each` passages, by turns exact and with every sixth word changed, and the pairs that are leaks by brute force."""
+    texts, pairs = [], set()
+    for d in range(hosts):
+        host = words(rnd, 60)
+        for k in rnd.sample(range(len(passages)), each):
+            own = passages[k].split()
+            copy = own if rnd.random() < 0.5 else [x if j % 6 != 3 else "other" for j, x in enumerate(own)]
+            host += copy + words(rnd, 70)
+            if brute_lcs(own, copy) >= 0.75 * len(own):
+                pairs.add((d, k))
+        texts.append((d, " ".join(host)))
+    return texts, pairs
+
+
+def test_leaks_of_a_large_benchmark(spark):
+    rnd = random.Random(4)
+    passages = [" ".join(words(rnd, rnd.randrange(15, 60))) for _ in range(1020)]
+    texts, pairs = planted(rnd, passages, 100, 3)
+    benchmark = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    got = find_leaks(spark, spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()
+    assert len(pairs) > 250 and len(pairs & {(r.doc_id, k) for r in got for k in r.item_ids}) >= 0.9 * len(pairs)
+
+
 def test_pipeline_stages_compose(spark, docs, tmp_path):
     import corpus_pipeline
 
