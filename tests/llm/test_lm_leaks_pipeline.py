@@ -105,6 +105,17 @@ def test_leaks_of_a_large_benchmark(spark):
     assert len(pairs) > 250 and len(pairs & {(r.doc_id, k) for r in got for k in r.item_ids}) >= 0.9 * len(pairs)
 
 
+def test_leaks_in_a_third_of_all_documents(spark):
+    """A passage's own copies lower its weights; short and long passages alike stay found."""
+    rnd = random.Random(6)
+    passages = [" ".join(words(rnd, n)) for n in (15, 18, 22, 30, 40, 59, 90, 150)]
+    texts, pairs = planted(rnd, passages, 150, 3)
+    texts += [(200 + d, " ".join(words(rnd, 200))) for d in range(20)]
+    benchmark = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    got = find_leaks(spark, spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()
+    assert len(pairs) > 400 and {(r.doc_id, k) for r in got for k in r.item_ids} == pairs
+
+
 def test_pipeline_stages_compose(spark, docs, tmp_path):
     import corpus_pipeline
 
