@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -118,6 +119,35 @@ def test_span_dedup(spark, docs, empty, texts):
     assert set(docs.columns) <= set(got.columns) and dedup_spans(spark, empty).count() == 0
 
 
+def all_spans(text):
+    """Every span of consecutive sentences that is long enough."""
+    parts = sentences(text)
+    n = [len(s.split()) for s in parts]
+    for a in range(len(parts)):
+        for b in range(a + 1, len(parts) + 1):
+            if b - a >= 2 and sum(n[a:b]) >= 15 or b - a == 1 and n[a] >= 30:
+                yield a, b, " ".join(" ".join(parts[a:b]).split())
+
+
+def test_span_dedup_against_all_spans(spark):
+    rnd = random.Random(9)
+    make = lambda n: " ".join(f"w{rnd.randrange(100000)}" for _ in range(n - 1)) + f" e{rnd.randrange(100000)}."
+    passages = [[40, 27], [32, 21], [31, 20], [20, 40, 3], [3, 40], [5, 5, 5], [35, 2, 35, 2], [8, 8, 8, 8], [60], [14, 1]]
+    passages = [[make(n) for n in p] for p in passages]
+    rows = [(d, " ".join(make(rnd.randrange(1, 45)) if rnd.random() < 0.3 else " ".join(rnd.choice(passages)) for _ in range(8))) for d in range(12)]
+    rows += [(50 + k, " ".join([make(9), *p, make(9)])) for k, p in enumerate(passages)]
+    seen, want = set(), {}
+    for d, t in rows:
+        gone = set()
+        for a, b, s in all_spans(t):
+            if s in seen:
+                gone.update(range(a, b))
+            seen.add(s)
+        want[d] = "".join(s for k, s in enumerate(sentences(t)) if k not in gone)
+    got = dedup_spans(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("text", ["", "a. b! c?", "no end", "3.14 is pi. Yes", "...", "\n\nx.\n"])
 def test_sentences_make_up_the_text(text):
     assert "".join(sentences(text)) == text

@@ -1,9 +1,10 @@
 """Repeated passages by sliding sentence spans.
 
-At every sentence begins a run: the fewest consecutive sentences, two at least, that hold MIN_WORDS words
-(one sentence alone where it has LONE_WORDS). Runs are hashed (128 bits) and met globally; of equal runs the
-first, by doc_id and place, stays, and every sentence that any other run covers goes. Runs overlap, so a
-passage of any length is covered from end to end.
+At every sentence begins a run, and at every sentence ends one: the fewest consecutive sentences, two at least,
+that hold MIN_WORDS words; a sentence of LONE_WORDS is also a run alone. Runs are hashed (128 bits) and met
+globally; of equal runs the first, by doc_id and place, stays, and every sentence that any other run covers goes.
+A passage that is as long as a run is covered from end to end by runs inside it: by the one that begins at each
+sentence or, where that reaches beyond the passage, by the one that ends with it.
 
 Hashes are counted with map-side aggregation, and only rows of repeated hashes travel on; a run that a third
 of all documents hold is one row on one side of the joins, which adaptive execution splits on the other.
@@ -17,6 +18,7 @@ one; other columns are kept.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -49,18 +51,24 @@ def runs(text: str) -> list[tuple[int, int, int, int]]:
     """Hash (two signed halves), first sentence, sentences of every run."""
     words = [s.split() for s in sentences(text)]
     plain = [" ".join(w) for w in words]
-    out, end, held = [], 0, 0
+    before = [0, *accumulate(map(len, words))]
+    found = {(k, k + 1) for k, w in enumerate(words) if len(w) >= LONE_WORDS}
+    end, begin = 0, 0
     for at in range(len(words)):
-        if at:
-            held -= len(words[at - 1])
-        end = max(end, at)
-        while end < len(words) and (held < MIN_WORDS or end - at < MIN_SENTENCES) and not (end - at == 1 and held >= LONE_WORDS):
-            held += len(words[end])
+        end = max(end, at + MIN_SENTENCES)
+        while end < len(words) and before[end] - before[at] < MIN_WORDS:
             end += 1
-        n = end - at
-        if held >= MIN_WORDS and n >= MIN_SENTENCES or n == 1 and held >= LONE_WORDS:
-            digest = xxhash.xxh3_128_digest(" ".join(plain[at:end]))
-            out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), at, n))
+        if end <= len(words) and before[end] - before[at] >= MIN_WORDS:
+            found.add((at, end))
+        last = at + 1  # the run that ends here
+        while last - begin > MIN_SENTENCES and before[last] - before[begin + 1] >= MIN_WORDS:
+            begin += 1
+        if last - begin >= MIN_SENTENCES and before[last] - before[begin] >= MIN_WORDS:
+            found.add((begin, last))
+    out = []
+    for at, end in sorted(found):
+        digest = xxhash.xxh3_128_digest(" ".join(plain[at:end]))
+        out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), at, end - at))
     return out
 
 
