@@ -47,6 +47,18 @@ def test_line_dedup_near_and_position(spark):
     assert got[1] == base and got[2] == "" and got[3] and got[4] == "" and got[5] == "" and got[6] == "one two" and got[7] == "" and got[8]
 
 
+def test_line_dedup_four_words_within_five(spark):
+    five = "a b c d e".split()
+    rows = []
+    for k in range(5):
+        own = [f"{w}{k}" for w in five]
+        four = own[:k] + own[k + 1 :]
+        rows += [(10 * k, " ".join(own)), (10 * k + 1, " ".join(four)), (10 * k + 5, " ".join(f"{w}x" for w in four)), (10 * k + 6, " ".join(f"{w}x" for w in own))]
+    rows += [(100, "p q r s"), (101, "p q r"), (102, "p q r t")]
+    got = {r.doc_id: r.text for r in dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: "" if d < 100 and d % 10 in (1, 6) else t for d, t in rows}
+
+
 def test_bands_reach_recall():
     bands, rows = choose_bands(0.8, 0.998)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.998

@@ -11,7 +11,8 @@ is read.
 - Rarity is the frequency of the token's hash bucket over all texts, a table of fixed size (2^19 numbers) in
   a scalar subquery. Frequency and hash are packed into one 64-bit number, so that sorting numbers sorts by rarity.
 - Lines of equal sets collapse first (partial aggregation), and only the earliest of each goes on: a line
-  that a third of all documents hold is one row. Sets of under five words can only match equal sets.
+  that a third of all documents hold is one row. Sets of under four words can only match equal sets (four
+  words within five are similar).
 - Postings (pair, line) are read in order of lines, and a line is tried against the first line of the pair's
   list and the two before it: a large group of near copies is settled with a few comparisons a member. Only lines
   that this leaves open are joined with all earlier lines of their lists. No list is collected, and none is cut.
@@ -106,7 +107,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     packed = F.array_sort(F.transform("tokens", lambda t: F.shiftleft(F.element_at(counted, (_bucket(t) + 1).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(t, 16))))
     # at most `lost` neighbouring pairs of a set are broken up in a similar one, so one of the first lost + 1 is shared
     lost = F.floor(0.75 * F.floor((1 - SIMILARITY) * size + 1e-9) + 0.25 * size + 1e-9).cast("int")
-    prefix = F.when(size >= 5, F.zip_with(F.slice("tokens", F.lit(1), lost + 1), F.slice("tokens", F.lit(2), lost + 1), lambda a, b: F.xxhash64(a, b)))
+    prefix = F.when(size >= 4, F.zip_with(F.slice("tokens", F.lit(1), lost + 1), F.slice("tokens", F.lit(2), lost + 1), lambda a, b: F.xxhash64(a, b)))
     bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
     place = ["doc_id", "h", "line_no"]
     ordered = line_sets(docs).withColumn("counted", table.scalar()).select(*place, packed.alias("tokens"))
@@ -119,7 +120,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     same = scratch.write(same.select(*place), "same")
     scratch.drop("keyed")
     # the earliest line of each set, numbered in order, so that one number tells earlier from later
-    reps = classes.where("first.n >= 5").select("first.*").repartitionByRange(*place).sortWithinPartitions(*place)
+    reps = classes.where("first.n >= 4").select("first.*").repartitionByRange(*place).sortWithinPartitions(*place)
     reps = scratch.write(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
     scratch.drop("classes")
     postings = reps.select("id", "n", "bits", F.posexplode("prefix").alias("p", "token"))
