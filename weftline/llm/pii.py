@@ -5,6 +5,8 @@ words that hold a digit or an @. It scores whole candidate segments - their shap
 digit, address parts, the words before them - and a dynamic programme over segments of at most MAX_ATOMS
 atoms chooses boundaries and types together. What it chooses is added where it overlaps no pattern's span:
 numbers without a country code, masked addresses, and keys or tokens (kind secret).
+Bounds of what is added: a segment has at most MAX_ATOMS atoms and 200 characters, and stretches without a digit
+or an @ are not read, so longer keys (JWTs, say) and all-letter secrets get no added span.
 
 The model is trained by stochastic gradient on the log-likelihood, from generated examples and from patterns
 in at most TRAIN_ROWS documents (those whose hash falls under a threshold); finding reads all rows. One pass,
