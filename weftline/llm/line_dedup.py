@@ -5,23 +5,26 @@ similarity of at least 0.8 with it; equal sets are similar whatever their size.
 one over a line's tokens in order of rarity. Single rare tokens are shared by ever more lines as a corpus grows,
 so the prefix is taken of neighbouring pairs in that order: of a set of n tokens a similar one breaks up at most
 lost = 0.75 floor(0.2 n) + 0.25 n of the n - 1 pairs (two for each token that is missing, one for each that comes
-in), so both prefixes of lost + 1 pairs hold a shared one. Length and position bound the overlap before any set
-is read.
+in), so both prefixes of lost + 1 pairs hold a shared one. Sets of under four words can only match equal sets.
 
-- Rarity is the frequency of the token's hash bucket over all texts, a table of fixed size (2^19 numbers) in
-  a scalar subquery. Frequency and hash are packed into one 64-bit number, so that sorting numbers sorts by rarity.
+- Rarity is the frequency of the token's hash bucket over all texts, on a logarithmic scale: a table of fixed size
+  (2^19 numbers) in a scalar subquery. Frequency and hash are packed into one 64-bit number, so that sorting numbers
+  sorts by rarity.
 - Lines of equal sets collapse first (partial aggregation), and only the earliest of each goes on: a line
-  that a third of all documents hold is one row. Sets of under four words can only match equal sets (four
-  words within five are similar).
-- Postings (pair, line) are read in order of lines, and a line is tried against the first line of the pair's
-  list and the two before it: a large group of near copies is settled with a few comparisons a member. Only lines
-  that this leaves open are joined with all earlier lines of their lists. No list is collected, and none is cut.
-- A 64-bit bitmap of each set bounds the difference; what remains is compared exactly, on the sets of the lines
-  concerned.
+  that a third of all documents hold is one row.
+- Postings (pair, line) are read in order of lines, and a line is tried against the first line of the pair's list,
+  the one with most copies so far and the one before it: a large group of near copies is settled with a few
+  comparisons a member. Only lines that this leaves open are joined with all earlier lines of their lists. No list
+  is collected, and none is cut. Lists that can be long, since both their words are frequent, are read in shares;
+  the join of open lines is not, so shares change no result.
+- Length and position of the shared pair bound the overlap first. Then do two sketches, 64 bits of which each token
+  turns one: tokens that two sets share cancel out, so sketches differ in no more bits than the sets in tokens. What
+  remains is compared exactly, on the sets of the lines concerned.
 
 Defined results: null text stays null and counts as no line; lines without a word always stay; rows of equal
 doc_id and text count as one document and are cleaned alike; a null doc_id comes before all others; an empty
-table gives no rows; a document whose lines all go keeps its row with an empty text; other columns are kept.
+table gives no rows; a document whose lines all go keeps its row with an empty text; other columns are kept. A
+document has at most 2^27 lines (more raise an error).
 """
 
 from __future__ import annotations
@@ -29,38 +32,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, Scratch
+from .common import Scratch
 
 SIMILARITY = 0.8
 RARITY_BITS = 19
+#: Lists of pairs whose rarer word stands more often than this are read in shares of about so many lines.
+SHARE = 50_000
+_LINE_BITS = 27
+_SCALE = 900  # steps of the logarithmic scale for each doubling
+_RARITY = (1 << 15) - 1
 
 
-def _identity(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+def _spaced(text: Column) -> Column:
+    """The text with spaces alone between the words of a line."""
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
 def _tokens(line: Column) -> Column:
-    """Distinct hashes of the words of a line."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, WORD_SPLIT), ""), lambda w: F.xxhash64(w)))
+    """Distinct hashes of the words of a line of _spaced() text."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _document(text: Column) -> Column:
+    """Leading bits of the hash of a text, above the place for a line number."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), _LINE_BITS + 1), _LINE_BITS)
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, h, line number, distinct token hashes; only lines that hold a word."""
-    lines = _identity(docs).select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    sets = lines.select("doc_id", "h", "line_no", _tokens(F.col("line")).alias("tokens"))
-    return sets.where(F.size("tokens") > 0)
+    """doc_id, at (hash of the text and line number), distinct token hashes; only lines that hold a word."""
+    lines = docs.select("doc_id", _document(F.col("text")).alias("h"), F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("k", "line"))
+    at = F.col("h").bitwiseOR(F.when(F.col("k") < 1 << _LINE_BITS, F.col("k").cast("long")).otherwise(F.raise_error(F.lit("a text of too many lines")).cast("long")))
+    return lines.select("doc_id", at.alias("at"), _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def _bucket(token: Column) -> Column:
-    return token.bitwiseAND((1 << RARITY_BITS) - 1)
+    return token.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
-    """One row: how often each hash bucket of words occurs in all texts, at most 2^15 - 1."""
-    words = docs.select(F.explode(F.split("text", WORD_SPLIT)).alias("w")).where("w <> ''").select(F.xxhash64("w").alias("t"))
-    counts = words.groupBy(_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
-    every = counts.union(docs.sparkSession.range(1 << RARITY_BITS).select(F.col("id").alias("b"), F.lit(0).cast("long"))).groupBy("b").agg(F.least(F.sum("n"), F.lit((1 << 15) - 1)).cast("int").alias("n"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "n"))), lambda x: x["n"]).alias("counts"))
+    """One row: by hash bucket of words how often it occurs in all texts, as _SCALE log2(1 + n), under 2^15."""
+    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    every = counts.union(docs.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int"), F.lit(0).cast("long"))).groupBy("b").agg(F.sum("n").alias("n"))
+    scaled = F.least(F.lit(_RARITY), F.floor(_SCALE * F.log2(1 + F.col("n")))).cast("long")
+    packed = every.select(F.shiftleft(F.col("b").cast("long"), 15).bitwiseOR(scaled).alias("x"), "n")
+    by_bucket = F.transform(F.sort_array(F.collect_list("x")), lambda x: x.bitwiseAND(_RARITY).cast("int"))
+    share = F.greatest(F.lit(float(SHARE)), 16 * F.avg("n"))
+    return packed.agg(by_bucket.alias("counts"), F.floor(_SCALE * F.log2(1 + share)).cast("int").alias("share"))
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -68,88 +86,115 @@ def _needed(n: Column, m: Column) -> Column:
     return F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (n + m) - 1e-9)
 
 
-def _possible(one: str, other: str) -> Column:
-    """Length filter, position filter for a pair of tokens that two sets share from places p on (from 0), and the
-    bitmaps' bound of their difference. The names of the columns end in `one` or begin with `other`."""
-    of = lambda c: (F.col(f"{c}{one}"), F.col(f"{other}{c}"))
-    (n, m), (p, q), (a, b) = of("n"), of("p"), of("bits")
+_SIZE = (1 << 28) - 1
+
+
+def _size_of(shape: Column) -> Column:
+    return F.shiftright(shape, 28).bitwiseAND(_SIZE)
+
+
+def _possible(one: Column, other: Column) -> Column:
+    """Length filter, and position filter for a pair of tokens that two sets share; of their shapes."""
+    n, m, p, q = _size_of(one), _size_of(other), one.bitwiseAND(_SIZE), other.bitwiseAND(_SIZE)
     by_length = (n >= F.lit(SIMILARITY) * m - 1e-9) & (m >= F.lit(SIMILARITY) * n - 1e-9)
-    return by_length & (F.least(p, q) + F.least(n - p, m - q) >= _needed(n, m)) & (F.bit_count(a.bitwiseXOR(b)) <= n + m - 2 * _needed(n, m))
+    return by_length & (F.least(p, q) + F.least(n - p, m - q) >= _needed(n, m))
+
 
+def _close(one: str, other: str) -> Column:
+    """The sketches' bound of the difference; names of columns end in one and other."""
+    n, m = F.col(f"n{one}"), F.col(f"n{other}")
+    differ = [F.bit_count(F.col(f"{c}{one}").bitwiseXOR(F.col(f"{c}{other}"))) for c in ("s", "t")]
+    return F.greatest(*differ) <= n + m - 2 * _needed(n, m)
 
-def _similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Of the pairs (later, earlier) the later ones whose sets are similar, by the sets themselves."""
+
+def _similar(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Of the pairs (later line: doc_id1, at1; earlier: doc_id2, at2) the later ones that are similar, by the sets themselves."""
     near = scratch.write(pairs.distinct(), f"{name}-near")
     scratch.drop()
     # the texts of the documents concerned are read again: cheaper to keep than the sets of all lines
-    place = ["doc_id", "h", "line_no"]
-    wanted = near.select(F.explode(F.array("later", "earlier")).alias("id")).distinct().join(reps.select("id", *place), "id")
-    by_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("id", "line_no")).alias("_wanted"))  # at most a document's lines
-    by_doc = by_doc.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "_wanted")
-    met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_h"))).select(F.split("text", "\n").alias("lines"), "_wanted")
-    each = met.select(F.explode(F.transform("_wanted", lambda x: F.struct(x["id"].alias("id"), F.get(F.col("lines"), x["line_no"]).alias("line")))).alias("x"))
-    sets = scratch.write(each.select("x.id", _tokens(F.col("x.line")).alias("tokens")).dropDuplicates(["id"]), f"{name}-sets")
-    own = lambda c: sets.select(F.col("id").alias(c), F.col("tokens").alias(f"tokens_{c}"))
-    full = near.join(own("later"), "later").join(own("earlier"), "earlier")
-    both = F.size(F.array_intersect("tokens_later", "tokens_earlier"))
-    found = full.where(both >= _needed(F.size("tokens_later"), F.size("tokens_earlier"))).select(F.col("later").alias("id")).distinct()
+    ends = F.explode(F.array(F.struct(F.col("doc_id1").alias("doc_id"), F.col("at1").alias("at")), F.struct(F.col("doc_id2").alias("doc_id"), F.col("at2").alias("at"))))
+    wanted = near.select(ends.alias("x")).select("x.*").distinct()
+    h = F.shiftright("at", _LINE_BITS)
+    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc_id"), F.shiftleft(h, _LINE_BITS).alias("_h")).agg(F.collect_list("at").alias("_wanted"))  # at most a document's lines
+    met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text")) == F.col("_h"))).select("doc_id", F.split(_spaced(F.col("text")), "\n").alias("lines"), F.explode("_wanted").alias("at"))
+    line = F.get("lines", F.col("at").bitwiseAND((1 << _LINE_BITS) - 1).cast("int"))
+    sets = scratch.write(met.select("doc_id", "at", _tokens(line).alias("tokens")).dropDuplicates(["doc_id", "at"]), f"{name}-sets")
+    same = lambda end: F.col("doc_id").eqNullSafe(F.col(f"doc_id{end}")) & (F.col("at") == F.col(f"at{end}"))
+    full = near.join(sets.withColumnRenamed("tokens", "later"), same(1)).drop("doc_id", "at").join(sets.withColumnRenamed("tokens", "earlier"), same(2))
+    both = F.size(F.array_intersect("later", "earlier"))
+    found = full.where(both >= _needed(F.size("later"), F.size("earlier"))).select(F.col("doc_id1").alias("doc_id"), F.col("at1").alias("at")).distinct()
     found = scratch.write(found, name)
     scratch.drop(f"{name}-near", f"{name}-sets")
     return found
 
 
+def _keyed(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, at, k1 and k2 (hashes of the set), n, sketches s and t, prefix: pairs with the rarity of their rarer word."""
+    size, counted = F.size("tokens"), F.col("counted")
+    packed = F.transform("tokens", lambda x: F.shiftleft(F.get(counted, _bucket(x)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(x, 16)))
+    turned = lambda shift: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(x, shift) if shift else x).bitwiseAND(63).cast("int"))))
+    ordered = line_sets(docs).withColumn("counted", table.select("counts").scalar()).select("doc_id", "at", F.sort_array(packed).alias("tokens"))
+    # at most `lost` neighbouring pairs of a set are broken up in a similar one, so one of the first lost + 1 is shared
+    lost = F.floor(0.75 * F.floor((1 - SIMILARITY) * size + 1e-9) + 0.25 * size + 1e-9).cast("int")
+    pair = lambda a, b: F.xxhash64(a, b).bitwiseAND(~_RARITY).bitwiseOR(F.shiftright(a, 48))
+    prefix = F.when(size >= 4, F.zip_with(F.slice("tokens", F.lit(1), lost + 1), F.slice("tokens", F.lit(2), lost + 1), pair))
+    return ordered.select("doc_id", "at", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), turned(0).alias("s"), turned(8).alias("t"), prefix.alias("prefix"))
+
+
 def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), line_no of every line that an earlier line resembles."""
+    """doc_id, at (leading bits of the text's hash, line number) of every line that an earlier line resembles."""
     scratch = Scratch(spark, "lines")
     docs = docs.select("doc_id", "text").where("text is not null")
     table = scratch.write(frequencies(docs), "counts")
-    size, counted = F.size("tokens"), F.col("counted")
-    packed = F.array_sort(F.transform("tokens", lambda t: F.shiftleft(F.element_at(counted, (_bucket(t) + 1).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(t, 16))))
-    # at most `lost` neighbouring pairs of a set are broken up in a similar one, so one of the first lost + 1 is shared
-    lost = F.floor(0.75 * F.floor((1 - SIMILARITY) * size + 1e-9) + 0.25 * size + 1e-9).cast("int")
-    prefix = F.when(size >= 4, F.zip_with(F.slice("tokens", F.lit(1), lost + 1), F.slice("tokens", F.lit(2), lost + 1), lambda a, b: F.xxhash64(a, b)))
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
-    place = ["doc_id", "h", "line_no"]
-    ordered = line_sets(docs).withColumn("counted", table.scalar()).select(*place, packed.alias("tokens"))
-    keyed = ordered.select(*place, F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
-    keyed = scratch.write(keyed, "keyed")
-    first = F.min(F.struct(*place, "n", "bits", "prefix")).alias("first")
-    classes = scratch.write(keyed.groupBy("k1", "k2").agg(first, F.count("*").alias("m")), "classes")
-    first_place = F.struct(*(f"first.{c}" for c in place))
-    same = keyed.join(classes.where("m > 1").select("k1", "k2", first_place.alias("first")), ["k1", "k2"]).where(F.struct(*place) > F.col("first"))
-    same = scratch.write(same.select(*place), "same")
+    scratch.drop()
+    keyed = scratch.write(_keyed(docs, table), "keyed")
+    classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at", "n", "s", "t", "prefix")).alias("first"), F.count("*").alias("m"))
+    classes = scratch.write(classes.select("k1", "k2", "m", "first.*"), "classes")
+    scratch.drop()
+    first = classes.where("m > 1").select("k1", "k2", F.struct("doc_id", "at").alias("first"))
+    same = scratch.write(keyed.select("doc_id", "at", "k1", "k2").join(first, ["k1", "k2"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at"), "same")
     scratch.drop("keyed")
-    # the earliest line of each set, numbered in order, so that one number tells earlier from later
-    reps = classes.where("first.n >= 4").select("first.*").repartitionByRange(*place).sortWithinPartitions(*place)
-    reps = scratch.write(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
-    scratch.drop("classes")
-    postings = reps.select("id", "n", "bits", F.posexplode("prefix").alias("p", "token"))
-    listed = postings.withColumn("size", F.count("*").over(Window.partitionBy("token")))
-    listed = scratch.write(listed.where("size > 1").drop("size"), "listed")
+    reps = classes.where("n >= 4")
+    # copies (their logarithm), size, place of the pair in one number
+    shape = F.shiftleft(F.floor(F.log2("m")).cast("long"), 56).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 28))
+    postings = reps.select("doc_id", "at", shape.alias("shape"), F.posexplode("prefix").alias("p", "token")).withColumn("share", table.select("share").scalar())
+    often = F.col("token").bitwiseAND(_RARITY)
+    shares = F.pmod(F.xxhash64("doc_id", "at"), F.ceil(F.pow(F.lit(2.0), (often - F.col("share")) / _SCALE)))
+    part = F.when(often > F.col("share"), 1 + shares).otherwise(0).cast("int").alias("part")
+    postings = postings.select("token", part, "doc_id", "at", F.col("shape").bitwiseOR(F.col("p").cast("long")).alias("shape"))
+    in_order, me = Window.partitionBy("token", "part").orderBy("doc_id", "at"), F.struct("doc_id", "at", "shape")
+    most = F.max(F.struct(F.shiftright("shape", 56).alias("m"), "doc_id", "at", "shape")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = postings.select("*", F.row_number().over(in_order).alias("k"), F.first(me).over(in_order).alias("head"), most.alias("most"), F.lag(me).over(in_order).alias("prior"), F.lead("at").over(in_order).alias("next"))
+    listed = ranked.where("k > 1 or part > 0 or next is not null").select("token", "doc_id", "at", "shape", F.when(F.col("part") > 0, 1 << 30).otherwise(F.col("k")).alias("k"), F.when(F.col("k") > 1, F.array_distinct(F.array("head", F.struct("most.doc_id", "most.at", "most.shape"), "prior"))).alias("tries"))
+    listed = scratch.write(listed, "listed")
     scratch.drop()
-    in_order, me = Window.partitionBy("token").orderBy("id"), F.struct("id", "n", "p", "bits")
-    leaders = F.array(F.first(me).over(in_order), F.lag(me, 1).over(in_order), F.lag(me, 2).over(in_order))
-    led = listed.withColumn("k", F.row_number().over(in_order)).withColumn("x", leaders)
-    tried = led.where("k > 1").select("*", F.explode(F.array_distinct("x")).alias("e")).where(F.col("e.id") < F.col("id"))
-    tried = tried.where(_possible("", "e.")).select(F.col("id").alias("later"), F.col("e.id").alias("earlier"))
-    gone = _similar(tried, reps, docs, scratch, "led")
-    # up to the fourth of a list all earlier lines have been tried
-    open_ = led.where("k > 4").select("token", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "p", "bits")]).join(gone.withColumnRenamed("id", "id1"), "id1", "left_anti")
-    met = open_.join(listed, "token").where((F.col("id") < F.col("id1")) & _possible("1", ""))
-    late = _similar(met.select(F.col("id1").alias("later"), F.col("id").alias("earlier")), reps, docs, scratch, "late")
-    near = reps.join(gone.union(late).distinct(), "id", "left_semi").select(*place)
+    of = lambda end: reps.select(F.col("doc_id").alias(f"doc_id{end}"), F.col("at").alias(f"at{end}"), *[F.col(c).alias(f"{c}{end}") for c in ("n", "s", "t")])
+    pair = ["doc_id1", "at1", "doc_id2", "at2"]
+    tried = listed.select(F.col("doc_id").alias("doc_id1"), F.col("at").alias("at1"), "shape", F.explode("tries").alias("e")).where(_possible(F.col("shape"), F.col("e.shape")))
+    tried = tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct()
+    met = lambda df, end: df.join(of(end).alias("x"), df[f"doc_id{end}"].eqNullSafe(F.col(f"x.doc_id{end}")) & (df[f"at{end}"] == F.col(f"x.at{end}"))).select(df["*"], F.col(f"x.n{end}"), F.col(f"x.s{end}"), F.col(f"x.t{end}"))
+    gone = _similar(met(met(tried, 1), 2).where(_close("1", "2")).select(*pair), docs, scratch, "led")
+    # up to the third of a list all earlier lines have been tried
+    open_ = listed.where("k > 3").select("token", F.col("doc_id").alias("doc_id1"), F.col("at").alias("at1"), F.col("shape").alias("shape1"))
+    open_ = open_.join(gone, F.col("doc_id1").eqNullSafe(F.col("doc_id")) & (F.col("at1") == F.col("at")), "left_anti")
+    open_ = scratch.write(met(open_, 1), "open")
+    others = listed.select("token", F.col("doc_id").alias("doc_id2"), F.col("at").alias("at2"), F.col("shape").alias("shape2")).join(open_.select("token").distinct(), "token", "left_semi")
+    others = scratch.write(met(others, 2), "others")
+    earlier = F.struct(F.col("doc_id2").alias("d"), F.col("at2").alias("a")) < F.struct(F.col("doc_id1").alias("d"), F.col("at1").alias("a"))
+    late = open_.join(others, "token").where(_possible(F.col("shape1"), F.col("shape2")) & earlier & _close("1", "2")).select(*pair)
+    late = _similar(late, docs, scratch, "late")
     # a near line's equal copies are among `same` already
-    found = scratch.write(same.union(near).distinct(), "found")
-    scratch.drop("counts", "same", "reps", "listed", "led", "late")
+    found = scratch.write(same.union(gone).union(late).distinct(), "found")
+    scratch.drop("counts", "classes", "same", "listed", "open", "others", "led", "late")
     return found
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with their columns; from text go the lines that an earlier line resembles."""
     found = repeated_lines(spark, docs)
-    gone = found.groupBy("doc_id", "h").agg(F.collect_list("line_no").alias("_gone"))  # at most a document's lines
-    gone = gone.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "_gone")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_h")), "left")
+    h, number = F.shiftleft(F.shiftright("at", _LINE_BITS), _LINE_BITS), F.col("at").bitwiseAND((1 << _LINE_BITS) - 1).cast("int")
+    gone = found.groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_list(number).alias("_gone"))  # at most a document's lines
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text")) == F.col("_h")), "left")
     lines = F.split("text", "\n")
     stay = F.filter(F.transform(lines, lambda x, k: F.when(~F.array_contains("_gone", k), x)), lambda x: x.isNotNull())
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
