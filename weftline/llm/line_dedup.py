@@ -8,7 +8,7 @@ lost = 0.75 floor(0.2 n) + 0.25 n of the n - 1 pairs (two for each token that is
 in), so both prefixes of lost + 1 pairs hold a shared one. Sets of under four words can only match equal sets.
 
 - Rarity is the frequency of the token's hash bucket over all texts, on a logarithmic scale: a table of fixed size
-  (2^19 numbers) in a scalar subquery. Frequency and hash are packed into one 64-bit number, so that sorting numbers
+  (2^16 numbers) in a scalar subquery. Frequency and hash are packed into one 64-bit number, so that sorting numbers
   sorts by rarity.
 - Lines of equal sets collapse first (partial aggregation), and only the earliest of each goes on: a line
   that a third of all documents hold is one row.
@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 SIMILARITY = 0.8
-RARITY_BITS = 19
+RARITY_BITS = 16
 #: Lists of pairs whose rarer word stands more often than this are read in shares of about so many lines.
 SHARE = 50_000
+#: Postings are shuffled in so many slices by their hash, one after the other, so that fewer of them stand on disk at once.
+SLICES = 2
 _LINE_BITS = 27
 _SCALE = 900  # steps of the logarithmic scale for each doubling
 _RARITY = (1 << 15) - 1
@@ -48,37 +50,40 @@ def _spaced(text: Column) -> Column:
     return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
+def _words(line: Column) -> Column:
+    """Words of a line of _spaced() text; an empty one stands between neighbouring spaces."""
+    return F.split(line, " ")
+
+
 def _tokens(line: Column) -> Column:
     """Distinct hashes of the words of a line of _spaced() text."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _document(text: Column) -> Column:
-    """Leading bits of the hash of a text, above the place for a line number."""
-    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), _LINE_BITS + 1), _LINE_BITS)
+def _document(text: Column, apart: bool) -> Column:
+    """Where doc_ids repeat, leading bits of the hash of a text, above the place for a line number."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), _LINE_BITS + 1), _LINE_BITS) if apart else F.when(text.isNotNull(), F.lit(0).cast("long"))
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, at (hash of the text and line number), distinct token hashes; only lines that hold a word."""
-    lines = docs.select("doc_id", _document(F.col("text")).alias("h"), F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("k", "line"))
-    at = F.col("h").bitwiseOR(F.when(F.col("k") < 1 << _LINE_BITS, F.col("k").cast("long")).otherwise(F.raise_error(F.lit("a text of too many lines")).cast("long")))
-    return lines.select("doc_id", at.alias("at"), _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+def _number(at: Column) -> Column:
+    return at.bitwiseAND((1 << _LINE_BITS) - 1).cast("int")
 
 
-def _bucket(token: Column) -> Column:
-    return token.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND((1 << RARITY_BITS) - 1)
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
-    """One row: by hash bucket of words how often it occurs in all texts, as _SCALE log2(1 + n), under 2^15."""
-    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    """One row: by hash bucket of words how often it occurs in all texts, as _SCALE log2(1 + n), under 2^15, times 2^48;
+    and the least such value of words whose lists are read in shares."""
+    words = docs.select(F.explode(_words(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
+    counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
     every = counts.union(docs.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int"), F.lit(0).cast("long"))).groupBy("b").agg(F.sum("n").alias("n"))
     scaled = F.least(F.lit(_RARITY), F.floor(_SCALE * F.log2(1 + F.col("n")))).cast("long")
     packed = every.select(F.shiftleft(F.col("b").cast("long"), 15).bitwiseOR(scaled).alias("x"), "n")
-    by_bucket = F.transform(F.sort_array(F.collect_list("x")), lambda x: x.bitwiseAND(_RARITY).cast("int"))
+    by_bucket = F.transform(F.sort_array(F.collect_list("x")), lambda x: F.shiftleft(x.bitwiseAND(_RARITY), 48))
     share = F.greatest(F.lit(float(SHARE)), 16 * F.avg("n"))
-    return packed.agg(by_bucket.alias("counts"), F.floor(_SCALE * F.log2(1 + share)).cast("int").alias("share"))
+    return packed.agg(by_bucket.alias("counts"), F.ceil(_SCALE * F.log2(1 + share)).cast("int").alias("share"))
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -107,18 +112,17 @@ def _close(one: str, other: str) -> Column:
     return F.greatest(*differ) <= n + m - 2 * _needed(n, m)
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, apart: bool, scratch: Scratch, name: str) -> DataFrame:
     """Of the pairs (later line: doc_id1, at1; earlier: doc_id2, at2) the later ones that are similar, by the sets themselves."""
     near = scratch.write(pairs.distinct(), f"{name}-near")
     scratch.drop()
     # the texts of the documents concerned are read again: cheaper to keep than the sets of all lines
-    ends = F.explode(F.array(F.struct(F.col("doc_id1").alias("doc_id"), F.col("at1").alias("at")), F.struct(F.col("doc_id2").alias("doc_id"), F.col("at2").alias("at"))))
+    ends = F.explode(F.array(*[F.struct(F.col(f"doc_id{end}").alias("doc_id"), F.col(f"at{end}").alias("at")) for end in (1, 2)]))
     wanted = near.select(ends.alias("x")).select("x.*").distinct()
-    h = F.shiftright("at", _LINE_BITS)
-    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc_id"), F.shiftleft(h, _LINE_BITS).alias("_h")).agg(F.collect_list("at").alias("_wanted"))  # at most a document's lines
-    met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text")) == F.col("_h"))).select("doc_id", F.split(_spaced(F.col("text")), "\n").alias("lines"), F.explode("_wanted").alias("at"))
-    line = F.get("lines", F.col("at").bitwiseAND((1 << _LINE_BITS) - 1).cast("int"))
-    sets = scratch.write(met.select("doc_id", "at", _tokens(line).alias("tokens")).dropDuplicates(["doc_id", "at"]), f"{name}-sets")
+    h = F.shiftleft(F.shiftright("at", _LINE_BITS), _LINE_BITS)
+    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_list("at").alias("_wanted"))  # at most a document's lines
+    met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text"), apart) == F.col("_h"))).select("doc_id", F.split(_spaced(F.col("text")), "\n").alias("lines"), F.explode("_wanted").alias("at"))
+    sets = scratch.write(met.select("doc_id", "at", _tokens(F.get("lines", _number(F.col("at")))).alias("tokens")).dropDuplicates(["doc_id", "at"]), f"{name}-sets")
     same = lambda end: F.col("doc_id").eqNullSafe(F.col(f"doc_id{end}")) & (F.col("at") == F.col(f"at{end}"))
     full = near.join(sets.withColumnRenamed("tokens", "later"), same(1)).drop("doc_id", "at").join(sets.withColumnRenamed("tokens", "earlier"), same(2))
     both = F.size(F.array_intersect("later", "earlier"))
@@ -128,52 +132,67 @@ def _similar(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) ->
     return found
 
 
-def _keyed(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """doc_id, at, k1 and k2 (hashes of the set), n, sketches s and t, prefix: pairs with the rarity of their rarer word."""
-    size, counted = F.size("tokens"), F.col("counted")
-    packed = F.transform("tokens", lambda x: F.shiftleft(F.get(counted, _bucket(x)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(x, 16)))
-    turned = lambda shift: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(x, shift) if shift else x).bitwiseAND(63).cast("int"))))
-    ordered = line_sets(docs).withColumn("counted", table.select("counts").scalar()).select("doc_id", "at", F.sort_array(packed).alias("tokens"))
+def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
+    """doc_id, at (line number, above it _document()), k1 and k2 (hashes of the set), n, sketches s and t, and the prefix
+    as hashes of pairs: their lowest 15 bits are 0, or the share that reads the line where lists can be long."""
+    lines = docs.select("doc_id", _document(F.col("text"), apart).alias("h"), F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("k", "line"))
+    number = F.when(F.col("k") < 1 << _LINE_BITS, F.col("k").cast("long")).otherwise(F.raise_error(F.lit("a text of too many lines")).cast("long"))
+    lines = lines.select("doc_id", F.col("h").bitwiseOR(number).alias("at"), "line")
+    lines = lines.withColumn("counted", table.select("counts").scalar()).withColumn("limit", F.shiftleft(table.select("share").scalar().cast("long"), 48))
+    packed = lambda w: F.get(F.col("counted"), _bucket(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 16))
+    distinct = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), packed)), packed(F.lit("")))
+    ordered = lines.select("doc_id", "at", "limit", F.sort_array(distinct).alias("tokens")).where(F.size("tokens") > 0)
+    turned = lambda *seed: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x, *seed))))
     # at most `lost` neighbouring pairs of a set are broken up in a similar one, so one of the first lost + 1 is shared
+    size = F.size("tokens")
     lost = F.floor(0.75 * F.floor((1 - SIMILARITY) * size + 1e-9) + 0.25 * size + 1e-9).cast("int")
-    pair = lambda a, b: F.xxhash64(a, b).bitwiseAND(~_RARITY).bitwiseOR(F.shiftright(a, 48))
+    shares = lambda a: F.least(F.lit(_RARITY), F.ceil(F.pow(F.lit(2.0), (a - F.col("limit")) / float(_SCALE << 48))))
+    part = lambda a: F.when(a < F.col("limit"), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "at"), shares(a)))
+    pair = lambda a, b: F.xxhash64(a, b).bitwiseAND(~_RARITY).bitwiseOR(part(a))
     prefix = F.when(size >= 4, F.zip_with(F.slice("tokens", F.lit(1), lost + 1), F.slice("tokens", F.lit(2), lost + 1), pair))
-    return ordered.select("doc_id", "at", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), turned(0).alias("s"), turned(8).alias("t"), prefix.alias("prefix"))
+    return ordered.select("doc_id", "at", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), turned().alias("s"), turned(F.lit(1)).alias("t"), prefix.alias("prefix"))
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, at (leading bits of the text's hash, line number) of every line that an earlier line resembles."""
+def _listed(reps: DataFrame, part: int) -> DataFrame:
+    """Of a slice of the postings those that share their pair with another line: token, doc_id, at, shape (copies by their
+    logarithm, size, place of the pair), k (place in the list; high where it is one of several shares), tries: up to
+    three earlier lines."""
+    shape = F.shiftleft(F.floor(F.log2("m")).cast("long"), 56).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 28))
+    postings = reps.select("doc_id", "at", shape.alias("shape"), F.posexplode("prefix").alias("p", "token"))
+    postings = postings.where(F.pmod(F.shiftright("token", 15), F.lit(SLICES)) == part).select("token", "doc_id", "at", F.col("shape").bitwiseOR(F.col("p").cast("long")).alias("shape"))
+    in_order, me = Window.partitionBy("token").orderBy("doc_id", "at"), F.struct("doc_id", "at", "shape")
+    most = F.max(F.struct(F.shiftright("shape", 56).alias("m"), "doc_id", "at", "shape")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = postings.select("*", F.row_number().over(in_order).alias("k"), F.first(me).over(in_order).alias("head"), most.alias("most"), F.lag(me).over(in_order).alias("prior"), F.lead("at").over(in_order).alias("next"))
+    shared = F.col("token").bitwiseAND(_RARITY) > 0
+    tries = F.when(F.col("k") > 1, F.array_distinct(F.array("head", F.struct("most.doc_id", "most.at", "most.shape"), "prior")))
+    return ranked.where((F.col("k") > 1) | shared | F.col("next").isNotNull()).select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", F.when(shared, 1 << 30).otherwise(F.col("k")).alias("k"), tries.alias("tries"))
+
+
+def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, at of every line that an earlier line resembles; whether doc_ids repeat, so that `at` holds hashes of texts."""
     scratch = Scratch(spark, "lines")
     docs = docs.select("doc_id", "text").where("text is not null")
+    apart = bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
     table = scratch.write(frequencies(docs), "counts")
     scratch.drop()
-    keyed = scratch.write(_keyed(docs, table), "keyed")
+    keyed = scratch.write(_keyed(docs, table, apart), "keyed")
     classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at", "n", "s", "t", "prefix")).alias("first"), F.count("*").alias("m"))
     classes = scratch.write(classes.select("k1", "k2", "m", "first.*"), "classes")
     scratch.drop()
     first = classes.where("m > 1").select("k1", "k2", F.struct("doc_id", "at").alias("first"))
     same = scratch.write(keyed.select("doc_id", "at", "k1", "k2").join(first, ["k1", "k2"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at"), "same")
     scratch.drop("keyed")
-    reps = classes.where("n >= 4")
-    # copies (their logarithm), size, place of the pair in one number
-    shape = F.shiftleft(F.floor(F.log2("m")).cast("long"), 56).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 28))
-    postings = reps.select("doc_id", "at", shape.alias("shape"), F.posexplode("prefix").alias("p", "token")).withColumn("share", table.select("share").scalar())
-    often = F.col("token").bitwiseAND(_RARITY)
-    shares = F.pmod(F.xxhash64("doc_id", "at"), F.ceil(F.pow(F.lit(2.0), (often - F.col("share")) / _SCALE)))
-    part = F.when(often > F.col("share"), 1 + shares).otherwise(0).cast("int").alias("part")
-    postings = postings.select("token", part, "doc_id", "at", F.col("shape").bitwiseOR(F.col("p").cast("long")).alias("shape"))
-    in_order, me = Window.partitionBy("token", "part").orderBy("doc_id", "at"), F.struct("doc_id", "at", "shape")
-    most = F.max(F.struct(F.shiftright("shape", 56).alias("m"), "doc_id", "at", "shape")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = postings.select("*", F.row_number().over(in_order).alias("k"), F.first(me).over(in_order).alias("head"), most.alias("most"), F.lag(me).over(in_order).alias("prior"), F.lead("at").over(in_order).alias("next"))
-    listed = ranked.where("k > 1 or part > 0 or next is not null").select("token", "doc_id", "at", "shape", F.when(F.col("part") > 0, 1 << 30).otherwise(F.col("k")).alias("k"), F.when(F.col("k") > 1, F.array_distinct(F.array("head", F.struct("most.doc_id", "most.at", "most.shape"), "prior"))).alias("tries"))
-    listed = scratch.write(listed, "listed")
-    scratch.drop()
-    of = lambda end: reps.select(F.col("doc_id").alias(f"doc_id{end}"), F.col("at").alias(f"at{end}"), *[F.col(c).alias(f"{c}{end}") for c in ("n", "s", "t")])
+    reps, listed = classes.where("n >= 4"), None
+    for part in range(SLICES):
+        some = scratch.write(_listed(reps, part), f"listed-{part}")
+        scratch.drop()
+        listed = some if listed is None else listed.union(some)
+    of = lambda end: reps.select(*[F.col(c).alias(f"{c}{end}") for c in ("doc_id", "at", "n", "s", "t")]).alias("x")
+    met = lambda df, end: df.join(of(end), df[f"doc_id{end}"].eqNullSafe(F.col(f"x.doc_id{end}")) & (df[f"at{end}"] == F.col(f"x.at{end}"))).select(df["*"], *[F.col(f"x.{c}{end}") for c in ("n", "s", "t")])
     pair = ["doc_id1", "at1", "doc_id2", "at2"]
     tried = listed.select(F.col("doc_id").alias("doc_id1"), F.col("at").alias("at1"), "shape", F.explode("tries").alias("e")).where(_possible(F.col("shape"), F.col("e.shape")))
     tried = tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct()
-    met = lambda df, end: df.join(of(end).alias("x"), df[f"doc_id{end}"].eqNullSafe(F.col(f"x.doc_id{end}")) & (df[f"at{end}"] == F.col(f"x.at{end}"))).select(df["*"], F.col(f"x.n{end}"), F.col(f"x.s{end}"), F.col(f"x.t{end}"))
-    gone = _similar(met(met(tried, 1), 2).where(_close("1", "2")).select(*pair), docs, scratch, "led")
+    gone = _similar(met(met(tried, 1), 2).where(_close("1", "2")).select(*pair), docs, apart, scratch, "led")
     # up to the third of a list all earlier lines have been tried
     open_ = listed.where("k > 3").select("token", F.col("doc_id").alias("doc_id1"), F.col("at").alias("at1"), F.col("shape").alias("shape1"))
     open_ = open_.join(gone, F.col("doc_id1").eqNullSafe(F.col("doc_id")) & (F.col("at1") == F.col("at")), "left_anti")
@@ -182,19 +201,24 @@ def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     others = scratch.write(met(others, 2), "others")
     earlier = F.struct(F.col("doc_id2").alias("d"), F.col("at2").alias("a")) < F.struct(F.col("doc_id1").alias("d"), F.col("at1").alias("a"))
     late = open_.join(others, "token").where(_possible(F.col("shape1"), F.col("shape2")) & earlier & _close("1", "2")).select(*pair)
-    late = _similar(late, docs, scratch, "late")
+    late = _similar(late, docs, apart, scratch, "late")
     # a near line's equal copies are among `same` already
     found = scratch.write(same.union(gone).union(late).distinct(), "found")
-    scratch.drop("counts", "classes", "same", "listed", "open", "others", "led", "late")
-    return found
+    scratch.drop("counts", "classes", "same", *(f"listed-{part}" for part in range(SLICES)), "open", "others", "led", "late")
+    return found, apart
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, line_no of every line that an earlier line resembles."""
+    return _repeated(spark, docs)[0].select("doc_id", _number(F.col("at")).alias("line_no"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with their columns; from text go the lines that an earlier line resembles."""
-    found = repeated_lines(spark, docs)
-    h, number = F.shiftleft(F.shiftright("at", _LINE_BITS), _LINE_BITS), F.col("at").bitwiseAND((1 << _LINE_BITS) - 1).cast("int")
-    gone = found.groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_list(number).alias("_gone"))  # at most a document's lines
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text")) == F.col("_h")), "left")
+    found, apart = _repeated(spark, docs)
+    h = F.shiftleft(F.shiftright("at", _LINE_BITS), _LINE_BITS)
+    gone = found.groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_list(_number(F.col("at"))).alias("_gone"))  # at most a document's lines
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text"), apart) == F.col("_h")), "left")
     lines = F.split("text", "\n")
     stay = F.filter(F.transform(lines, lambda x, k: F.when(~F.array_contains("_gone", k), x)), lambda x: x.isNotNull())
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
