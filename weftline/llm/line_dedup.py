@@ -137,11 +137,12 @@ def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
     as hashes of pairs: their lowest 15 bits are 0, or the share that reads the line where lists can be long."""
     lines = docs.select("doc_id", _document(F.col("text"), apart).alias("h"), F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("k", "line"))
     number = F.when(F.col("k") < 1 << _LINE_BITS, F.col("k").cast("long")).otherwise(F.raise_error(F.lit("a text of too many lines")).cast("long"))
-    lines = lines.select("doc_id", F.col("h").bitwiseOR(number).alias("at"), "line")
+    # a filter on the tokens themselves would be pushed below and cost a second tokenisation
+    lines = lines.where(F.trim(F.col("line")) != "").select("doc_id", F.col("h").bitwiseOR(number).alias("at"), "line")
     lines = lines.withColumn("counted", table.select("counts").scalar()).withColumn("limit", F.shiftleft(table.select("share").scalar().cast("long"), 48))
     packed = lambda w: F.get(F.col("counted"), _bucket(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 16))
-    distinct = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), packed)), packed(F.lit("")))
-    ordered = lines.select("doc_id", "at", "limit", F.sort_array(distinct).alias("tokens")).where(F.size("tokens") > 0)
+    distinct = F.array_distinct(F.transform(F.array_remove(_words(F.col("line")), ""), packed))  # `counted` once only: else each row gets a copy
+    ordered = lines.select("doc_id", "at", "limit", F.sort_array(distinct).alias("tokens"))
     turned = lambda *seed: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x, *seed))))
     # at most `lost` neighbouring pairs of a set are broken up in a similar one, so one of the first lost + 1 is shared
     size = F.size("tokens")
