@@ -39,7 +39,7 @@ RARITY_BITS = 16
 #: Lists of pairs whose rarer word stands more often than this are read in shares of about so many lines.
 SHARE = 50_000
 #: Postings are shuffled in so many slices by their hash, one after the other, so that fewer of them stand on disk at once.
-SLICES = 2
+SLICES = 4
 _LINE_BITS = 27
 _SCALE = 900  # steps of the logarithmic scale for each doubling
 _RARITY = (1 << 15) - 1
@@ -76,7 +76,7 @@ def _bucket(word: Column) -> Column:
 def frequencies(docs: DataFrame) -> DataFrame:
     """One row: by hash bucket of words how often it occurs in all texts, as _SCALE log2(1 + n), under 2^15, times 2^48;
     and the least such value of words whose lists are read in shares."""
-    words = docs.select(F.explode(_words(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(_words(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")))).alias("w"))
     counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
     every = counts.union(docs.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int"), F.lit(0).cast("long"))).groupBy("b").agg(F.sum("n").alias("n"))
     scaled = F.least(F.lit(_RARITY), F.floor(_SCALE * F.log2(1 + F.col("n")))).cast("long")
@@ -161,12 +161,14 @@ def _listed(reps: DataFrame, part: int) -> DataFrame:
     shape = F.shiftleft(F.floor(F.log2("m")).cast("long"), 56).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 28))
     postings = reps.select("doc_id", "at", shape.alias("shape"), F.posexplode("prefix").alias("p", "token"))
     postings = postings.where(F.pmod(F.shiftright("token", 15), F.lit(SLICES)) == part).select("token", "doc_id", "at", F.col("shape").bitwiseOR(F.col("p").cast("long")).alias("shape"))
+    # most pairs stand in one line: a count alone finds them, and only the others are put in order
+    shared = F.col("token").bitwiseAND(_RARITY) > 0
+    postings = postings.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where((F.col("size") > 1) | shared)
     in_order, me = Window.partitionBy("token").orderBy("doc_id", "at"), F.struct("doc_id", "at", "shape")
     most = F.max(F.struct(F.shiftright("shape", 56).alias("m"), "doc_id", "at", "shape")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = postings.select("*", F.row_number().over(in_order).alias("k"), F.first(me).over(in_order).alias("head"), most.alias("most"), F.lag(me).over(in_order).alias("prior"), F.lead("at").over(in_order).alias("next"))
-    shared = F.col("token").bitwiseAND(_RARITY) > 0
+    ranked = postings.select("*", F.row_number().over(in_order).alias("k"), F.first(me).over(in_order).alias("head"), most.alias("most"), F.lag(me).over(in_order).alias("prior"))
     tries = F.when(F.col("k") > 1, F.array_distinct(F.array("head", F.struct("most.doc_id", "most.at", "most.shape"), "prior")))
-    return ranked.where((F.col("k") > 1) | shared | F.col("next").isNotNull()).select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", F.when(shared, 1 << 30).otherwise(F.col("k")).alias("k"), tries.alias("tries"))
+    return ranked.select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", F.when(shared, 1 << 30).otherwise(F.col("k")).alias("k"), tries.alias("tries"))
 
 
 def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
