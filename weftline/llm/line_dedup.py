@@ -105,35 +105,35 @@ def _possible(one: Column, other: Column) -> Column:
     return by_length & (F.least(p, q) + F.least(n - p, m - q) >= _needed(n, m))
 
 
-def _close(one: str, other: str) -> Column:
-    """The sketches' bound of the difference; names of columns end in one and other."""
-    n, m = F.col(f"n{one}"), F.col(f"n{other}")
-    differ = [F.bit_count(F.col(f"{c}{one}").bitwiseXOR(F.col(f"{c}{other}"))) for c in ("s", "t")]
-    return F.greatest(*differ) <= n + m - 2 * _needed(n, m)
+def _alike() -> Column:
+    """Whether sets `later` and `earlier` are similar; first the bound by their sketches, which is cheaper."""
+    n, m = F.size("later"), F.size("earlier")
+    differ = [F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in ("s", "t")]
+    exact = F.size(F.array_intersect("later", "earlier")) >= _needed(n, m)
+    return F.when(F.greatest(*differ) <= n + m - 2 * _needed(n, m), exact).otherwise(False)
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, apart: bool, scratch: Scratch, name: str) -> DataFrame:
-    """Of the pairs (later line: doc_id1, at1; earlier: doc_id2, at2) the later ones that are similar, by the sets themselves."""
-    near = scratch.write(pairs.distinct(), f"{name}-near")
-    scratch.drop()
-    # the texts of the documents concerned are read again: cheaper to keep than the sets of all lines
-    ends = F.explode(F.array(*[F.struct(F.col(f"doc_id{end}").alias("doc_id"), F.col(f"at{end}").alias("at")) for end in (1, 2)]))
-    wanted = near.select(ends.alias("x")).select("x.*").distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, apart: bool) -> DataFrame:
+    """doc_id, at, tokens, sketches s and t of the lines concerned, whose texts are read again: cheaper than to keep
+    the sets of all lines."""
     h = F.shiftleft(F.shiftright("at", _LINE_BITS), _LINE_BITS)
-    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_list("at").alias("_wanted"))  # at most a document's lines
-    met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text"), apart) == F.col("_h"))).select("doc_id", F.split(_spaced(F.col("text")), "\n").alias("lines"), F.explode("_wanted").alias("at"))
-    sets = scratch.write(met.select("doc_id", "at", _tokens(F.get("lines", _number(F.col("at")))).alias("tokens")).dropDuplicates(["doc_id", "at"]), f"{name}-sets")
-    same = lambda end: F.col("doc_id").eqNullSafe(F.col(f"doc_id{end}")) & (F.col("at") == F.col(f"at{end}"))
-    full = near.join(sets.withColumnRenamed("tokens", "later"), same(1)).drop("doc_id", "at").join(sets.withColumnRenamed("tokens", "earlier"), same(2))
-    both = F.size(F.array_intersect("later", "earlier"))
-    found = full.where(both >= _needed(F.size("later"), F.size("earlier"))).select(F.col("doc_id1").alias("doc_id"), F.col("at1").alias("at")).distinct()
-    found = scratch.write(found, name)
-    scratch.drop(f"{name}-near", f"{name}-sets")
-    return found
+    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_set("at").alias("_wanted"))  # at most a document's lines
+    met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text"), apart) == F.col("_h"))).select("doc_id", F.split(_spaced(F.col("text")), "\n").alias("lines"), "_wanted")
+    each = F.transform("_wanted", lambda at: F.struct(at.alias("at"), F.get(F.col("lines"), _number(at)).alias("line")))
+    sets = met.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.at", _tokens(F.col("x.line")).alias("tokens"))
+    turned = lambda *seed: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x, *seed))))
+    # documents that stand twice give a line twice
+    return sets.select("doc_id", "at", "tokens", turned().alias("s"), turned(F.lit(1)).alias("t")).dropDuplicates(["doc_id", "at"])
+
+
+def _with_set(df: DataFrame, sets: DataFrame, end: int) -> DataFrame:
+    """df with the set and the sketches of its line doc_id<end>, at<end>."""
+    own = sets.select("doc_id", "at", F.col("tokens").alias("later" if end == 1 else "earlier"), F.col("s").alias(f"s{end}"), F.col("t").alias(f"t{end}"))
+    return df.join(own, F.col("doc_id").eqNullSafe(F.col(f"doc_id{end}")) & (F.col("at") == F.col(f"at{end}"))).drop("doc_id", "at")
 
 
 def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
-    """doc_id, at (line number, above it _document()), k1 and k2 (hashes of the set), n, sketches s and t, and the prefix
+    """doc_id, at (line number, above it _document()), k1 and k2 (hashes of the set), n, and the prefix
     as hashes of pairs: their lowest 15 bits are 0, or the share that reads the line where lists can be long."""
     lines = docs.select("doc_id", _document(F.col("text"), apart).alias("h"), F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("k", "line"))
     number = F.when(F.col("k") < 1 << _LINE_BITS, F.col("k").cast("long")).otherwise(F.raise_error(F.lit("a text of too many lines")).cast("long"))
@@ -143,7 +143,6 @@ def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
     packed = lambda w: F.get(F.col("counted"), _bucket(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 16))
     distinct = F.array_distinct(F.transform(F.array_remove(_words(F.col("line")), ""), packed))  # `counted` once only: else each row gets a copy
     ordered = lines.select("doc_id", "at", "limit", F.sort_array(distinct).alias("tokens"))
-    turned = lambda *seed: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x, *seed))))
     # at most `lost` neighbouring pairs of a set are broken up in a similar one, so one of the first lost + 1 is shared
     size = F.size("tokens")
     lost = F.floor(0.75 * F.floor((1 - SIMILARITY) * size + 1e-9) + 0.25 * size + 1e-9).cast("int")
@@ -151,13 +150,13 @@ def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
     part = lambda a: F.when(a < F.col("limit"), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "at"), shares(a)))
     pair = lambda a, b: F.xxhash64(a, b).bitwiseAND(~_RARITY).bitwiseOR(part(a))
     prefix = F.when(size >= 4, F.zip_with(F.slice("tokens", F.lit(1), lost + 1), F.slice("tokens", F.lit(2), lost + 1), pair))
-    return ordered.select("doc_id", "at", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), turned().alias("s"), turned(F.lit(1)).alias("t"), prefix.alias("prefix"))
+    return ordered.select("doc_id", "at", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), prefix.alias("prefix"))
 
 
 def _listed(reps: DataFrame, part: int) -> DataFrame:
     """Of a slice of the postings those that share their pair with another line: token, doc_id, at, shape (copies by their
-    logarithm, size, place of the pair), k (place in the list; high where it is one of several shares), tries: up to
-    three earlier lines."""
+    logarithm, size, place of the pair), k (place in the list; high where it is one of several shares), long (whether lines of the list can be left untried),
+    tries: up to three earlier lines."""
     shape = F.shiftleft(F.floor(F.log2("m")).cast("long"), 56).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 28))
     postings = reps.select("doc_id", "at", shape.alias("shape"), F.posexplode("prefix").alias("p", "token"))
     postings = postings.where(F.pmod(F.shiftright("token", 15), F.lit(SLICES)) == part).select("token", "doc_id", "at", F.col("shape").bitwiseOR(F.col("p").cast("long")).alias("shape"))
@@ -168,7 +167,7 @@ def _listed(reps: DataFrame, part: int) -> DataFrame:
     most = F.max(F.struct(F.shiftright("shape", 56).alias("m"), "doc_id", "at", "shape")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     ranked = postings.select("*", F.row_number().over(in_order).alias("k"), F.first(me).over(in_order).alias("head"), most.alias("most"), F.lag(me).over(in_order).alias("prior"))
     tries = F.when(F.col("k") > 1, F.array_distinct(F.array("head", F.struct("most.doc_id", "most.at", "most.shape"), "prior")))
-    return ranked.select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", F.when(shared, 1 << 30).otherwise(F.col("k")).alias("k"), tries.alias("tries"))
+    return ranked.select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", F.when(shared, 1 << 30).otherwise(F.col("k")).alias("k"), (shared | (F.col("size") > 3)).alias("long"), tries.alias("tries"))
 
 
 def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -179,35 +178,39 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     table = scratch.write(frequencies(docs), "counts")
     scratch.drop()
     keyed = scratch.write(_keyed(docs, table, apart), "keyed")
-    classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at", "n", "s", "t", "prefix")).alias("first"), F.count("*").alias("m"))
+    classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at", "n", "prefix")).alias("first"), F.count("*").alias("m"))
     classes = scratch.write(classes.select("k1", "k2", "m", "first.*"), "classes")
     scratch.drop()
     first = classes.where("m > 1").select("k1", "k2", F.struct("doc_id", "at").alias("first"))
     same = scratch.write(keyed.select("doc_id", "at", "k1", "k2").join(first, ["k1", "k2"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at"), "same")
     scratch.drop("keyed")
-    reps, listed = classes.where("n >= 4"), None
+    listed = None
     for part in range(SLICES):
-        some = scratch.write(_listed(reps, part), f"listed-{part}")
+        some = scratch.write(_listed(classes.where("n >= 4"), part), f"listed-{part}")
         scratch.drop()
         listed = some if listed is None else listed.union(some)
-    of = lambda end: reps.select(*[F.col(c).alias(f"{c}{end}") for c in ("doc_id", "at", "n", "s", "t")]).alias("x")
-    met = lambda df, end: df.join(of(end), df[f"doc_id{end}"].eqNullSafe(F.col(f"x.doc_id{end}")) & (df[f"at{end}"] == F.col(f"x.at{end}"))).select(df["*"], *[F.col(f"x.{c}{end}") for c in ("n", "s", "t")])
-    pair = ["doc_id1", "at1", "doc_id2", "at2"]
-    tried = listed.select(F.col("doc_id").alias("doc_id1"), F.col("at").alias("at1"), "shape", F.explode("tries").alias("e")).where(_possible(F.col("shape"), F.col("e.shape")))
-    tried = tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct()
-    gone = _similar(met(met(tried, 1), 2).where(_close("1", "2")).select(*pair), docs, apart, scratch, "led")
+    scratch.drop("classes", "counts")
+    line1, line2 = ([F.col(c).alias(f"{c}{end}") for c in ("doc_id", "at")] for end in (1, 2))
+    tried = listed.select(*line1, "shape", F.explode("tries").alias("e")).where(_possible(F.col("shape"), F.col("e.shape")))
+    tried = scratch.write(tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct(), "tried")
+    ends = F.explode(F.array(*[F.struct(F.col(f"doc_id{end}").alias("doc_id"), F.col(f"at{end}").alias("at")) for end in (1, 2)]))
+    wanted = tried.select(ends.alias("x")).select("x.*").union(listed.where("long").select("doc_id", "at")).distinct()
+    sets = scratch.write(_sets(wanted, docs, apart), "sets")
+    scratch.drop()
+    led = _with_set(_with_set(tried, sets, 1), sets, 2).where(_alike())
+    gone = scratch.write(led.select(F.col("doc_id1").alias("doc_id"), F.col("at1").alias("at")).distinct(), "led")
+    scratch.drop("tried")
     # up to the third of a list all earlier lines have been tried
-    open_ = listed.where("k > 3").select("token", F.col("doc_id").alias("doc_id1"), F.col("at").alias("at1"), F.col("shape").alias("shape1"))
+    open_ = listed.where("k > 3").select("token", *line1, F.col("shape").alias("shape1"))
     open_ = open_.join(gone, F.col("doc_id1").eqNullSafe(F.col("doc_id")) & (F.col("at1") == F.col("at")), "left_anti")
-    open_ = scratch.write(met(open_, 1), "open")
-    others = listed.select("token", F.col("doc_id").alias("doc_id2"), F.col("at").alias("at2"), F.col("shape").alias("shape2")).join(open_.select("token").distinct(), "token", "left_semi")
-    others = scratch.write(met(others, 2), "others")
+    open_ = scratch.write(open_, "open")
+    others = listed.where("long").select("token", *line2, F.col("shape").alias("shape2")).join(open_.select("token").distinct(), "token", "left_semi")
     earlier = F.struct(F.col("doc_id2").alias("d"), F.col("at2").alias("a")) < F.struct(F.col("doc_id1").alias("d"), F.col("at1").alias("a"))
-    late = open_.join(others, "token").where(_possible(F.col("shape1"), F.col("shape2")) & earlier & _close("1", "2")).select(*pair)
-    late = _similar(late, docs, apart, scratch, "late")
+    met = _with_set(open_, sets, 1).join(_with_set(others, sets, 2), "token").where(F.when(earlier & _possible(F.col("shape1"), F.col("shape2")), _alike()).otherwise(False))
+    late = scratch.write(met.select(F.col("doc_id1").alias("doc_id"), F.col("at1").alias("at")).distinct(), "late")
     # a near line's equal copies are among `same` already
     found = scratch.write(same.union(gone).union(late).distinct(), "found")
-    scratch.drop("counts", "classes", "same", *(f"listed-{part}" for part in range(SLICES)), "open", "others", "led", "late")
+    scratch.drop("same", *(f"listed-{part}" for part in range(SLICES)), "sets", "open", "led", "late")
     return found, apart
 
 
