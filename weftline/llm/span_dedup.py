@@ -1,8 +1,8 @@
 """Repeated passages by sliding sentence spans.
 
 At every sentence begins a run, and at every sentence ends one: the fewest consecutive sentences, two at least,
-that hold MIN_WORDS words; a sentence of LONE_WORDS is also a run alone. Runs are hashed (128 bits) and met
-globally; of equal runs the first, by doc_id and place, stays, and every sentence that any other run covers goes.
+that hold MIN_WORDS words. A sentence has at most MAX_WORDS words: longer stretches without an end mark are cut
+after every so many. Runs are hashed (128 bits) and met globally; of equal runs the first, by doc_id and place, stays, and every sentence that any other run covers goes.
 A passage that is as long as a run is covered from end to end by runs inside it: by the one that begins at each
 sentence or, where that reaches beyond the passage, by the one that ends with it.
 
@@ -29,11 +29,12 @@ from .common import Scratch
 
 MIN_SENTENCES = 2
 MIN_WORDS = 15
-LONE_WORDS = 30
+MAX_WORDS = 40
 
 #: A sentence with the marks and white space after it; a mark inside a word or number ends nothing.
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?=[^\s.!?]))+[.!?]*\s*|[.!?\n]+\s*")
 _WORDY = re.compile(r"\w")
+_PIECE = re.compile(rf"\s*(?:\S+\s*){{1,{MAX_WORDS}}}")
 
 
 def sentences(text: str) -> list[str]:
@@ -42,6 +43,8 @@ def sentences(text: str) -> list[str]:
     for part in _SENTENCE.findall(text):
         if out and not _WORDY.search(part):
             out[-1] += part
+        elif len(part) > 2 * MAX_WORDS and len(part.split()) > MAX_WORDS:
+            out += _PIECE.findall(part)
         else:
             out.append(part)
     return out
@@ -52,7 +55,7 @@ def runs(text: str) -> list[tuple[int, int, int, int]]:
     words = [s.split() for s in sentences(text)]
     plain = [" ".join(w) for w in words]
     before = [0, *accumulate(map(len, words))]
-    found = {(k, k + 1) for k, w in enumerate(words) if len(w) >= LONE_WORDS}
+    found: set[tuple[int, int]] = set()
     end, begin = 0, 0
     for at in range(len(words)):
         end = max(end, at + MIN_SENTENCES)
