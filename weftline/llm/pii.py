@@ -5,8 +5,8 @@ words that hold a digit or an @. It scores whole candidate segments - their shap
 digit, address parts, the words before them - and a dynamic programme over segments of at most MAX_ATOMS
 atoms chooses boundaries and types together. What it chooses is added where it overlaps no pattern's span:
 numbers without a country code, masked addresses, and keys or tokens (kind secret).
-Bounds of what is added: a segment has at most MAX_ATOMS atoms and 200 characters, and stretches without a digit
-or an @ are not read, so longer keys (JWTs, say) and all-letter secrets get no added span.
+Bounds of what is added: a segment has at most MAX_ATOMS atoms (runs of letters and digits, of any length, or single
+other characters), and stretches without a digit or an @ are not read, so all-letter secrets get no added span.
 
 The model is trained by stochastic gradient on the log-likelihood, from generated examples and from patterns
 in at most TRAIN_ROWS documents (those whose hash falls under a threshold); finding reads all rows. One pass,
@@ -14,7 +14,8 @@ no shuffle; the weights (a few thousand) travel with the task.
 
 Defined results: null text counts as empty and has no spans; rows are treated alone, so ties, repeated and
 null doc_ids give a row each; an empty table gives no rows; other columns are ignored. Texts of any length
-are read whole, in time proportional to their length.
+are read whole, in time proportional to their length; candidate segments and their features are held for one atom
+at a time, and of the rest only a few numbers an atom.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ import hashlib
 import math
 import random
 import re
+from array import array
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +51,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_NOT_LETTER = re.compile(r"[^A-Za-z]+")
+_NOT_HEX = re.compile(r"[^0-9a-fA-F]")
 _ANCHOR = re.compile(r"[0-9@]")
 
 
@@ -108,7 +114,7 @@ def clusters(text: str):
 
 def kinds_of(segment: str) -> list[str]:
     """Types that a segment can have at all."""
-    digits = sum(map(str.isdigit, segment))
+    digits = len(_NOT_DIGIT.sub("", segment))
     if segment.count("@") == 1 and " " not in segment:
         return ["email"]
     if "@" in segment or not digits:
@@ -128,16 +134,15 @@ def kinds_of(segment: str) -> list[str]:
 
 def features(segment: str, kind: str, before: tuple[str, str], left: str, right: str) -> list[str]:
     """Of the whole span: its shape, its digits, checks, and what stands beside it."""
-    digits = "".join(filter(str.isdigit, segment))
-    shape = segment
-    for pattern, to in _SHAPE:
-        shape = pattern.sub(to, shape)
-    letters = sum(map(str.isalpha, segment))
+    digits = _NOT_DIGIT.sub("", segment)
     out = ["bias", f"digits{min(len(digits), 20)}", f"left{left}", f"right{right}", f"word{before[1][:12]}", f"first{segment[0] if not segment[0].isalnum() else 'x'}"]
     if kind in ("email", "secret"):
-        out += [f"length{min(len(segment) // 8, 8)}", f"mix{min(9, 10 * len(digits) // len(segment))}", f"hex{all(c in '0123456789abcdefABCDEF' for c in segment)}", f"word2{before[0][:12]}", f"dots{min(segment.count('.'), 4)}"]
-        out.append(f"tld{'.' in segment.partition('@')[2] and segment[-1].isalpha()}" if kind == "email" else f"letters{min(letters // 4, 6)}")
+        out += [f"length{min(len(segment) // 8, 8)}", f"mix{min(9, 10 * len(digits) // len(segment))}", f"hex{not _NOT_HEX.search(segment)}", f"word2{before[0][:12]}", f"dots{min(segment.count('.'), 4)}"]
+        out.append(f"tld{'.' in segment.partition('@')[2] and segment[-1].isalpha()}" if kind == "email" else f"letters{min(len(_NOT_LETTER.sub('', segment)) // 4, 6)}")
     else:
+        shape = segment
+        for pattern, to in _SHAPE:
+            shape = pattern.sub(to, shape)
         out += [f"shape{shape}", f"separators{len(set(segment) - set('0123456789'))}"]
         if kind == "card":
             out.append(f"luhn{luhn(digits)}|{len(digits) >= 16}")
@@ -148,30 +153,39 @@ def features(segment: str, kind: str, before: tuple[str, str], left: str, right:
     return [f"{kind}:{x}" for x in out]
 
 
-def lattice(text: str, start: int, end: int, before: tuple[str, str]):
-    """Atoms of a cluster, and by atom the candidate segments that begin there: (end atom, kind, features)."""
-    atoms = [(m.start() + start, m.end() + start) for m in _ATOM.finditer(text[start:end])]
-    edges: list[list[tuple[int, str, list[str]]]] = []
-    for i, (a, _) in enumerate(atoms):
-        own: list[tuple[int, str, list[str]]] = []
-        edges.append(own)
-        if not (text[a].isalnum() or text[a] in "+("):
+def atoms_of(text: str, start: int, end: int) -> tuple[array, array]:
+    """Starts and ends of a cluster's atoms."""
+    starts, ends = array("q"), array("q")
+    for m in _ATOM.finditer(text, start, end):
+        starts.append(m.start())
+        ends.append(m.end())
+    return starts, ends
+
+
+def segments_at(text: str, starts: array, ends: array, i: int, before: tuple[str, str]) -> list[tuple[int, str, list[str]]]:
+    """Candidate segments that begin at atom i: (end atom, kind, features)."""
+    a, own = starts[i], []
+    if not (text[a].isalnum() or text[a] in "+("):
+        return own
+    left = text[a - 1] if a else "^"
+    if left.isalnum():
+        left = "x"
+    previous = before if i == 0 or text[a - 1] in "\"'" and i == 1 else ("", "")
+    for j in range(i, min(i + MAX_ATOMS, len(starts))):
+        b = ends[j]
+        if not text[b - 1].isalnum():
             continue
-        left = text[a - 1] if a else "^"
-        if left.isalnum():
-            left = "x"
-        previous = before if i == 0 or text[a - 1] in "\"'" and i == 1 else ("", "")
-        for j in range(i, min(i + MAX_ATOMS, len(atoms))):
-            b = atoms[j][1]
-            if not text[b - 1].isalnum():
-                continue
-            segment = text[a:b]
-            if len(segment) > 200:
-                break
-            right = text[b] if b < len(text) else "$"
-            for kind in kinds_of(segment):
-                own.append((j + 1, kind, features(segment, kind, previous, left, "x" if right.isalnum() else right)))
-    return atoms, edges
+        segment = text[a:b]
+        right = text[b] if b < len(text) else "$"
+        for kind in kinds_of(segment):
+            own.append((j + 1, kind, features(segment, kind, previous, left, "x" if right.isalnum() else right)))
+    return own
+
+
+def lattice(text: str, start: int, end: int, before: tuple[str, str]):
+    """Atoms of a (short) cluster, and by atom the candidate segments that begin there."""
+    starts, ends = atoms_of(text, start, end)
+    return list(zip(starts, ends, strict=True)), [segments_at(text, starts, ends, i, before) for i in range(len(starts))]
 
 
 def _scores(edges, weights):
@@ -180,21 +194,22 @@ def _scores(edges, weights):
 
 def decode(text: str, cluster, weights: dict[str, float]) -> list[tuple[str, int, int]]:
     """The segmentation of highest score; an atom outside any entity scores 0."""
-    atoms, edges = lattice(text, *cluster)
-    if not any(edges):
-        return []
-    best, back = [0.0] + [-math.inf] * len(atoms), [None] * (len(atoms) + 1)
-    for i, own in enumerate(_scores(edges, weights)):
+    start, end, before = cluster
+    starts, ends = atoms_of(text, start, end)
+    n = len(starts)
+    best, back, kinds = array("d", [0.0]) + array("d", [-math.inf]) * n, array("q", [0]) * (n + 1), array("b", [-1]) * (n + 1)
+    for i in range(n):
         if best[i] > best[i + 1]:
-            best[i + 1], back[i + 1] = best[i], (i, None)
-        for j, kind, _, s in own:
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (i, kind)
-    out, at = [], len(atoms)
+            best[i + 1], back[i + 1], kinds[i + 1] = best[i], i, -1
+        for j, kind, f in segments_at(text, starts, ends, i, before):
+            s = best[i] + sum(weights.get(x, 0.0) for x in f)
+            if s > best[j]:
+                best[j], back[j], kinds[j] = s, i, KINDS.index(kind)
+    out, at = [], n
     while at:
-        i, kind = back[at]
-        if kind:
-            out.append((kind, atoms[i][0], atoms[at - 1][1]))
+        i = back[at]
+        if kinds[at] >= 0:
+            out.append((KINDS[kinds[at]], starts[i], ends[at - 1]))
         at = i
     return out[::-1]
 
@@ -230,7 +245,7 @@ def step(text: str, cluster, gold: list[tuple[str, int, int]], weights: dict[str
 
 
 #: Fixed value: assignments of keys, whose right sides teach the kind secret.
-_KEY = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b['\"]?\s*[:=]\s*['\"]?([A-Za-z0-9_-]{16,200})")
+_KEY = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b['\"]?\s*[:=]\s*['\"]?([A-Za-z0-9_-]{16,})")
 
 
 def silver(text: str) -> list[tuple[str, int, int]]:
@@ -308,21 +323,16 @@ def spans_of(text: str, weights: dict[str, float]) -> tuple[list[tuple[str, int,
         return [], []
     base = base_spans(text)
     taken, added = sorted((a, b) for _, a, b in base), []
+    firsts, lasts = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))  # furthest end so far
     for cluster in clusters(text):
         for kind, a, b in decode(text, cluster, weights):
-            if not any(x < b and a < y for x, y in _near(taken, a, b)):
+            at = bisect_left(firsts, b)
+            if not at or lasts[at - 1] <= a:
                 added.append((kind, a, b))
     rank = {k: i for i, k in enumerate(KINDS)}
     return base, sorted([*base, *added], key=lambda s: (rank[s[0]], s[1]))
 
 
-def _near(taken: list[tuple[int, int]], a: int, b: int):
-    from bisect import bisect_left
-
-    low = bisect_left(taken, (a, 0))
-    return taken[max(0, low - 4) : bisect_left(taken, (b, 0))]
-
-
 def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
