@@ -1,7 +1,8 @@
 """Quality and toxicity from weak labels.
 
-Overlapping heuristic labellers vote good, bad or abstain on every document; one of them is the annotators'
-table, which abstains where it has no row. Votes are counted by pattern over all documents (a few hundred
+Overlapping labellers vote good, bad or abstain on every document: heuristics, each on evidence of its own (of
+toxicity, on insults of its own), and as one more of them the annotators' table, which abstains where it has no
+row; the model treats them all alike. Votes are counted by pattern over all documents (a few hundred
 patterns at most), and expectation-maximisation finds each labeller's accuracy and the prior. The posterior of
 a document's pattern is a soft label, and a hashed linear scorer (words and their first letters, and buckets of
 page measures) learns from soft labels: so words that no heuristic lists are learnt from where they occur.
@@ -34,12 +35,17 @@ DIMS = 1 << 18
 EPOCHS = 6
 EM_STEPS = 50
 
-#: Insults that the toxicity labellers look for.
-INSULTS = frozenset("idiot moron stupid pathetic worthless disgusting scum loser trash clown dumb jerk bastard imbecile filth vermin".split())
+#: Insults that the toxicity labellers look for, each labeller for its own.
+INSULTS = (
+    frozenset(["idiot", "moron", "stupid", "dumb"]),
+    frozenset(["pathetic", "worthless", "disgusting", "loser"]),
+    frozenset(["scum", "trash", "filth", "vermin"]),
+    frozenset(["clown", "jerk", "bastard", "imbecile"]),
+)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 QUALITY = ("annotators", "symbols", "capitals", "repeats", "length", "dup_lines")
-TOXICITY = ("annotators", "insult", "insults", "no_insult")
+TOXICITY = ("annotators", "minds", "worth", "dirt", "names")
 
 
 def _vote(good: bool, bad: bool) -> int:
@@ -52,37 +58,35 @@ def measures(page: Page) -> tuple[float, float, float, float]:
 
 
 def votes(page: Page, words: set[str]) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Of the heuristics of quality (1 good, -1 bad, 0 abstains) and of toxicity (1 toxic, -1 not)."""
+    """Of the heuristics of quality (1 good, -1 bad, 0 abstains) and of toxicity (1 toxic, 0 abstains)."""
     symbols, capitals, repeats, lines = measures(page)
-    hits = len(words & INSULTS)
     quality = (
-        _vote(symbols < 0.02, symbols > 0.1), _vote(capitals < 0.1, capitals > 0.5), _vote(repeats < 0.05, repeats > 0.5),
+        _vote(False, symbols > 0.1), _vote(False, capitals > 0.5), _vote(False, repeats > 0.5),
         _vote(page.n_words >= 100, page.n_words < 10), _vote(False, lines > 0.5),
     )
-    return quality, (int(hits >= 1), int(hits >= 2), -int(not hits))
+    return quality, tuple(int(not words.isdisjoint(own)) for own in INSULTS)
 
 
 class LabelModel:
-    """Two classes, labellers independent given the class; EM over counts of vote patterns."""
+    """Two classes, labellers independent given the class; EM over counts of vote patterns. The rates at which a
+    labeller votes for either class in either class are estimated; that it abstains says nothing (a list of insults in
+    one language says nothing of a text in another)."""
 
     def __init__(self, patterns: dict[tuple[int, ...], int], steps: int = EM_STEPS):
         width = len(next(iter(patterns), (0,)))
         v = np.array(list(patterns) or [(0,) * width]) + 1
         n = np.array(list(patterns.values()) or [0], dtype=np.float64)
-        lead = np.where(v[:, 0] != 1, (v[:, 0] - 1) * 3, (v - 1).sum(axis=1))  # annotators first, else the majority
-        post = 1 / (1 + np.exp(-2.0 * lead))
+        post = 1 / (1 + np.exp(-2.0 * (v - 1).sum(axis=1)))  # the majority, to begin with
         for _ in range(steps):
             self.prior = ((n * post).sum() + 1) / (n.sum() + 2)
             self.table = np.empty((width, 2, 3))
             for j, (c, weight) in product(range(width), enumerate((1 - post, post))):
                 counts = np.bincount(v[:, j], n * weight, minlength=3)[:3] + 0.1
-                if j == 0:  # annotators are right more often than not: 20 votes' worth of prior
-                    counts[2 if c else 0] += 20
                 self.table[j, c] = counts / counts.sum()
             post = self._posterior(v)
 
     def _posterior(self, v: np.ndarray) -> np.ndarray:
-        logs = np.log(self.table)
+        logs = np.log(self.table) * np.array([1.0, 0.0, 1.0])
         odds = np.log(self.prior / (1 - self.prior)) + sum(logs[j, 1, v[:, j]] - logs[j, 0, v[:, j]] for j in range(v.shape[1]))
         return 1 / (1 + np.exp(-odds))
 
@@ -154,7 +158,7 @@ def count_patterns(docs: DataFrame, labels: DataFrame) -> dict[str, dict[tuple[i
         own = F.coalesce(2 * F.col(column) - 1, F.lit(0)).cast("string")
         pattern = F.concat_ws(",", own, name).alias("p")
         out[name] = pattern
-    rows = joined.select(out["quality"].alias("quality"), out["toxicity"].alias("toxicity")).groupBy("quality", "toxicity").count().collect()  # 3^8 patterns at most
+    rows = joined.select(out["quality"].alias("quality"), out["toxicity"].alias("toxicity")).groupBy("quality", "toxicity").count().collect()  # 3^11 patterns at most
     found: dict[str, dict[tuple[int, ...], int]] = {"quality": {}, "toxicity": {}}
     for r in rows:
         for name in found:
