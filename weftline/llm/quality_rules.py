@@ -102,9 +102,10 @@ RULES: dict[str, Rule] = {
 
 
 def sampled(docs: DataFrame, size: int) -> DataFrame:
-    """About `size` rows, the same in every run: those whose hash falls under a threshold."""
+    """About `size` rows, the same in every run: those whose hash (of all their columns, so that rows of one or no
+    doc_id are told apart) falls under a threshold, and of these 2 * size at most, should many rows be equal."""
     n = docs.count()
-    return docs if n <= size else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (size << 30) // n)
+    return docs if n <= size else docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < (size << 30) // n).limit(2 * size)
 
 
 def estimates(docs: DataFrame, rules: dict[str, Rule] | None = None, size: int = SAMPLE) -> DataFrame:
