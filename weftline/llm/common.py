@@ -24,9 +24,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a local session, whose tasks all run on
+    this machine, gets one of its own; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/weftline-shared"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -47,13 +50,17 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        except BaseException:
+            self.drop("")  # a failed step leaves no tables behind
+            raise
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for name in names:  # "" is the whole folder
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         gc.collect()
         jvm.System.gc()  # Spark's cleaner takes away shuffle files of what no one refers to any more
@@ -94,7 +101,9 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cluster's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Literals that the library takes out before it cuts chunks; texts that hold one are encoded in one piece.
+        self.literal = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
         self.known: dict[str, bytes] = {}
         self.room = room
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
@@ -121,7 +130,7 @@ class Encoder:
             self.known.clear()
         known, held, missing = self.known, [], set()
         for text in texts:
-            chunks = [] if _ODD_SPACE.search(text) else _CHUNK.findall(text)
+            chunks = [] if _ODD_SPACE.search(text) or self.literal.search(text) else _CHUNK.findall(text)
             ids = list(map(known.get, chunks))
             if None in ids:
                 missing.update([c for c, x in zip(chunks, ids, strict=True) if x is None])
@@ -136,7 +145,7 @@ class Encoder:
         for text, chunks, ids in held:
             if chunks is None:
                 out.append(ids)
-            elif ids is None:  # empty, or with odd spaces
+            elif ids is None:  # empty, or with odd spaces or literals
                 out.append(self._encode([text])[0] if text else b"")
             else:
                 out.append(b"".join([known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]))

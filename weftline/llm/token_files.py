@@ -154,4 +154,5 @@ def read_documents(files: DataFrame) -> DataFrame:
                         ids = [reader.tokens(a, n).astype("<u4").tobytes() for a, n in zip(starts, sizes, strict=True)]
                         yield pa.RecordBatch.from_arrays([some.column(0), pa.array([a + base for a in starts], pa.int64()), some.column(2), pa.array([uri] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "path", "ids"])
 
-    return files.select("path", "base").repartition(F.col("path")).mapInArrow(run, _DOCS)
+    # a given number of partitions is not merged, so every file can have a task
+    return files.select("path", "base").repartition(max(1, files.count()), "path").mapInArrow(run, _DOCS)
