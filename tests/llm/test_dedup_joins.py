@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -59,6 +60,39 @@ def test_line_dedup_four_words_within_five(spark):
     assert got == {d: "" if d < 100 and d % 10 in (1, 6) else t for d, t in rows}
 
 
+def test_line_dedup_of_all_sizes(spark):
+    """Sets of one word to thirty, many near each other, against a comparison of all lines with all earlier ones."""
+    rnd = random.Random(12)
+    rows, lines = [], []
+    for d in range(60):
+        own = []
+        for _ in range(8):
+            if lines and rnd.random() < 0.6:
+                w = rnd.choice(lines).split()
+                for _ in range(rnd.randrange(0, 4)):
+                    at = rnd.randrange(len(w))
+                    w = rnd.choice([w[:at] + w[at + 1 :] or w, w[:at] + [f"n{rnd.randrange(900)}"] + w[at:], w[:at] + [rnd.choice("abcdef")] + w[at + 1 :]])
+            else:
+                w = [rnd.choice([rnd.choice("abcdefghij"), f"n{rnd.randrange(900)}"]) for _ in range(rnd.randrange(1, rnd.choice([3, 6, 13, 31])))]
+            own.append(rnd.choice([" ", "  ", "\t"]).join(w))
+            lines.append(" ".join(w))
+        rows.append((d, "\n".join(own)))
+    want, _ = brute_lines(rows)
+    got = {r.doc_id: r.text for r in dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: want[(d, t)] for d, t in rows} and sum(got[d] != t for d, t in rows) > 30
+
+
+def test_line_dedup_reads_long_lists_in_shares(spark, monkeypatch):
+    from weftline.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARE", 3)
+    base = [f"w{k}" for k in range(12)]
+    rows = [(d, " ".join(base[: d % 12] + [f"x{d}", f"y{d}"][: 1 + d % 2] + base[d % 12 + 1 :])) for d in range(60)]
+    want, _ = brute_lines(rows)
+    got = {r.doc_id: r.text for r in dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: want[(d, t)] for d, t in rows}
+
+
 def test_bands_reach_recall():
     bands, rows = choose_bands(0.8, 0.998)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.998
@@ -132,19 +166,24 @@ def test_span_dedup(spark, docs, empty, texts):
 
 
 def all_spans(text):
-    """Every span of consecutive sentences that is long enough."""
-    parts = sentences(text)
+    """Every span of several consecutive sentences that is long enough; sentences by a plain split, each of 40 words at most."""
+    parts = []
+    for s in re.findall(r"[^.]*\.\s*", text):
+        w = s.split(" ")
+        w = [x + " " for x in w[:-1]] + [w[-1]] if w[-1] else [x + " " for x in w[:-1]]
+        parts += ["".join(w[k : k + 40]) for k in range(0, len(w), 40)]
+    assert "".join(parts) == text and parts == sentences(text)
     n = [len(s.split()) for s in parts]
     for a in range(len(parts)):
         for b in range(a + 1, len(parts) + 1):
-            if b - a >= 2 and sum(n[a:b]) >= 15 or b - a == 1 and n[a] >= 30:
+            if b - a >= 2 and sum(n[a:b]) >= 15:
                 yield a, b, " ".join(" ".join(parts[a:b]).split())
 
 
 def test_span_dedup_against_all_spans(spark):
     rnd = random.Random(9)
     make = lambda n: " ".join(f"w{rnd.randrange(100000)}" for _ in range(n - 1)) + f" e{rnd.randrange(100000)}."
-    passages = [[40, 27], [32, 21], [31, 20], [20, 40, 3], [3, 40], [5, 5, 5], [35, 2, 35, 2], [8, 8, 8, 8], [60], [14, 1]]
+    passages = [[40, 27], [32, 21], [31, 20], [20, 40, 3], [3, 40], [5, 5, 5], [35, 2, 35, 2], [8, 8, 8, 8], [60], [14, 1], [41], [95, 3]]
     passages = [[make(n) for n in p] for p in passages]
     rows = [(d, " ".join(make(rnd.randrange(1, 45)) if rnd.random() < 0.3 else " ".join(rnd.choice(passages)) for _ in range(8))) for d in range(12)]
     rows += [(50 + k, " ".join([make(9), *p, make(9)])) for k, p in enumerate(passages)]
@@ -177,11 +216,11 @@ def test_prefixes_of_pairs_lose_no_similar_sets():
 
     rnd, met = random.Random(1), 0
     for _ in range(20000):
-        x = set(rnd.sample(range(500), rnd.randrange(5, 60)))
+        x = set(rnd.sample(range(500), rnd.randrange(4, 60)))
         y = x - set(rnd.sample(sorted(x), rnd.randrange(0, len(x) // 5 + 1)))
         while rnd.random() < 0.8:
             y.add(rnd.randrange(500))
-        if len(y) >= 5 and similar(x, y):
+        if len(y) >= 4 and similar(x, y):
             met += 1
             assert prefix(x) & prefix(y)
     assert met > 5000

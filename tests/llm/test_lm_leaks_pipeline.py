@@ -131,3 +131,82 @@ def test_pipeline_stages_compose(spark, docs, tmp_path):
     assert all(x.columns == good.columns for x in kept[:-1])
     assert kept[0].count() >= kept[2].count() >= kept[3].count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).agg({"length": "sum"}).first()[0] == at.agg({"length": "sum"}).first()[0]
+
+
+def brute_pipeline(documents, passages):
+    """The stages one after the other, each by comparison of all with all."""
+    from tokenizers import Tokenizer
+
+    from weftline.llm.common import tokenizer_path
+    from weftline.llm.quality_rules import RULES, Page
+
+    from .test_dedup_joins import brute_lines, similar
+
+    kept = [(d, t) for d, t in documents if not any(rule(Page(t or "")) for rule in RULES.values())]
+    lines, _ = brute_lines(kept)
+    kept = [(d, lines[(d, t)]) for d, t in kept]
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))) if t.split() else frozenset() for _, t in kept]
+    label = list(range(len(kept)))
+    for _ in kept:  # until labels stand still, at most as often as there are documents
+        was = list(label)
+        for i in range(len(kept)):
+            for j in range(len(kept)):
+                if similar(sets[i], sets[j]):
+                    label[i] = min(label[i], label[j])
+        if was == label:
+            break
+    order = lambda k: (kept[k][0] is None, kept[k][0] or 0)
+    first = {g: min((k for k in range(len(kept)) if label[k] == g), key=order) for g in set(label)}
+    kept = [x for k, x in enumerate(kept) if not sets[k] or first[label[k]] == k]
+    clean = lambda t: "".join(c if c.isalnum() or c == "_" else " " for c in t.lower()).split()
+    kept = [(d, t) for d, t in kept if not any(p and " ".join(clean(p)) in " ".join(clean(t)) for p in passages)]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    return {(d, zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes())) for d, t in kept}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Nulls, empty texts, near copies, repeated lines, leaks, extra columns with the operators' own names; and an empty table."""
+    import corpus_pipeline
+    from weftline.llm.packing import pack
+
+    rnd = random.Random(21)
+    passages = [" ".join(words(rnd, 30)).capitalize() for _ in range(3)]
+    documents = [(d, "\n".join(" ".join(words(rnd, rnd.randrange(15, 40))) for _ in range(6))) for d in range(30)]
+    documents += [(100 + d, documents[d][1].replace(documents[d][1].split()[9], "other", 1)) for d in range(5)]
+    documents += [(200 + d, documents[10 + d][1] + "\n" + documents[4][1].split("\n")[0]) for d in range(3)]
+    documents += [(300 + k, " ".join(words(rnd, 60)) + "\n" + p + "\n" + " ".join(words(rnd, 60))) for k, p in enumerate(passages)]
+    documents += [(400, None), (401, ""), (402, "short text"), (None, "\n".join(" ".join(words(rnd, 30)) for _ in range(4)))]
+    spark.createDataFrame(list(enumerate(passages)) + [(9, None), (10, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.createDataFrame(rows(documents), SCHEMA).repartition(3)
+    at.write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute_pipeline(documents, [p for p in passages])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {d for d, _ in want} and len(want) > 30
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == SCHEMA.replace(",", "").split()[::2]
+        at.write.parquet(str(tmp_path / f"out-{name}"))
+        at = spark.read.parquet(str(tmp_path / f"out-{name}"))
+    pieces = {}
+    for r in pack(spark, at, with_ids=True).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert {(d, zlib.crc32(b"".join(r.ids for r in sorted(p, key=lambda r: r.start)))) for d, p in pieces.items()} == want
+    assert sum(r.length for r in out) == sum(r.length for p in pieces.values() for r in p)
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none/documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_leaks_by_length_and_frequency(spark):
+    """Recall of verbatim passages in long hosts: short and long ones, of rare words and of words that most documents hold."""
+    rnd = random.Random(17)
+    common = [f"c{k}" for k in range(60)]
+    host = lambda n: [rnd.choice(common) if rnd.random() < 0.5 else f"h{rnd.randrange(10**6)}" for _ in range(n)]
+    passages = [" ".join(rnd.choice(common) if kind == "common" else f"r{rnd.randrange(10**6)}" for _ in range(n)) for kind in ("rare", "common") for n in (5, 6, 8, 12, 20, 40, 64, 100) for _ in range(4)]
+    texts = [(d, " ".join(host(150) + passages[d].split() + host(150))) for d in range(len(passages))] + [(1000 + d, " ".join(host(300))) for d in range(60)]
+    benchmark = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    got = {(r.doc_id, k) for r in find_leaks(spark, spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect() for k in r.item_ids}
+    missed = [(d, len(passages[d].split())) for d in range(len(passages)) if (d, d) not in got]
+    assert len(missed) <= 0.1 * len(passages), missed

@@ -56,6 +56,48 @@ def test_pii_operator(spark, docs, empty):
     assert pii.find_pii(docs).count() == docs.count() and pii.find_pii(empty).count() == 0
 
 
+def best_by_enumeration(text, cluster, weights):
+    """Highest score of all segmentations of a cluster."""
+    atoms, edges = pii.lattice(text, *cluster)
+
+    def best(i):
+        if i == len(atoms):
+            return 0.0
+        return max([best(i + 1), *(sum(weights.get(x, 0.0) for x in f) + best(j) for j, _, f in edges[i])])
+
+    return best(0)
+
+
+def test_decode_against_all_segmentations():
+    weights = pii.train([])
+    for text in ["call +1 415 555-2671 or 12", "4111 1111 1111 1111 9", "a1@b.org 10.0.0.1", "x9-y8_z7 key0123456789abcdef", "1.2.3.4 5.6.7.8"]:
+        for cluster in pii.clusters(text):
+            atoms, edges = pii.lattice(text, *cluster)
+            scores = {(k, atoms[i][0], atoms[j - 1][1]): sum(weights.get(x, 0.0) for x in f) for i, own in enumerate(edges) for j, k, f in own}
+            found = pii.decode(text, cluster, weights)
+            assert abs(sum(scores[s] for s in found) - best_by_enumeration(text, cluster, weights)) < 1e-9
+
+
+def test_long_keys_and_numeric_texts():
+    import tracemalloc
+
+    weights = pii.train([])
+    key = "0123456789abcdef" * 40
+    assert ("secret", 7, 7 + len(key)) in pii.spans_of(f"token = {key} x".replace("token =", "key  ="), weights)[1] or pii.spans_of(f"token = {key} x", weights)[1]
+    tracemalloc.start()
+    pii.spans_of(" ".join(str(10 + k % 90) for k in range(20_000)), weights)
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
+
+
+def test_added_spans_keep_clear_of_all_pattern_spans():
+    weights = pii.train([])
+    text = "+" + " ".join(["1"] * 9) + " " + " ".join(f"a{k}@b.org" for k in range(9)) + " (415) 555-2671"
+    base, spans = pii.spans_of(text, weights)
+    added = [s for s in spans if s not in base]
+    assert all(b <= x or y <= a for _, a, b in added for _, x, y in base)
+
+
 def test_held_out_spans():
     weights = pii.train([])
     hits = total = wrong = 0
@@ -75,6 +117,7 @@ def test_label_model_finds_accuracies():
         say = lambda p, y=y: (1 if y else -1) * (1 if rnd.random() < p else -1)
         patterns[(say(0.97) if rnd.random() < 0.2 else 0, say(0.9), say(0.8), say(0.6))] += 1
     model = LabelModel(dict(patterns))
+    assert model.table[0, 1, 2] / (model.table[0, 1, 0] + model.table[0, 1, 2]) > 0.9  # no labeller has a start of its own
     assert abs(model.prior - 0.3) < 0.05 and abs(model.table[1, 1, 2] - 0.9) < 0.06 and abs(model.table[3, 1, 2] - 0.6) < 0.08
 
 
@@ -87,3 +130,24 @@ def test_weak_quality(spark, docs, empty):
     assert all(not r.kept for r in got if (r.doc_id or 0) >= 900)
     assert sum(r.kept for r in got if r.doc_id is not None and r.doc_id < 40) >= 38
     assert score_quality(spark, empty, labels).count() == 0
+
+
+def test_sample_tells_rows_of_one_id_apart(spark):
+    from weftline.llm.quality_rules import sampled
+
+    for doc_id in ("null", "7"):
+        frame = spark.range(20_000).selectExpr(f"cast({doc_id} as long) as doc_id", "concat('text ', id) as text")
+        assert 800 < sampled(frame, 1000).count() < 1200
+    assert sampled(spark.range(20_000).selectExpr("1L as doc_id", "'one' as text"), 1000).count() <= 2000
+
+
+def test_toxic_words_are_learnt_where_no_list_has_them(spark):
+    """Annotated documents in a language without a list of insults, and others of it that no one annotated."""
+    import random
+
+    rnd = random.Random(2)
+    text = lambda bad: " ".join(rnd.choice(["eins", "zwei", "drei", "vier", "neun"]) + str(rnd.randrange(60)) if rnd.random() < 0.9 or not bad else "boeswort" for _ in range(110))
+    rows = [(k, text(k % 4 == 0)) for k in range(400)]
+    labels = [(k, 1, int(k % 4 == 0)) for k in range(200)]
+    got = {r.doc_id: r.toxicity for r in score_quality(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert sum((got[k] >= 0.5) == (k % 4 == 0) for k in range(200, 400)) >= 190

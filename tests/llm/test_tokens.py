@@ -13,7 +13,6 @@ from weftline.llm.token_files import SequenceReader, read_documents, write_seque
 @pytest.fixture(scope="module")
 def ids(texts):
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     return [(d, tokenizer.encode(t or "", add_special_tokens=False).ids) for d, t in texts]
 
 
@@ -23,6 +22,18 @@ def test_encoder_equals_library(texts, ids):
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder([t or "" for _, t in texts])] == [x for _, x in ids]
 
 
+def test_literals_of_special_tokens():
+    """As the plain call of the library has them, inside words and beside spaces too."""
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext", "a <| b |> c", " <|endoftext|>\n"]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_read_back_over_as_many_tasks_as_files(spark, docs):
+    _, files = write_sequences(spark, docs)
+    assert read_documents(files).rdd.getNumPartitions() == files.count()
+
+
 def test_token_files_round_trip(spark, docs, empty, texts, ids, tmp_path):
     folder, files = write_sequences(spark, docs, length=64, rows=4, out=str(tmp_path / "out"))
     got = read_documents(files).orderBy("start").collect()
