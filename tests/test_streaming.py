@@ -36,6 +36,26 @@ def test_replay_stream_equals_batch(spark, tmp_path):
         assert json.loads(got[run].work_items) == {i.id: i.status for i in w.work_items or []}
 
 
+def test_stream_and_batch_have_the_same_issues_gates_and_sections(spark, tmp_path):
+    from weftline.operators import state
+
+    kinds = ["ISSUE_OPENED", "ISSUE_RESOLVED", "GATE_RUN_FINISHED", "SECTION_STATE_CHANGED", "ISSUE_OPENED"]
+    item = lambda k: f"v{k * k % 7}"
+    whole = [(f"r{k % 3}", k, f"e{k}", f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}", kinds[k % 5], json.dumps({"issue": {"issue_id": item(k)}, "issue_id": item(k), "gate": item(k), "ok": k % 2 == 0, "section": item(k), "new_state": f"s{k % 4}"})) for k in range(90)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(3):
+        frame(spark, whole[30 * k : 30 * k + 30]).coalesce(1).write.mode("append").parquet(source)
+        stream = replay.replay_stream(spark.readStream.schema(SCHEMA).parquet(source))
+        q = stream.writeStream.outputMode("update").foreachBatch(replay.upsert_sink(out, "run_id")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r.run_id: r for r in spark.read.parquet(f"{out}/0").collect()}
+    want = {r.run_id: r for r in state.snapshot(frame(spark, whole)).collect()}
+    assert got.keys() == want.keys() and any(i.status == "RESOLVED" for w in want.values() for i in w.issues)
+    for run, w in want.items():
+        assert json.loads(got[run].issues) == [[i.issue_id, i.status] for i in w.issues]
+        assert json.loads(got[run].gates) == w.gates and json.loads(got[run].sections) == w.sections
+
+
 def test_ingest_once(spark, tmp_path):
     source = str(tmp_path / "in")
     for _ in range(2):

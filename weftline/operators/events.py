@@ -30,7 +30,7 @@ def field(name: str) -> Column:
 
 def replay(events: DataFrame) -> DataFrame:
     """A snapshot per run. The fold decomposes: the last state, the last write of each artifact, the first queued
-    item of each id with its last start and finish, issues with their resolution; each an aggregate by key."""
+    item of each id with its last start and finish; each an aggregate by key. Issues, gates and sections: state.snapshot()."""
     state = events.where("type = 'RUN_STATE_CHANGED'").where(field("new_state").isNotNull()).groupBy("run_id").agg(F.max_by(field("new_state"), "ord").alias("run_state"))
     artifacts = events.where("type = 'ARTIFACT_WRITTEN'").groupBy("run_id", field("name").alias("name")).agg(F.max_by(F.struct(field("path").alias("path"), field("sha256").alias("sha256"), "ts", "event_id"), "ord").alias("entry")).where("name is not null")
     artifacts = artifacts.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "entry")))).alias("artifacts"))

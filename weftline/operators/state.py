@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .events import field
+from .events import field, replay
 
 #: What an error code is repaired by; sections by the first part of a site's name.
 REPAIR_OF_CODE = [("CLAIM_MARKER", "claim_markers"), ("TEMPLATE_TOKEN", "template_tokens"), ("LINK", "link_normalization"), ("FRONTMATTER", "metadata"), ("HEADING", "heading_hierarchy")]
@@ -38,6 +38,14 @@ def section_states(events: DataFrame) -> DataFrame:
     return events.where("type = 'SECTION_STATE_CHANGED'").groupBy("run_id", field("section").alias("section")).agg(F.max_by(field("new_state"), "ord").alias("section_state"))
 
 
+def snapshot(events: DataFrame) -> DataFrame:
+    """The whole snapshot of each run: what events.replay() gives, and issues (in order of opening), gates and sections."""
+    opened = issues(events).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "issue_id", "status", "resolved_at"))).alias("issues"))
+    gates = gate_results(events).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("gate", "ok")))).alias("gates"))
+    sections = section_states(events).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "section_state")))).alias("sections"))
+    return replay(events).join(opened, "run_id", "left").join(gates, "run_id", "left").join(sections, "run_id", "left")
+
+
 def checkpoints(events: DataFrame, every: int) -> DataFrame:
     """run_id, checkpoint (from 1), n_events, last_ord: one after every so many events of a run."""
     numbered = events.withColumn("n_events", F.row_number().over(Window.partitionBy("run_id").orderBy("ord")).cast("long"))

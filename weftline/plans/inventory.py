@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, claims, events, evidence, files, gates, links, state, support, telemetry
+from ..operators import checks, claims, events, evidence, files, gates, links, plan, state, support, telemetry
 from .catalogue import _EVENTS, LINES, MD, PRODUCT, REPO, _rows, event_rows, markdown, md_lines, query, runs_table, table
 
 _PATHS = [
@@ -562,6 +562,96 @@ def showcase_focus(spark, d):
     return checks.showcase_focus(checks.lines_of(p.select("slug", "content")), features).select(F.substring_index("slug", "-", -1).cast("long").alias("slug"), "detail")
 
 
+# ---------------------------------------------------------------------------------------------- page plans
+
+
+def _plan(spark, d):
+    k = F.col("c_custkey")
+    role = F.element_at(F.array(F.lit("toc"), F.lit("comprehensive_guide"), F.lit("landing"), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
+    ids = F.transform(F.sequence(F.lit(1), (k % 6 + 1).cast("int")), lambda i: F.concat(F.lit("c"), (k % 7 * 10 + i).cast("string")))
+    section = F.element_at(F.array(*map(F.lit, ("docs", "kb", "blog", "docs", "products"))), (k % 5 + 1).cast("int"))
+    plain = table(spark, d, "customer").select(
+        section.alias("section"), F.concat(F.lit("p"), k.cast("string")).alias("slug"), role.alias("page_role"), F.concat(F.lit("out/"), k.cast("string")).alias("output_path"), ids.alias("claims"),
+        F.array(F.lit("kid"), F.lit("other")).alias("child_pages"), F.array(F.lit("Free_Trial")).alias("forbidden"), F.when(k % 8 == 1, "all").otherwise("some").alias("coverage"), F.lit(2).alias("min_claims"), F.lit(5).alias("max_claims"), k,
+    )
+    content = F.concat(F.lit("# Page\nkid and "), F.when(k % 3 == 0, "other").otherwise("others"), F.when(k % 5 == 0, "\n```\ncode\n```").otherwise(""), F.when(k % 9 == 0, "\n## A free trial\n").otherwise("\nfree trial\n"))
+    return plain, plain.where(k % 11 > 0).select("output_path", content.alias("content"))
+
+
+_PLANNED = """p AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 1 THEN 'kb' WHEN 2 THEN 'blog' WHEN 4 THEN 'products' ELSE 'docs' END AS section, 'p' || c_custkey AS slug, c_custkey % 6 + 1 AS n FROM customer),
+u AS (SELECT DISTINCT 'c' || (k % 7 * 10 + i) AS id, section FROM (SELECT k, section, unnest(range(1, n + 1)) AS i FROM p) WHERE section <> 'blog')"""
+
+
+@query(f"""WITH {_PLANNED} SELECT 'ROLE_MISSING' AS code, 'error' AS severity, section, slug, '' AS detail FROM p WHERE k % 4 = 3 UNION ALL SELECT 'TOC_HAS_SNIPPETS', 'blocker', section, slug, '' FROM p WHERE k % 4 = 0 AND k % 5 = 0 AND k % 11 > 0
+UNION ALL SELECT 'TOC_MISSING_CHILDREN', 'error', section, slug, 'other' FROM p WHERE k % 4 = 0 AND k % 3 > 0 AND k % 11 > 0 UNION ALL SELECT 'GUIDE_COVERAGE_INVALID', 'error', section, slug, '' FROM p WHERE k % 4 = 1 AND k % 8 <> 1
+UNION ALL SELECT 'GUIDE_INCOMPLETE', 'error', section, slug, n::VARCHAR FROM p WHERE k % 4 = 1 AND n < 4 UNION ALL SELECT 'CLAIM_QUOTA_UNDERFLOW', 'warn', section, slug, n::VARCHAR FROM p WHERE n < 2 UNION ALL SELECT 'CLAIM_QUOTA_EXCEEDED', 'error', section, slug, n::VARCHAR FROM p WHERE n > 5
+UNION ALL SELECT 'FORBIDDEN_TOPIC', 'error', section, slug, 'Free_Trial' FROM p WHERE k % 9 = 0 AND k % 11 > 0 UNION ALL SELECT 'CLAIM_CROSS_SECTION', 'warn', '', id, count(*)::VARCHAR FROM u GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'MANDATORY_PAGE_MISSING', 'error', 'docs', 'index', ''""")
+def gate_distribution(spark, d):
+    pages = _plan(spark, d)
+    required = spark.createDataFrame([("docs", "_index"), ("docs", "p3")], "section string, slug string")
+    return plan.distribution(pages[0], pages[1], 4, required, "prod")
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'docs' WHEN 1 THEN 'kb' WHEN 2 THEN 'blog' WHEN 3 THEN 'products' END AS section FROM part")
+def section_classes(spark, d):
+    path = F.element_at(F.array(*map(F.lit, ("content/docs.acme.org/a.md", "x/kb/a.md", "Posts\\2024\\a.md", "content/Products.acme.org/b.md", "src/docsfile.md"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), plan.section_of(path, {"blog": "posts/"}).alias("section"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'beginner' WHEN 1 THEN 'advanced' ELSE 'intermediate' END AS audience_level, 'simple' AS complexity FROM orders")
+def enriched_claims(spark, d):
+    text = F.element_at(F.array(*map(F.lit, ("Install the advanced one", "Performance counts", "Plain words"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return plan.enriched(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("claim_text"))).select("id", "audience_level", "complexity")
+
+
+@query("SELECT DISTINCT w.k AS group_key, g.s_suppkey AS claim_id FROM (SELECT unnest(['steps', 'install_steps_first', 'key', 'none']) AS k) w JOIN (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'key_features' WHEN 1 THEN 'install_steps' ELSE 'quickstart_steps' END AS key FROM supplier) g ON contains(w.k, g.key) OR contains(g.key, w.k)")
+def claims_of_groups(spark, d):
+    key = F.element_at(F.array(*map(F.lit, ("key_features", "install_steps", "quickstart_steps"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    wanted = spark.createDataFrame([("steps",), ("install_steps_first",), ("key",), ("none",)], "group_key string")
+    return plan.claims_of_groups(wanted, table(spark, d, "supplier").select(key.alias("key"), F.col("s_suppkey").alias("claim_id")))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'work/' || o_orderkey || '.md' ELSE '/other/' || o_orderkey || '.md' END AS path FROM orders")
+def relative_locations(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    i = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "/runs/r1/work/").otherwise("/other/"), k, F.lit(".md")).alias("path"))
+    return plan.relative_locations(i, "/runs/r1/")
+
+
+@query("SELECT o_orderkey AS run_id, 'PR_MISSING_EMERGENCY_MODE_NOTICE' AS code, 'blocker' AS severity FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 > 0 AND o_orderkey % 5 > 1")
+def request_blockers(spark, d):
+    k = F.col("o_orderkey")
+    body = F.when(k % 5 == 0, "In Emergency Mode").when(k % 5 == 1, "one manual edit").when(k % 5 == 2, F.lit(None)).otherwise("plain")
+    return plan.request_blockers(table(spark, d, "orders").select(k.alias("run_id"), (k % 2 == 0).alias("emergency"), (k % 3 > 0).alias("manual_edits"), body.alias("body")))
+
+
+@query("SELECT DISTINCT 'n' || c_nationkey AS path FROM customer")
+def affected_paths(spark, d):
+    return plan.affected_paths(table(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path")))
+
+
+@query("SELECT o_orderkey AS run_id FROM (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20)")
+def newest_runs(spark, d):
+    return plan.newest(table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), "o_orderdate"), "o_orderdate", 20).select("run_id")
+
+
+@query("SELECT 'A' || s_nationkey AS agent, 'TC-' || s_suppkey AS task, s_suppkey AS n_passed, CASE WHEN s_suppkey % 2 = 0 THEN 2 END AS n_failed, CASE WHEN s_suppkey % 3 = 0 THEN 4.5::DOUBLE END AS score FROM supplier")
+def reports_index(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    s = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("reports/agents/A"), F.col("s_nationkey").cast("string"), F.lit("/TC-"), k, F.lit("/")).alias("at"))
+    report = s.select(F.concat("at", F.lit("report.md")).alias("path"), F.concat(F.lit("ran: "), F.col("s_suppkey").cast("string"), F.lit(" passed"), F.when(F.col("s_suppkey") % 2 == 0, ", 2 failed").otherwise("")).alias("content"))
+    review = s.where("s_suppkey % 3 = 0").select(F.concat("at", F.lit("self_review.md")), F.lit("Overall score: **4.5/5**"))
+    return plan.reports_index(report.union(review))
+
+
+@query(r"""SELECT event_id, '{"a":["[REDACTED:K]",{"b":"x ' || CASE WHEN event_id % 2 = 0 THEN '[REDACTED:K]' ELSE 'plain' END || '"}]}' AS payload FROM events""")
+def redacted_deeply(spark, d):
+    tail = F.when(F.col("event_id") % 2 == 0, "key-123").otherwise("plain")
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit('{"a":["key-9",{"b":"x '), tail, F.lit('"}]}')).alias("payload"))
+    return files.redact_events(e, [("K", r"key-\d+")])
+
+
 # ------------------------------------------------------------------------------------------------- repairs
 
 _LISTED = "array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '{}')), chr(10))"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SNAPSHOT = "run_id string, run_state string, n_events long, last_ord long, artifacts string, work_items string"
+SNAPSHOT = "run_id string, run_state string, n_events long, last_ord long, artifacts string, work_items string, issues string, gates string, sections string"
 _STATE = "snapshot string"
 
 
@@ -29,20 +29,31 @@ def reduce_event(snapshot: dict, event: dict) -> dict:
         snapshot["work_items"].setdefault(item, "queued")
     elif kind in ("WORK_ITEM_STARTED", "WORK_ITEM_FINISHED") and item in snapshot["work_items"]:
         snapshot["work_items"][item] = "running" if kind == "WORK_ITEM_STARTED" else "finished"
+    elif kind == "ISSUE_OPENED" and payload.get("issue"):
+        snapshot["issues"].append([payload["issue"].get("issue_id"), "OPEN"])
+    elif kind == "ISSUE_RESOLVED":
+        for own in snapshot["issues"]:
+            if own[0] == payload.get("issue_id"):
+                own[1] = "RESOLVED"
+                break
+    elif kind == "GATE_RUN_FINISHED":
+        snapshot["gates"][payload.get("gate")] = payload.get("ok")
+    elif kind == "SECTION_STATE_CHANGED":
+        snapshot["sections"][payload.get("section")] = payload.get("new_state")
     snapshot["n_events"] += 1
     snapshot["last_ord"] = max(snapshot["last_ord"], event["ord"])
     return snapshot
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    snapshot = json.loads(state.get[0]) if state.exists else {"run_state": None, "artifacts": {}, "work_items": {}, "n_events": 0, "last_ord": -1}
+    snapshot = json.loads(state.get[0]) if state.exists else {"run_state": None, "artifacts": {}, "work_items": {}, "issues": [], "gates": {}, "sections": {}, "n_events": 0, "last_ord": -1}
     rows = pd.concat(list(batches)).sort_values("ord")
     for event in rows.to_dict("records"):
         snapshot = reduce_event(snapshot, event)
     state.update((json.dumps(snapshot, sort_keys=True),))
     yield pd.DataFrame({
         "run_id": [key[0]], "run_state": [snapshot["run_state"]], "n_events": [snapshot["n_events"]], "last_ord": [snapshot["last_ord"]],
-        "artifacts": [json.dumps(snapshot["artifacts"], sort_keys=True)], "work_items": [json.dumps(snapshot["work_items"], sort_keys=True)],
+        **{k: [json.dumps(snapshot[k], sort_keys=True)] for k in ("artifacts", "work_items", "issues", "gates", "sections")},
     })
 
 
