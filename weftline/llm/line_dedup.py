@@ -105,35 +105,45 @@ def _possible(one: Column, other: Column) -> Column:
     return by_length & (F.least(p, q) + F.least(n - p, m - q) >= _needed(n, m))
 
 
-def _alike() -> Column:
-    """Whether sets `later` and `earlier` are similar; first the bound by their sketches, which is cheaper."""
-    n, m = F.size("later"), F.size("earlier")
+def _close() -> Column:
+    """The sketches' bound of the difference of lines 1 and 2."""
+    n, m = F.col("n1"), F.col("n2")
     differ = [F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in ("s", "t")]
-    exact = F.size(F.array_intersect("later", "earlier")) >= _needed(n, m)
-    return F.when(F.greatest(*differ) <= n + m - 2 * _needed(n, m), exact).otherwise(False)
+    return F.greatest(*differ) <= n + m - 2 * _needed(n, m)
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, apart: bool) -> DataFrame:
-    """doc_id, at, tokens, sketches s and t of the lines concerned, whose texts are read again: cheaper than to keep
-    the sets of all lines."""
+def _same_line(end: int) -> Column:
+    return F.col(f"doc_id{end}").eqNullSafe(F.col("doc_id")) & (F.col(f"at{end}") == F.col("at"))
+
+
+def _with(df: DataFrame, lines: DataFrame, end: int, *columns: str) -> DataFrame:
+    """df with the columns, their names ending in end, that lines has of line doc_id<end>, at<end>."""
+    own = lines.select("doc_id", "at", *[F.col(c).alias(f"{c}{end}") for c in columns])
+    return df.join(own, _same_line(end)).drop("doc_id", "at")
+
+
+def _similar(near: DataFrame, docs: DataFrame, apart: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Of the pairs (later line: doc_id1, at1; earlier: doc_id2, at2) the later ones whose sets are similar. The texts of the
+    lines concerned are read again: cheaper than to keep the sets of all lines."""
+    ends = F.explode(F.array(*[F.struct(F.col(f"doc_id{end}").alias("doc_id"), F.col(f"at{end}").alias("at")) for end in (1, 2)]))
     h = F.shiftleft(F.shiftright("at", _LINE_BITS), _LINE_BITS)
-    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_set("at").alias("_wanted"))  # at most a document's lines
+    by_doc = near.select(ends.alias("x")).select("x.*").groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_set("at").alias("_wanted"))  # at most a document's lines
     met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text"), apart) == F.col("_h"))).select("doc_id", F.split(_spaced(F.col("text")), "\n").alias("lines"), "_wanted")
     each = F.transform("_wanted", lambda at: F.struct(at.alias("at"), F.get(F.col("lines"), _number(at)).alias("line")))
     sets = met.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.at", _tokens(F.col("x.line")).alias("tokens"))
-    turned = lambda *seed: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x, *seed))))
-    # documents that stand twice give a line twice
-    return sets.select("doc_id", "at", "tokens", turned().alias("s"), turned(F.lit(1)).alias("t")).dropDuplicates(["doc_id", "at"])
-
-
-def _with_set(df: DataFrame, sets: DataFrame, end: int) -> DataFrame:
-    """df with the set and the sketches of its line doc_id<end>, at<end>."""
-    own = sets.select("doc_id", "at", F.col("tokens").alias("later" if end == 1 else "earlier"), F.col("s").alias(f"s{end}"), F.col("t").alias(f"t{end}"))
-    return df.join(own, F.col("doc_id").eqNullSafe(F.col(f"doc_id{end}")) & (F.col("at") == F.col(f"at{end}"))).drop("doc_id", "at")
+    if apart:  # documents that stand twice give a line twice
+        sets = sets.dropDuplicates(["doc_id", "at"])
+    sets = scratch.write(sets, f"{name}-sets")
+    scratch.drop()
+    both = F.size(F.array_intersect("tokens1", "tokens2"))
+    full = _with(_with(near, sets, 1, "tokens"), sets, 2, "tokens").where(both >= _needed(F.size("tokens1"), F.size("tokens2")))
+    found = scratch.write(full.select(F.col("doc_id1").alias("doc_id"), F.col("at1").alias("at")).distinct(), name)
+    scratch.drop(f"{name}-sets", f"{name}-near")
+    return found
 
 
 def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
-    """doc_id, at (line number, above it _document()), k1 and k2 (hashes of the set), n, and the prefix
+    """doc_id, at (line number, above it _document()), k1 and k2 (hashes of the set), n, sketches s and t, and the prefix
     as hashes of pairs: their lowest 15 bits are 0, or the share that reads the line where lists can be long."""
     lines = docs.select("doc_id", _document(F.col("text"), apart).alias("h"), F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("k", "line"))
     number = F.when(F.col("k") < 1 << _LINE_BITS, F.col("k").cast("long")).otherwise(F.raise_error(F.lit("a text of too many lines")).cast("long"))
@@ -143,6 +153,7 @@ def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
     packed = lambda w: F.get(F.col("counted"), _bucket(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 16))
     distinct = F.array_distinct(F.transform(F.array_remove(_words(F.col("line")), ""), packed))  # `counted` once only: else each row gets a copy
     ordered = lines.select("doc_id", "at", "limit", F.sort_array(distinct).alias("tokens"))
+    turned = lambda *seed: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x, *seed))))
     # at most `lost` neighbouring pairs of a set are broken up in a similar one, so one of the first lost + 1 is shared
     size = F.size("tokens")
     lost = F.floor(0.75 * F.floor((1 - SIMILARITY) * size + 1e-9) + 0.25 * size + 1e-9).cast("int")
@@ -150,7 +161,7 @@ def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
     part = lambda a: F.when(a < F.col("limit"), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "at"), shares(a)))
     pair = lambda a, b: F.xxhash64(a, b).bitwiseAND(~_RARITY).bitwiseOR(part(a))
     prefix = F.when(size >= 4, F.zip_with(F.slice("tokens", F.lit(1), lost + 1), F.slice("tokens", F.lit(2), lost + 1), pair))
-    return ordered.select("doc_id", "at", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), prefix.alias("prefix"))
+    return ordered.select("doc_id", "at", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), turned().alias("s"), turned(F.lit(1)).alias("t"), prefix.alias("prefix"))
 
 
 def _listed(reps: DataFrame, part: int) -> DataFrame:
@@ -178,7 +189,7 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     table = scratch.write(frequencies(docs), "counts")
     scratch.drop()
     keyed = scratch.write(_keyed(docs, table, apart), "keyed")
-    classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at", "n", "prefix")).alias("first"), F.count("*").alias("m"))
+    classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at", "n", "s", "t", "prefix")).alias("first"), F.count("*").alias("m"))
     classes = scratch.write(classes.select("k1", "k2", "m", "first.*"), "classes")
     scratch.drop()
     first = classes.where("m > 1").select("k1", "k2", F.struct("doc_id", "at").alias("first"))
@@ -189,28 +200,30 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
         some = scratch.write(_listed(classes.where("n >= 4"), part), f"listed-{part}")
         scratch.drop()
         listed = some if listed is None else listed.union(some)
-    scratch.drop("classes", "counts")
     line1, line2 = ([F.col(c).alias(f"{c}{end}") for c in ("doc_id", "at")] for end in (1, 2))
+    pair, sketch = ["doc_id1", "at1", "doc_id2", "at2"], ("n", "s", "t")
     tried = listed.select(*line1, "shape", F.explode("tries").alias("e")).where(_possible(F.col("shape"), F.col("e.shape")))
     tried = scratch.write(tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct(), "tried")
-    ends = F.explode(F.array(*[F.struct(F.col(f"doc_id{end}").alias("doc_id"), F.col(f"at{end}").alias("at")) for end in (1, 2)]))
-    wanted = tried.select(ends.alias("x")).select("x.*").union(listed.where("long").select("doc_id", "at")).distinct()
-    sets = scratch.write(_sets(wanted, docs, apart), "sets")
     scratch.drop()
-    led = _with_set(_with_set(tried, sets, 1), sets, 2).where(_alike())
-    gone = scratch.write(led.select(F.col("doc_id1").alias("doc_id"), F.col("at1").alias("at")).distinct(), "led")
+    near = scratch.write(_with(_with(tried, classes, 1, *sketch), classes, 2, *sketch).where(_close()).select(*pair), "led-near")
     scratch.drop("tried")
+    gone = _similar(near, docs, apart, scratch, "led")
     # up to the third of a list all earlier lines have been tried
     open_ = listed.where("k > 3").select("token", *line1, F.col("shape").alias("shape1"))
-    open_ = open_.join(gone, F.col("doc_id1").eqNullSafe(F.col("doc_id")) & (F.col("at1") == F.col("at")), "left_anti")
-    open_ = scratch.write(open_, "open")
+    open_ = scratch.write(open_.join(gone, _same_line(1), "left_anti"), "open")
     others = listed.where("long").select("token", *line2, F.col("shape").alias("shape2")).join(open_.select("token").distinct(), "token", "left_semi")
+    scratch.drop()
     earlier = F.struct(F.col("doc_id2").alias("d"), F.col("at2").alias("a")) < F.struct(F.col("doc_id1").alias("d"), F.col("at1").alias("a"))
-    met = _with_set(open_, sets, 1).join(_with_set(others, sets, 2), "token").where(F.when(earlier & _possible(F.col("shape1"), F.col("shape2")), _alike()).otherwise(False))
-    late = scratch.write(met.select(F.col("doc_id1").alias("doc_id"), F.col("at1").alias("at")).distinct(), "late")
+    # a pair of lines that shares several pairs of words meets in the list of the first alone
+    bare = F.array_intersect(F.transform("prefix1", lambda x: F.shiftright(x, 15)), F.transform("prefix2", lambda x: F.shiftright(x, 15)))
+    first = F.when(earlier & _possible(F.col("shape1"), F.col("shape2")) & _close(), F.get(bare, F.lit(0)) == F.col("token")).otherwise(False)
+    late = _with(open_, classes, 1, *sketch, "prefix").join(_with(others, classes, 2, *sketch, "prefix"), "token").where(first).select(*pair)
+    late = scratch.write(late.distinct(), "late-near")
+    scratch.drop("classes", "counts", *(f"listed-{part}" for part in range(SLICES)), "open")
+    late = _similar(late, docs, apart, scratch, "late")
     # a near line's equal copies are among `same` already
     found = scratch.write(same.union(gone).union(late).distinct(), "found")
-    scratch.drop("same", *(f"listed-{part}" for part in range(SLICES)), "sets", "open", "led", "late")
+    scratch.drop("same", "led", "late")
     return found, apart
 
 
