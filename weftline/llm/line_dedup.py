@@ -200,12 +200,18 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
         some = scratch.write(_listed(classes.where("n >= 4"), part), f"listed-{part}")
         scratch.drop()
         listed = some if listed is None else listed.union(some)
+    # of the lines in any list: sketches, and the pairs that other lines share, in order
+    held = listed.groupBy("doc_id", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("shape").bitwiseAND(_SIZE).alias("p"), "token"))), lambda x: x["token"]).alias("prefix"))  # at most a line's prefix
+    one = classes.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), "n", "s", "t")
+    lines = held.join(one, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("at") == F.col("_at"))).drop("_doc_id", "_at")
+    lines = scratch.write(lines, "lines")
+    scratch.drop("classes", "counts")
     line1, line2 = ([F.col(c).alias(f"{c}{end}") for c in ("doc_id", "at")] for end in (1, 2))
     pair, sketch = ["doc_id1", "at1", "doc_id2", "at2"], ("n", "s", "t")
     tried = listed.select(*line1, "shape", F.explode("tries").alias("e")).where(_possible(F.col("shape"), F.col("e.shape")))
     tried = scratch.write(tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct(), "tried")
     scratch.drop()
-    near = scratch.write(_with(_with(tried, classes, 1, *sketch), classes, 2, *sketch).where(_close()).select(*pair), "led-near")
+    near = scratch.write(_with(_with(tried, lines, 1, *sketch), lines, 2, *sketch).where(_close()).select(*pair), "led-near")
     scratch.drop("tried")
     gone = _similar(near, docs, apart, scratch, "led")
     # up to the third of a list all earlier lines have been tried
@@ -215,11 +221,10 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     scratch.drop()
     earlier = F.struct(F.col("doc_id2").alias("d"), F.col("at2").alias("a")) < F.struct(F.col("doc_id1").alias("d"), F.col("at1").alias("a"))
     # a pair of lines that shares several pairs of words meets in the list of the first alone
-    bare = F.array_intersect(F.transform("prefix1", lambda x: F.shiftright(x, 15)), F.transform("prefix2", lambda x: F.shiftright(x, 15)))
-    first = F.when(earlier & _possible(F.col("shape1"), F.col("shape2")) & _close(), F.get(bare, F.lit(0)) == F.col("token")).otherwise(False)
-    late = _with(open_, classes, 1, *sketch, "prefix").join(_with(others, classes, 2, *sketch, "prefix"), "token").where(first).select(*pair)
+    first = F.when(earlier & _possible(F.col("shape1"), F.col("shape2")) & _close(), F.get(F.array_intersect("prefix1", "prefix2"), F.lit(0)) == F.col("token")).otherwise(False)
+    late = _with(open_, lines, 1, *sketch, "prefix").join(_with(others, lines, 2, *sketch, "prefix"), "token").where(first).select(*pair)
     late = scratch.write(late.distinct(), "late-near")
-    scratch.drop("classes", "counts", *(f"listed-{part}" for part in range(SLICES)), "open")
+    scratch.drop("lines", *(f"listed-{part}" for part in range(SLICES)), "open")
     late = _similar(late, docs, apart, scratch, "late")
     # a near line's equal copies are among `same` already
     found = scratch.write(same.union(gone).union(late).distinct(), "found")
