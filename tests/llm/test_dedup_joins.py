@@ -180,7 +180,11 @@ def all_spans(text):
                 yield a, b, " ".join(" ".join(parts[a:b]).split())
 
 
-def test_span_dedup_against_all_spans(spark):
+@pytest.mark.parametrize("hot", [1, 50, 1000])  # no hash is hot, some are, all that repeat are
+def test_span_dedup_against_all_spans(spark, monkeypatch, hot):
+    from weftline.llm import span_dedup
+
+    monkeypatch.setattr(span_dedup, "HOT", hot)
     rnd = random.Random(9)
     make = lambda n: " ".join(f"w{rnd.randrange(100000)}" for _ in range(n - 1)) + f" e{rnd.randrange(100000)}."
     passages = [[40, 27], [32, 21], [31, 20], [20, 40, 3], [3, 40], [5, 5, 5], [35, 2, 35, 2], [8, 8, 8, 8], [60], [14, 1], [41], [95, 3]]

@@ -6,8 +6,9 @@ after every so many. Runs are hashed (128 bits) and met globally; of equal runs
 A passage that is as long as a run is covered from end to end by runs inside it: by the one that begins at each
 sentence or, where that reaches beyond the passage, by the one that ends with it.
 
-Hashes are counted with map-side aggregation, and only rows of repeated hashes travel on; a run that a third
-of all documents hold is one row on one side of the joins, which adaptive execution splits on the other.
+Hashes are counted with map-side aggregation, and only rows of repeated hashes travel on. Hashes of more than a
+thousandth of all runs, fewer than a thousand by that, are broadcast, so their rows stay where they are; no other
+hash fills a task of the shuffled joins.
 
 Defined results: null text stays null; white space between words doesn't matter; runs shorter than MIN_WORDS
 at the end of a text are no runs; rows of equal doc_id and text count as one document and are cleaned alike;
@@ -30,6 +31,8 @@ from .common import Scratch
 MIN_SENTENCES = 2
 MIN_WORDS = 15
 MAX_WORDS = 40
+#: A hash with more than this part of all runs is hot: fewer than HOT can be, so they are broadcast.
+HOT = 1000
 
 #: A sentence with the marks and white space after it; a mark inside a word or number ends nothing.
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?=[^\s.!?]))+[.!?]*\s*|[.!?\n]+\s*")
@@ -88,14 +91,19 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Da
 
     keyed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
     spans = scratch.write(keyed.mapInArrow(find, "doc_id long, h long, a long, b long, span long"), "spans")
-    again = spans.groupBy("a", "b").agg(F.count("*").alias("m")).where("m > 1").select("a", "b")
-    met = scratch.write(spans.join(again, ["a", "b"]), "met")
-    firsts = met.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "span")).alias("first"))
-    later = met.join(firsts, ["a", "b"]).where(F.struct("doc_id", "h", "span") > F.col("first"))
+    again = scratch.write(spans.groupBy("a", "b").agg(F.count("*").alias("m")).where("m > 1"), "again")
+    # counts of all hashes sum up to the rows, so fewer than HOT hashes can hold more than a share of 1 / HOT each
+    limit = spans.count() / HOT
+    hot, others = F.broadcast(again.where(F.col("m") > limit).select("a", "b")), again.where(F.col("m") <= limit).select("a", "b")
+    met_hot = scratch.write(spans.join(hot, ["a", "b"]), "met-hot")
+    met = scratch.write(spans.join(hot, ["a", "b"], "left_anti").join(others, ["a", "b"]), "met")
+    first = lambda df: df.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "span")).alias("first"))
+    later = met_hot.join(F.broadcast(first(met_hot)), ["a", "b"]).unionByName(met.join(first(met), ["a", "b"]))
+    later = later.where(F.struct("doc_id", "h", "span") > F.col("first"))
     start, n = F.shiftright("span", 16), F.col("span").bitwiseAND(65535)
     each = later.select("doc_id", "h", F.explode(F.sequence(start, start + n - 1)).alias("k")).distinct()
     gone = scratch.write(each.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("k")).alias("gone")), "gone")  # at most a document's sentences
-    scratch.drop("spans", "met")
+    scratch.drop("spans", "again", "met-hot", "met")
     return gone
 
 
