@@ -38,8 +38,10 @@ SIMILARITY = 0.8
 RARITY_BITS = 16
 #: Lists of pairs whose rarer word stands more often than this are read in shares of about so many lines.
 SHARE = 50_000
-#: Postings are shuffled in so many slices by their hash, one after the other, so that fewer of them stand on disk at once.
+#: Prefixes and postings are shuffled in so many slices by their hash, one after the other, so that fewer of them stand on disk at once.
 SLICES = 4
+#: A set that more than 1 / HOT of all lines hold is met by a broadcast: fewer than HOT sets can be such.
+HOT = 1000
 _LINE_BITS = 27
 _SCALE = 900  # steps of the logarithmic scale for each doubling
 _RARITY = (1 << 15) - 1
@@ -116,9 +118,11 @@ def _same_line(end: int) -> Column:
     return F.col(f"doc_id{end}").eqNullSafe(F.col("doc_id")) & (F.col(f"at{end}") == F.col("at"))
 
 
-def _with(df: DataFrame, lines: DataFrame, end: int, *columns: str) -> DataFrame:
-    """df with the columns, their names ending in end, that lines has of line doc_id<end>, at<end>."""
+def _with(df: DataFrame, lines: DataFrame, end: int, *columns: str, grows: bool = False) -> DataFrame:
+    """df with the columns, their names ending in end, that lines has of line doc_id<end>, at<end>. Where the join grows with
+    the input and no line is hot, it is a merge join at every size."""
     own = lines.select("doc_id", "at", *[F.col(c).alias(f"{c}{end}") for c in columns])
+    own = own.hint("merge") if grows else own
     return df.join(own, _same_line(end)).drop("doc_id", "at")
 
 
@@ -131,8 +135,6 @@ def _similar(near: DataFrame, docs: DataFrame, apart: bool, scratch: Scratch, na
     met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text"), apart) == F.col("_h"))).select("doc_id", F.split(_spaced(F.col("text")), "\n").alias("lines"), "_wanted")
     each = F.transform("_wanted", lambda at: F.struct(at.alias("at"), F.get(F.col("lines"), _number(at)).alias("line")))
     sets = met.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.at", _tokens(F.col("x.line")).alias("tokens"))
-    if apart:  # documents that stand twice give a line twice
-        sets = sets.dropDuplicates(["doc_id", "at"])
     sets = scratch.write(sets, f"{name}-sets")
     scratch.drop()
     both = F.size(F.array_intersect("tokens1", "tokens2"))
@@ -181,23 +183,47 @@ def _listed(reps: DataFrame, part: int) -> DataFrame:
     return ranked.select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", F.when(shared, 1 << 30).otherwise(F.col("k")).alias("k"), (shared | (F.col("size") > 3)).alias("long"), tries.alias("tries"))
 
 
+def _classes(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Lines whose set other lines have too: doc_id, at and m, how many have it, which is 0 for all but the earliest; and, of
+    all sets of four words or more, the earliest line with n, s, t, prefix and m. Prefixes take no part in the aggregation."""
+    line = F.struct("doc_id", "at")
+    several = keyed.groupBy("k1", "k2").agg(F.min(line).alias("first"), F.count("*").alias("m")).where("m > 1")
+    several = scratch.write(several, "several")
+    limit = keyed.count() / HOT
+    hot, others = F.broadcast(several.where(F.col("m") > limit)), several.where(F.col("m") <= limit)
+    each = keyed.select("doc_id", "at", "k1", "k2")
+    met = each.join(hot, ["k1", "k2"]).unionByName(each.join(hot, ["k1", "k2"], "left_anti").join(others, ["k1", "k2"]))
+    members = scratch.write(met.select("doc_id", "at", F.when(line == F.col("first"), F.col("m")).otherwise(0).alias("m")), "members")
+    scratch.drop("several")
+    known = members.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), "m")
+    classes = None
+    for part in range(SLICES):
+        mine = lambda d, a: F.pmod(F.xxhash64(d, a), F.lit(SLICES)) == part  # noqa: B023, E731
+        some = keyed.where("n >= 4").where(mine("doc_id", "at")).select("doc_id", "at", "n", "s", "t", "prefix")
+        of_some = known.where(mine("_doc_id", "_at")).hint("merge")
+        some = some.join(of_some, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("at") == F.col("_at")), "left").drop("_doc_id", "_at")
+        some = scratch.write(some.withColumn("m", F.coalesce("m", F.lit(1))).where("m > 0"), f"classes-{part}")
+        scratch.drop()
+        classes = some if classes is None else classes.union(some)
+    return members, classes
+
+
 def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     """doc_id, at of every line that an earlier line resembles; whether doc_ids repeat, so that `at` holds hashes of texts."""
     scratch = Scratch(spark, "lines")
     docs = docs.select("doc_id", "text").where("text is not null")
     apart = bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    if apart:
+        docs = scratch.write(docs.dropDuplicates(["doc_id", "text"]), "docs")
     table = scratch.write(frequencies(docs), "counts")
     scratch.drop()
     keyed = scratch.write(_keyed(docs, table, apart), "keyed")
-    classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at", "n", "s", "t", "prefix")).alias("first"), F.count("*").alias("m"))
-    classes = scratch.write(classes.select("k1", "k2", "m", "first.*"), "classes")
-    scratch.drop()
-    first = classes.where("m > 1").select("k1", "k2", F.struct("doc_id", "at").alias("first"))
-    same = scratch.write(keyed.select("doc_id", "at", "k1", "k2").join(first, ["k1", "k2"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at"), "same")
+    members, classes = _classes(keyed, scratch)
+    same = members.where("m = 0").select("doc_id", "at")
     scratch.drop("keyed")
     listed = None
     for part in range(SLICES):
-        some = scratch.write(_listed(classes.where("n >= 4"), part), f"listed-{part}")
+        some = scratch.write(_listed(classes, part), f"listed-{part}")
         scratch.drop()
         listed = some if listed is None else listed.union(some)
     # of the lines in any list: sketches, and the pairs that other lines share, in order
@@ -205,7 +231,7 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     one = classes.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), "n", "s", "t")
     lines = held.join(one, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("at") == F.col("_at"))).drop("_doc_id", "_at")
     lines = scratch.write(lines, "lines")
-    scratch.drop("classes", "counts")
+    scratch.drop("counts", *(f"classes-{part}" for part in range(SLICES)))
     line1, line2 = ([F.col(c).alias(f"{c}{end}") for c in ("doc_id", "at")] for end in (1, 2))
     pair, sketch = ["doc_id1", "at1", "doc_id2", "at2"], ("n", "s", "t")
     tried = listed.select(*line1, "shape", F.explode("tries").alias("e")).where(_possible(F.col("shape"), F.col("e.shape")))
@@ -222,13 +248,13 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     earlier = F.struct(F.col("doc_id2").alias("d"), F.col("at2").alias("a")) < F.struct(F.col("doc_id1").alias("d"), F.col("at1").alias("a"))
     # a pair of lines that shares several pairs of words meets in the list of the first alone
     first = F.when(earlier & _possible(F.col("shape1"), F.col("shape2")) & _close(), F.get(F.array_intersect("prefix1", "prefix2"), F.lit(0)) == F.col("token")).otherwise(False)
-    late = _with(open_, lines, 1, *sketch, "prefix").join(_with(others, lines, 2, *sketch, "prefix"), "token").where(first).select(*pair)
+    late = _with(open_, lines, 1, *sketch, "prefix", grows=True).join(_with(others, lines, 2, *sketch, "prefix", grows=True), "token").where(first).select(*pair)
     late = scratch.write(late.distinct(), "late-near")
     scratch.drop("lines", *(f"listed-{part}" for part in range(SLICES)), "open")
     late = _similar(late, docs, apart, scratch, "late")
     # a near line's equal copies are among `same` already
     found = scratch.write(same.union(gone).union(late).distinct(), "found")
-    scratch.drop("same", "led", "late")
+    scratch.drop("members", "led", "late", "docs")
     return found, apart
 
 
@@ -242,7 +268,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found, apart = _repeated(spark, docs)
     h = F.shiftleft(F.shiftright("at", _LINE_BITS), _LINE_BITS)
     gone = found.groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_list(_number(F.col("at"))).alias("_gone"))  # at most a document's lines
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text"), apart) == F.col("_h")), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text"), apart) == F.col("_h")), "left")
     lines = F.split("text", "\n")
     stay = F.filter(F.transform(lines, lambda x, k: F.when(~F.array_contains("_gone", k), x)), lambda x: x.isNotNull())
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
