@@ -17,7 +17,7 @@ in), so both prefixes of lost + 1 pairs hold a shared one. Sets of under four wo
   comparisons a member. Only lines that this leaves open are joined with all earlier lines of their lists. No list
   is collected, and none is cut. Lists that can be long, since both their words are frequent, are read in shares;
   the join of open lines is not, so shares change no result.
-- Length and position of the shared pair bound the overlap first. Then do two sketches, 64 bits of which each token
+- Length and position of the shared pair bound the overlap first. Then does a sketch, 64 bits of which each token
   turns one: tokens that two sets share cancel out, so sketches differ in no more bits than the sets in tokens. What
   remains is compared exactly, on the sets of the lines concerned.
 
@@ -110,8 +110,7 @@ def _possible(one: Column, other: Column) -> Column:
 def _close() -> Column:
     """The sketches' bound of the difference of lines 1 and 2."""
     n, m = F.col("n1"), F.col("n2")
-    differ = [F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in ("s", "t")]
-    return F.greatest(*differ) <= n + m - 2 * _needed(n, m)
+    return F.bit_count(F.col("s1").bitwiseXOR(F.col("s2"))) <= n + m - 2 * _needed(n, m)
 
 
 def _same_line(end: int) -> Column:
@@ -145,7 +144,7 @@ def _similar(near: DataFrame, docs: DataFrame, apart: bool, scratch: Scratch, na
 
 
 def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
-    """doc_id, at (line number, above it _document()), k1 and k2 (hashes of the set), n, sketches s and t, and the prefix
+    """doc_id, at (line number, above it _document()), k1 and k2 (hashes of the set), n, the sketch s, and the prefix
     as hashes of pairs: their lowest 15 bits are 0, or the share that reads the line where lists can be long."""
     lines = docs.select("doc_id", _document(F.col("text"), apart).alias("h"), F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("k", "line"))
     number = F.when(F.col("k") < 1 << _LINE_BITS, F.col("k").cast("long")).otherwise(F.raise_error(F.lit("a text of too many lines")).cast("long"))
@@ -155,7 +154,7 @@ def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
     packed = lambda w: F.get(F.col("counted"), _bucket(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 16))
     distinct = F.array_distinct(F.transform(F.array_remove(_words(F.col("line")), ""), packed))  # `counted` once only: else each row gets a copy
     ordered = lines.select("doc_id", "at", "limit", F.sort_array(distinct).alias("tokens"))
-    turned = lambda *seed: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x, *seed))))
+    sketch = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))  # the lowest 6 bits of a word's hash
     # at most `lost` neighbouring pairs of a set are broken up in a similar one, so one of the first lost + 1 is shared
     size = F.size("tokens")
     lost = F.floor(0.75 * F.floor((1 - SIMILARITY) * size + 1e-9) + 0.25 * size + 1e-9).cast("int")
@@ -163,7 +162,7 @@ def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
     part = lambda a: F.when(a < F.col("limit"), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "at"), shares(a)))
     pair = lambda a, b: F.xxhash64(a, b).bitwiseAND(~_RARITY).bitwiseOR(part(a))
     prefix = F.when(size >= 4, F.zip_with(F.slice("tokens", F.lit(1), lost + 1), F.slice("tokens", F.lit(2), lost + 1), pair))
-    return ordered.select("doc_id", "at", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), turned().alias("s"), turned(F.lit(1)).alias("t"), prefix.alias("prefix"))
+    return ordered.select("doc_id", "at", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), size.alias("n"), sketch.alias("s"), prefix.alias("prefix"))
 
 
 def _listed(reps: DataFrame, part: int) -> DataFrame:
@@ -185,7 +184,7 @@ def _listed(reps: DataFrame, part: int) -> DataFrame:
 
 def _classes(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Lines whose set other lines have too: doc_id, at and m, how many have it, which is 0 for all but the earliest; and, of
-    all sets of four words or more, the earliest line with n, s, t, prefix and m. Prefixes take no part in the aggregation."""
+    all sets of four words or more, the earliest line with n, s, prefix and m. Prefixes take no part in the aggregation."""
     line = F.struct("doc_id", "at")
     several = keyed.groupBy("k1", "k2").agg(F.min(line).alias("first"), F.count("*").alias("m")).where("m > 1")
     several = scratch.write(several, "several")
@@ -199,7 +198,7 @@ def _classes(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     classes = None
     for part in range(SLICES):
         mine = lambda d, a: F.pmod(F.xxhash64(d, a), F.lit(SLICES)) == part  # noqa: B023, E731
-        some = keyed.where("n >= 4").where(mine("doc_id", "at")).select("doc_id", "at", "n", "s", "t", "prefix")
+        some = keyed.where("n >= 4").where(mine("doc_id", "at")).select("doc_id", "at", "n", "s", "prefix")
         of_some = known.where(mine("_doc_id", "_at")).hint("merge")
         some = some.join(of_some, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("at") == F.col("_at")), "left").drop("_doc_id", "_at")
         some = scratch.write(some.withColumn("m", F.coalesce("m", F.lit(1))).where("m > 0"), f"classes-{part}")
@@ -228,12 +227,12 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
         listed = some if listed is None else listed.union(some)
     # of the lines in any list: sketches, and the pairs that other lines share, in order
     held = listed.groupBy("doc_id", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("shape").bitwiseAND(_SIZE).alias("p"), "token"))), lambda x: x["token"]).alias("prefix"))  # at most a line's prefix
-    one = classes.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), "n", "s", "t")
+    one = classes.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), "n", "s")
     lines = held.join(one, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("at") == F.col("_at"))).drop("_doc_id", "_at")
     lines = scratch.write(lines, "lines")
     scratch.drop("counts", *(f"classes-{part}" for part in range(SLICES)))
     line1, line2 = ([F.col(c).alias(f"{c}{end}") for c in ("doc_id", "at")] for end in (1, 2))
-    pair, sketch = ["doc_id1", "at1", "doc_id2", "at2"], ("n", "s", "t")
+    pair, sketch = ["doc_id1", "at1", "doc_id2", "at2"], ("n", "s")
     tried = listed.select(*line1, "shape", F.explode("tries").alias("e")).where(_possible(F.col("shape"), F.col("e.shape")))
     tried = scratch.write(tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct(), "tried")
     scratch.drop()
