@@ -29,6 +29,8 @@ document has at most 2^27 lines (more raise an error).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ SIMILARITY = 0.8
 RARITY_BITS = 16
 #: Lists of pairs whose rarer word stands more often than this are read in shares of about so many lines.
 SHARE = 50_000
-#: Prefixes and postings are shuffled in so many slices by their hash, one after the other, so that fewer of them stand on disk at once.
+#: Prefixes, postings and what is compared in their lists are shuffled in so many slices by their hash, one after the other, so that fewer of them stand on disk at once.
 SLICES = 4
 #: A set that more than 1 / HOT of all lines hold is met by a broadcast: fewer than HOT sets can be such.
 HOT = 1000
@@ -220,11 +222,11 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     members, classes = _classes(keyed, scratch)
     same = members.where("m = 0").select("doc_id", "at")
     scratch.drop("keyed")
-    listed = None
+    slices = []
     for part in range(SLICES):
-        some = scratch.write(_listed(classes, part), f"listed-{part}")
+        slices.append(scratch.write(_listed(classes, part), f"listed-{part}"))
         scratch.drop()
-        listed = some if listed is None else listed.union(some)
+    listed = reduce(DataFrame.union, slices)
     # of the lines in any list: sketches, and the pairs that other lines share, in order
     held = listed.groupBy("doc_id", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("shape").bitwiseAND(_SIZE).alias("p"), "token"))), lambda x: x["token"]).alias("prefix"))  # at most a line's prefix
     one = classes.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), "n", "s")
@@ -242,18 +244,22 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     # up to the third of a list all earlier lines have been tried
     open_ = listed.where("k > 3").select("token", *line1, F.col("shape").alias("shape1"))
     open_ = scratch.write(open_.join(gone, _same_line(1), "left_anti"), "open")
-    others = listed.where("long").select("token", *line2, F.col("shape").alias("shape2")).join(open_.select("token").distinct(), "token", "left_semi")
     scratch.drop()
     earlier = F.struct(F.col("doc_id2").alias("d"), F.col("at2").alias("a")) < F.struct(F.col("doc_id1").alias("d"), F.col("at1").alias("a"))
     # a pair of lines that shares several pairs of words meets in the list of the first alone
     first = F.when(earlier & _possible(F.col("shape1"), F.col("shape2")) & _close(), F.get(F.array_intersect("prefix1", "prefix2"), F.lit(0)) == F.col("token")).otherwise(False)
-    late = _with(open_, lines, 1, *sketch, "prefix", grows=True).join(_with(others, lines, 2, *sketch, "prefix", grows=True), "token").where(first).select(*pair)
-    late = scratch.write(late.distinct(), "late-near")
+    met = []
+    for part, some in enumerate(slices):
+        mine = open_.where(F.pmod("token", F.lit(SLICES)) == part)
+        others = some.where("long").select("token", *line2, F.col("shape").alias("shape2")).join(mine.select("token").distinct(), "token", "left_semi")
+        late = _with(mine, lines, 1, *sketch, "prefix", grows=True).join(_with(others, lines, 2, *sketch, "prefix", grows=True), "token").where(first).select(*pair)
+        met.append(scratch.write(late.distinct(), f"late-near-{part}"))
+        scratch.drop()
     scratch.drop("lines", *(f"listed-{part}" for part in range(SLICES)), "open")
-    late = _similar(late, docs, apart, scratch, "late")
+    late = _similar(reduce(DataFrame.union, met), docs, apart, scratch, "late")
     # a near line's equal copies are among `same` already
     found = scratch.write(same.union(gone).union(late).distinct(), "found")
-    scratch.drop("members", "led", "late", "docs")
+    scratch.drop("members", "led", "late", "docs", *(f"late-near-{part}" for part in range(SLICES)))
     return found, apart
 
 
