@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables, and what SQL can say of them."""
+"""The operators applied to their whole tables, and what SQL can say of them."""
 
 from __future__ import annotations
 
@@ -72,6 +72,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    found = resample(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_stream import decode, encode
+
+    encoded = encode(documents(spark, sf_dir)).withColumn("ids_sha256", F.sha2("ids", 256))
+    return decode(encoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import restore, transform
+
+    made = transform(documents(spark, sf_dir)).withColumn("output_sha256", F.sha2("output", 256))
+    return restore(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("text", 256).alias("restored_sha256"))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -128,9 +149,46 @@ FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN g ON g.doc_id = l.doc_id A
 """
 
 
+#: CRC-32 by its table of 256 entries, over the bytes of each distinct word; weights and Gumbel noise in doubles.
+OP11_SQL = r"""
+WITH k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS k),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+e AS (SELECT doc_id, unnest(w) AS w FROM d),
+c AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(w) + 1), lambda i: ('0x' || hex(encode(w))[2 * i - 1 : 2 * i])::BIGINT)),
+                                lambda c, b: xor(c >> 8, k[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+      FROM (SELECT w FROM e UNION SELECT w FROM t), k),
+s AS (SELECT b, count(*) AS n FROM e JOIN c USING (w) GROUP BY b),
+u AS (SELECT b, count(*) AS n FROM t JOIN c USING (w) GROUP BY b),
+g AS (SELECT c.b, floor(1000 * ln((coalesce(u.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000)
+                                  / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM t) + 10000))))::BIGINT AS g
+      FROM (SELECT DISTINCT b FROM c) c LEFT JOIN s USING (b) LEFT JOIN u USING (b)),
+v AS (SELECT doc_id, sum(g)::BIGINT AS weight FROM e JOIN c USING (w) JOIN g USING (b) GROUP BY doc_id),
+x AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM d LEFT JOIN v USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS rank FROM x)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND rank <= 10 * (SELECT count(*) FROM x WHERE n_features >= 20) // 100 THEN rank END AS rank FROM r
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+             list_transform([1, 9, 17, 25], lambda i: ('0x' || x[i : i + 7])::BIGINT) AS h FROM d),
+c AS (SELECT doc_id, t, len(w) AS n, w, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                  WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
+
+
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_span_dedup": op5_span_dedup, "op6_lm_scoring": op6_lm_scoring, "op7_weak_quality": op7_weak_quality, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
+    return {"op1_decontaminate": op1_decontaminate, "op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_span_dedup": op5_span_dedup, "op6_lm_scoring": op6_lm_scoring, "op7_weak_quality": op7_weak_quality, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing, "op11_importance": op11_importance, "op12_bpe_stream": op12_bpe_stream, "op13_fill_middle": op13_fill_middle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op8_line_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op8_line_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_importance": OP11_SQL, "op13_fill_middle": OP13_SQL}
