@@ -81,6 +81,18 @@ def test_leaks(spark, docs, empty):
     assert find_leaks(spark, docs, benchmark.limit(0)).where("leaked").count() == 0
 
 
+def test_passages_without_id(spark):
+    rnd = random.Random(9)
+    passages = [" ".join(words(rnd, 30)) for _ in range(4)]
+    benchmark = spark.createDataFrame([(None, passages[0]), (1, passages[1]), (None, passages[2]), (1, passages[3])], "item_id long, text string")
+    texts = [(k, " ".join([*words(rnd, 40), p, *words(rnd, 40)])) for k, p in enumerate(passages)] + [(4, " ".join([*words(rnd, 30), passages[1], *words(rnd, 30), passages[2]]))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for block in (1024, 2):
+        got = {r.doc_id: r.item_ids for r in find_leaks(spark, frame, benchmark, block=block).collect()}
+        assert got == {0: [None], 1: [1], 2: [None], 3: [1], 4: [1, None]}
+        assert drop_leaks(spark, frame, benchmark, block=block).count() == 0
+
+
 def planted(rnd, passages, hosts, each):
     """Documents with `each` passages, by turns exact and with every sixth word changed, and the pairs that are leaks by brute force."""
     texts, pairs = [], set()

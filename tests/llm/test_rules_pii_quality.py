@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,18 +108,81 @@ def test_held_out_spans():
     assert hits >= 0.95 * total and wrong <= 0.05 * total
 
 
-def test_label_model_finds_accuracies():
+def draws(n, annotated, seed=1):
+    """Vote patterns of three labellers with accuracies 0.9, 0.8, 0.6, the annotators' first, and each one's class."""
     import random
 
-    rnd = random.Random(1)
-    patterns = Counter()
-    for _ in range(4000):
+    rnd, rows = random.Random(seed), []
+    for _ in range(n):
         y = rnd.random() < 0.3
         say = lambda p, y=y: (1 if y else -1) * (1 if rnd.random() < p else -1)
-        patterns[(say(0.97) if rnd.random() < 0.2 else 0, say(0.9), say(0.8), say(0.6))] += 1
-    model = LabelModel(dict(patterns))
-    assert model.table[0, 1, 2] / (model.table[0, 1, 0] + model.table[0, 1, 2]) > 0.9  # no labeller has a start of its own
-    assert abs(model.prior - 0.3) < 0.05 and abs(model.table[1, 1, 2] - 0.9) < 0.06 and abs(model.table[3, 1, 2] - 0.6) < 0.08
+        rows.append(((say(0.98) if rnd.random() < annotated else 0, say(0.9), say(0.8) if rnd.random() < 0.7 else 0, say(0.6)), y))
+    return rows
+
+
+def test_label_model_finds_accuracies():
+    for annotated, off in ((0.2, 0.06), (0.0, 0.15)):  # three labellers alone are barely enough to tell
+        model = LabelModel(dict(Counter(v for v, _ in draws(6000, annotated))))
+        assert abs(model.prior - 0.3) < off and model.anchored == (annotated > 0)
+        assert all(abs(model.table[k] - x) < off for k, x in {(1, 1, 2): 0.9, (2, 0, 0): 0.56, (2, 1, 1): 0.3, (3, 1, 2): 0.6}.items())
+
+
+def test_label_model_against_plain_em():
+    """Row by row, without patterns or arrays."""
+    import math
+
+    from weftline.llm.weak_quality import ANCHOR, EM_STEPS, MISSING, START, TRUST
+
+    rows = [v for v, _ in draws(300, 0.2)]
+    rows[::7] = [(v[0], MISSING, *v[2:]) for v in rows[::7]]
+    model = LabelModel(dict(Counter(rows)))
+    said = [v for v in rows if v[0]]
+    prior = (sum(v[0] == 1 for v in said) + 1) / (len(said) + 2)
+    heavy = max(1.0, ANCHOR * (len(rows) - len(said)) / len(said))
+    logit = math.log(prior / (1 - prior))
+    post = [(TRUST if v[0] == 1 else 1 - TRUST) if v[0] else 1 / (1 + math.exp(-(logit + START * sum(x for x in v[1:] if x != MISSING)))) for v in rows]
+    for _ in range(EM_STEPS):
+        rate = {}
+        prior = (sum(post) + 1) / (len(rows) + 2)
+        logit = math.log(prior / (1 - prior))
+        for j in (1, 2, 3):
+            for c in (0, 1):
+                n = {x: 0.1 + sum((heavy if v[0] else 1) * (p if c else 1 - p) for v, p in zip(rows, post, strict=True) if v[j] == x) for x in (-1, 0, 1)}
+                rate[j, c] = {x: k / sum(n.values()) for x, k in n.items()}
+        new = []
+        for v in rows:
+            odds = logit + v[0] * math.log(TRUST / (1 - TRUST))
+            odds += sum(math.log(rate[j, 1][v[j]] / rate[j, 0][v[j]]) for j in (1, 2, 3) if v[j] != MISSING)
+            new.append(1 / (1 + math.exp(-odds)))
+        post = new
+    assert all(abs(model.posterior(v) - p) < 1e-6 for v, p in zip(rows, post, strict=True))
+
+
+def test_quality_of_withheld_rows(spark):
+    """Labels with odd ids are withheld and scored: better than 0.9 and than the majority."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from weftline.llm.weak_quality import train
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    given, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").select("doc_id", F.col("quality").alias("q"), "toxic")
+    models = train(spark, docs, given)[1]
+    shares = held.agg(F.avg("q"), F.avg("toxic"), F.avg(F.expr("int(q = 1 and toxic = 0)"))).first()
+    assert abs(models["quality"].prior - shares[0]) < 0.05 and abs(models["toxicity"].prior - shares[1]) < 0.1
+    right = score_quality(spark, docs, given).join(held, "doc_id").agg(F.avg(F.expr("int((quality >= 0.5) = (q = 1))")), F.avg(F.expr("int((toxicity >= 0.5) = (toxic = 1))")), F.avg(F.expr("int(kept = (q = 1 and toxic = 0))"))).first()
+    assert min(right) > 0.9 and all(r > max(s, 1 - s) for r, s in zip(right, shares, strict=True))
+
+
+def test_weak_quality_nulls_and_repeats(spark):
+    docs = spark.createDataFrame([(None, "a page of some words without an id")] * 3 + [(1, None), (1, "one id"), (1, "two texts of it")] * 2 + [(2, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, None, 1), (1, 0, None), (2, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = score_quality(spark, docs, labels).collect()
+    assert len(got) == 10 and len({(r.doc_id, r.quality, r.toxicity) for r in got}) <= 5
 
 
 def test_weak_quality(spark, docs, empty):
