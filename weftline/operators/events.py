@@ -49,6 +49,17 @@ def replay(events: DataFrame) -> DataFrame:
     return runs.join(state, "run_id", "left").join(artifacts, "run_id", "left").join(items, "run_id", "left")
 
 
+def numbered(events: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """events with number: an event's place in its run, from 1. Places are counted within stretches of `width` ords and
+    moved by the counts of earlier stretches, so a task orders at most one stretch of a run."""
+    block = F.floor(F.col("ord") / width).alias("_block")
+    keyed = events.withColumn("_block", block)
+    earlier = Window.partitionBy("run_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = keyed.groupBy("run_id", "_block").agg(F.count("*").alias("_n")).select("run_id", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("run_id", "_block").orderBy("ord"))
+    return keyed.withColumn("_own", own).join(before, ["run_id", "_block"]).withColumn("number", F.col("_before") + F.col("_own")).drop("_block", "_own", "_before")
+
+
 def replay_from(events: DataFrame, after: int) -> DataFrame:
     """What a resume has to read: events after the checkpoint's count."""
     return events.where(F.col("ord") > after)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .events import field, replay
+from .events import field, numbered, replay
 
 #: What an error code is repaired by; sections by the first part of a site's name.
 REPAIR_OF_CODE = [("CLAIM_MARKER", "claim_markers"), ("TEMPLATE_TOKEN", "template_tokens"), ("LINK", "link_normalization"), ("FRONTMATTER", "metadata"), ("HEADING", "heading_hierarchy")]
@@ -48,8 +48,8 @@ def snapshot(events: DataFrame) -> DataFrame:
 
 def checkpoints(events: DataFrame, every: int) -> DataFrame:
     """run_id, checkpoint (from 1), n_events, last_ord: one after every so many events of a run."""
-    numbered = events.withColumn("n_events", F.row_number().over(Window.partitionBy("run_id").orderBy("ord")).cast("long"))
-    return numbered.where(F.col("n_events") % every == 0).select("run_id", F.floor(F.col("n_events") / every).alias("checkpoint"), "n_events", F.col("ord").alias("last_ord"))
+    own = numbered(events).withColumnRenamed("number", "n_events")
+    return own.where(F.col("n_events") % every == 0).select("run_id", F.floor(F.col("n_events") / every).alias("checkpoint"), "n_events", F.col("ord").alias("last_ord"))
 
 
 def latest_checkpoint(found: DataFrame) -> DataFrame:
@@ -133,3 +133,28 @@ def content_path(path: Column) -> Column:
 def unique_keys(rows: DataFrame, base: str, within: str, order: str) -> DataFrame:
     """rows with key: base and a number that counts the rows of `within`."""
     return rows.withColumn("key", F.concat_ws("-", base, F.row_number().over(Window.partitionBy(within).orderBy(order)).cast("string")))
+
+
+#: The status that a work item's event brings, and the status it has to have before.
+MOVES = {"WORK_ITEM_QUEUED": ("queued", None), "WORK_ITEM_STARTED": ("running", "queued"), "WORK_ITEM_FINISHED": ("finished", "running")}
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """run_id, work_item_id, ord, event, before, after, reason: a row for each event of a work item, reason null where
+    the move is legal. Once an item is queued, starts and finishes move it whatever it was; queueing it again doesn't."""
+    own = events.where(F.col("type").isin(list(MOVES))).select("run_id", field("work_item_id").alias("work_item_id"), "ord", F.col("type").alias("event"))
+    item = Window.partitionBy("run_id", "work_item_id")
+    queued = F.min(F.when(F.col("event") == "WORK_ITEM_QUEUED", F.col("ord"))).over(item)
+    to = F.when(F.col("event") == "WORK_ITEM_STARTED", "running").when(F.col("event") == "WORK_ITEM_FINISHED", "finished").when(F.col("ord") == F.col("queued"), "queued")
+    own = own.withColumn("queued", queued).withColumn("to", F.when(F.col("ord") >= F.col("queued"), to))
+    before = F.last("to", True).over(item.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("before", before)
+    reason = (
+        F.when(F.col("work_item_id").isNull(), "no id")
+        .when((F.col("event") == "WORK_ITEM_QUEUED"), F.when(F.col("before").isNotNull(), "queued again"))
+        .when(F.col("before").isNull(), "unknown item")
+        .when((F.col("event") == "WORK_ITEM_STARTED") & (F.col("before") != "queued"), "not queued")
+        .when((F.col("event") == "WORK_ITEM_FINISHED") & (F.col("before") != "running"), "not running")
+    )
+    known = F.col("work_item_id").isNotNull()
+    return own.select("run_id", "work_item_id", "ord", "event", F.when(known, F.col("before")).alias("before"), F.when(known, F.coalesce("to", "before")).alias("after"), reason.alias("reason"))
