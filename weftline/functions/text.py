@@ -31,7 +31,12 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words longer than two letters that aren't stop words, in order."""
-    return F.filter(words(text), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
+    return telling(words(text))
+
+
+def telling(found: Column) -> Column:
+    """Of words, those longer than two letters that aren't stop words."""
+    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
 
 
 def jaccard(a: Column, b: Column) -> Column:

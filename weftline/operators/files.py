@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_space, strip
+from ..sources.events import hash_tree
 from .gates import SECRETS
 
 #: Extensions by language, weights and patterns of discovery.
@@ -87,16 +88,12 @@ def file_hash(path: Column, content: Column) -> Column:
     return F.sha2(F.concat(F.encode(path, "UTF-8"), F.lit("|").cast("binary"), F.encode(content, "UTF-8")), 256)
 
 
-def tree_fingerprint(files: DataFrame, fanout: int = 256) -> DataFrame:
-    """One hash over all files in order of path, number of files and bytes; 64 zeros without files.
+def tree_fingerprint(files: DataFrame, wide: int = 16) -> DataFrame:
+    """One hash over all files (each path once), number of files and bytes; 64 zeros without files.
 
-    Files are hashed where they are, the hashes of each bucket of paths' ordered prefix are gathered, and only a
-    bounded number of bucket hashes meet in one row; so it is a two-level tree, not one long list."""
-    own = files.select("path", file_hash(F.col("path"), F.col("content")).alias("h"), F.octet_length("content").alias("n"))
-    bucket = F.pmod(F.crc32(F.encode("path", "UTF-8")), F.lit(fanout))
-    level = own.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: x["h"]), ""), 256).alias("h"), F.count("*").alias("n_files"), F.sum("n").alias("n_bytes"))
-    whole = level.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "").alias("all"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"))
-    return whole.select(F.when(F.col("n_files") == 0, F.repeat(F.lit("0"), 64)).otherwise(F.sha2("all", 256)).alias("fingerprint"), "n_files", "n_bytes")
+    Files are hashed where they are; their hashes meet in a tree by the hash of the path (sources.events.hash_tree)."""
+    leaves = files.select(F.sha2("path", 256).alias("key"), file_hash(F.col("path"), F.col("content")).alias("hash"), F.octet_length("content").cast("long").alias("n"))
+    return hash_tree(leaves, wide).select(F.col("hash").alias("fingerprint"), F.col("n_leaves").alias("n_files"), F.col("n").alias("n_bytes"))
 
 
 def normalized_hash(content: Column) -> Column:

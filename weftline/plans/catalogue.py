@@ -717,10 +717,19 @@ def hash_diff(spark, d):
     return files.hash_diff(f.where("doc_id % 10 <> 0"), now.where("doc_id % 9 <> 0"))
 
 
-@query("WITH h AS (SELECT crc32_b AS b, p, sha256(p || '|' || text) AS h FROM (SELECT 'd/' || doc_id AS p, text, doc_id % 1 AS crc32_b FROM documents)) SELECT count(*) AS n_files, sum(strlen(text))::BIGINT AS n_bytes FROM documents")
+_UP = ", ".join(
+    f"t{k - 1} AS (SELECT substr(key, 1, CASE WHEN length(key) = {k} THEN {k - 1} ELSE length(key) END) AS key, CASE WHEN max(length(t.key)) = {k} THEN sha256(string_agg(hash, '' ORDER BY t.key)) ELSE any_value(hash) END AS hash FROM t{k} t GROUP BY 1)"
+    for k in range(5, 0, -1)
+)
+
+
+@query(f"""WITH l AS (SELECT sha256('d/' || doc_id) AS key, sha256('d/' || doc_id || '|' || text) AS hash FROM documents),
+d AS (SELECT least(5, greatest(0, ceil(ln(count(*) / 16.0) / ln(16) - 1e-12)))::INT AS d FROM l),
+t5 AS (SELECT substr(l.key, 1, d) AS key, sha256(string_agg(hash, '' ORDER BY l.key)) AS hash FROM l, d GROUP BY 1), {_UP}
+SELECT hash AS fingerprint, (SELECT count(*) FROM documents) AS n_files, (SELECT sum(strlen(text))::BIGINT FROM documents) AS n_bytes FROM t0""")
 def tree_fingerprint(spark, d):
     f = table(spark, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
-    return files.tree_fingerprint(f).select("n_files", "n_bytes")
+    return files.tree_fingerprint(f)
 
 
 @query("SELECT doc_id, sha256('d/' || doc_id || '|' || text) AS h FROM documents")

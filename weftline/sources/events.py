@@ -19,16 +19,30 @@ def _payload_as_text(raw: DataFrame) -> DataFrame:
     return parsed.select("*", "e.*").drop("e")
 
 
+def _numbered_lines(lines: DataFrame) -> DataFrame:
+    """lines (file, block and more) with ord, a line's place in its file, from 1.
+
+    Two passes over the splits: a task reads a split's lines one after the other, so their ids follow each other; the
+    first id and the count of each split (one row a split) give, summed over the splits before it, where it begins in
+    its file. Lines themselves are not ordered by anything, so a file of any size is read by as many tasks as it has splits."""
+    own = lines.withColumn("id", F.monotonically_increasing_id())
+    splits = own.groupBy("file", "block").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select("file", "block", "first_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return own.join(begins, ["file", "block"]).withColumn("ord", F.col("before") + F.col("id") - F.col("first_id") + 1).drop("id", "first_id", "before")
+
+
 def read_events(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """An event log, a JSON object a line, with ord (the line's place in its file, from 1) - the order is part of
     the data. Blank lines are skipped. A malformed line fails the query when it is read, or is left out if tolerant."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    raw = raw.where(F.trim("value") != "")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).where(F.trim("value") != "")
+    event_id = F.get_json_object("value", "$.event_id")
+    bad = F.try_parse_json("value").isNull() | event_id.isNull()
+    raw = _numbered_lines(raw.where(~bad) if tolerant else raw)
     found = _payload_as_text(raw)
-    bad = F.try_parse_json("value").isNull() | F.col("event_id").isNull()
-    found = found.where(~bad) if tolerant else found.withColumn("event_id", F.when(bad, F.raise_error(F.concat(F.lit("malformed event: "), F.left("value", F.lit(80))))).otherwise(F.col("event_id")))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "id"))  # a log is one file a run
-    return found.withColumn("ord", place.cast("long")).drop("value", "file", "block", "id")
+    if not tolerant:
+        found = found.withColumn("event_id", F.when(bad, F.raise_error(F.concat(F.lit("malformed event: "), F.left("value", F.lit(80))))).otherwise(F.col("event_id")))
+    return found.drop("value", "file", "block")
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -57,11 +71,43 @@ def load_artifact_or_default(spark: SparkSession, path: str, schema: str, defaul
         return spark.createDataFrame(default or [], schema)
 
 
-def write_artifact(df: DataFrame, path: str) -> DataFrame:
-    """Replaces the document under Spark's commit protocol; gives sha256 and size of its canonical rows."""
+def inside(root: str, path: str) -> str:
+    """root/path, refused where it would leave the root or is no relative path."""
+    parts = path.replace("\\", "/").split("/")
+    if path.startswith(("/", "\\")) or ":" in parts[0] or ".." in parts or not path.strip("/"):
+        raise ValueError(f"{path!r} is not below {root!r}")
+    return f"{root.rstrip('/')}/{'/'.join(p for p in parts if p not in ('', '.'))}"
+
+
+def write_artifact(df: DataFrame, path: str, root: str | None = None) -> DataFrame:
+    """Replaces the document under Spark's commit protocol, fields in alphabetical order; gives sha256 and size of its
+    rows. The hash is that of a tree over the rows' own hashes in order (hash_tree), so no task holds all rows. With a
+    root, path is relative and has to stay below it."""
+    out = inside(root, path) if root is not None else path
     text = df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"))
-    text.write.mode("overwrite").text(path)
-    return text.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("value")), "\n"), 256).alias("sha256"), F.sum(F.octet_length("value") + 1).alias("size"))
+    text.write.mode("overwrite").text(out)
+    written = df.sparkSession.read.text(out).select(F.sha2("value", 256).alias("key"), F.octet_length("value").alias("n"))
+    each = written.groupBy("key").agg(F.count("*").alias("copies"), F.sum(F.col("n") + 1).alias("n"))
+    leaves = each.select("key", F.sha2(F.concat_ws(" ", "key", "copies"), 256).alias("hash"), "n")
+    return hash_tree(leaves).select(F.col("hash").alias("sha256"), F.col("n").alias("size"))
+
+
+def hash_tree(leaves: DataFrame, wide: int = 16) -> DataFrame:
+    """hash, n (sum), n_leaves over leaves (key: unique, 64 hex digits of a hash; hash; n); 64 zeros without leaves.
+
+    A Merkle tree by the digits of the keys: a node is the hash of its children's hashes in order of key, so the result
+    depends on neither order nor partitions. Its depth follows the count: deep enough that the lowest nodes hold `wide`
+    leaves on average, and every other node has at most 16 children. So no task ever gathers more than that."""
+    depth, n = 0, leaves.count()
+    while n > wide * 16**depth:
+        depth += 1
+    level = leaves.select("key", "hash", "n", F.lit(1).cast("long").alias("n_leaves"))
+    for digits in range(depth, -1, -1):
+        children = F.transform(F.array_sort(F.collect_list(F.struct("key", "hash"))), lambda x: x["hash"])
+        prefix = F.substring("key", 1, digits) if digits else F.lit("")
+        level = level.groupBy(prefix.alias("key")).agg(F.sha2(F.array_join(children, ""), 256).alias("hash"), F.sum("n").alias("n"), F.sum("n_leaves").alias("n_leaves"))
+    whole = level.agg(F.max("hash").alias("hash"), F.sum("n").alias("n"), F.sum("n_leaves").alias("n_leaves"))  # one row, or none
+    return whole.select(F.coalesce("hash", F.repeat(F.lit("0"), F.lit(64))).alias("hash"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"))
 
 
 def scan_files(spark: SparkSession, path: str, ignored: Column | None = None) -> DataFrame:
