@@ -20,14 +20,31 @@ BEGINNER = ["install", "setup", "getting started", "quick start", "introduction"
 ADVANCED = ["custom", "optimize", "performance", "advanced", "extend"]
 
 
-def _severity(profile: str, kind: str) -> str:
-    """local warns; ci takes the completeness of contents and guides as errors; prod takes all as errors and code in a
-    contents page as a blocker."""
-    if profile == "local":
-        return "warn"
-    if profile == "ci":
-        return "error" if kind in ("toc_snippets", "missing_children", "incomplete_guide") else "warn"
-    return "blocker" if kind == "toc_snippets" else "error"
+PROFILES = ["local", "ci", "prod"]
+#: The severity of each finding under the profiles, in their order.
+SEVERITY_OF = {
+    "ROLE_MISSING": ("warn", "warn", "error"),
+    "TOC_HAS_SNIPPETS": ("warn", "error", "blocker"),
+    "TOC_MISSING_CHILDREN": ("warn", "error", "error"),
+    "GUIDE_COVERAGE_INVALID": ("warn", "error", "error"),
+    "GUIDE_INCOMPLETE": ("warn", "error", "error"),
+    "CLAIM_QUOTA_UNDERFLOW": ("warn", "warn", "warn"),
+    "CLAIM_QUOTA_EXCEEDED": ("warn", "warn", "error"),
+    "FORBIDDEN_TOPIC": ("error", "error", "error"),
+    "CLAIM_CROSS_SECTION": ("warn", "warn", "warn"),
+    "MANDATORY_PAGE_MISSING": ("warn", "error", "error"),
+}
+#: What a page of a role is about, the topics it leaves out, and the claims it takes at least and at most; the
+#: least of a guide is the number of workflows. A role with a section counts there alone; other pages get the last row.
+STRATEGIES = [
+    ("landing", "products", "Product positioning", ["detailed_api", "troubleshooting"], 5, 10),
+    ("toc", None, "Navigation hub", ["duplicate_child_content", "code_snippets"], 0, 2),
+    ("comprehensive_guide", None, "All usage scenarios", ["installation", "troubleshooting"], None, 50),
+    ("workflow_page", None, "How-to guide", ["other_workflows"], 3, 8),
+    ("feature_showcase", None, "Prominent feature how-to", ["general_features", "api_reference", "other_features"], 3, 8),
+    ("troubleshooting", None, "Problem-solution", ["features", "installation"], 1, 5),
+    ("landing", "blog", "Synthesized overview", [], 10, 20),
+]
 
 
 def distribution(plan: DataFrame, pages: DataFrame, n_workflows: int, required: DataFrame, profile: str = "local") -> DataFrame:
@@ -36,10 +53,11 @@ def distribution(plan: DataFrame, pages: DataFrame, n_workflows: int, required:
     under or over the quota; forbidden topics in headings; claims of several sections; mandatory pages (required:
     section, slug) that the plan lacks."""
 
-    def found(rows: DataFrame, code: str, severity: str, detail: Column | None = None) -> DataFrame:
-        return rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "section", "slug", (F.lit("") if detail is None else detail).alias("detail"))
+    level = PROFILES.index(profile)
+
+    def found(rows: DataFrame, code: str, detail: Column | None = None) -> DataFrame:
+        return rows.select(F.lit(code).alias("code"), F.lit(SEVERITY_OF[code][level]).alias("severity"), "section", "slug", (F.lit("") if detail is None else detail).alias("detail"))
 
-    of = lambda kind: _severity(profile, kind)
     n = F.coalesce(F.array_size("claims"), F.lit(0))
     drafts = plan.join(pages, "output_path")
     contents = drafts.where("page_role = 'toc'")
@@ -50,16 +68,16 @@ def distribution(plan: DataFrame, pages: DataFrame, n_workflows: int, required:
     topics = drafts.withColumn("headings", headings).select("section", "slug", "headings", F.explode("forbidden").alias("topic"))
     used = plan.select(F.explode("claims").alias("claim_id"), "section").distinct()
     parts = [
-        found(plan.where("page_role is null"), "ROLE_MISSING", of("missing_role")),
-        found(contents.where(F.contains("content", F.lit("```"))), "TOC_HAS_SNIPPETS", of("toc_snippets")),
-        found(contents.withColumn("lost", lost).where(F.size("lost") > 0), "TOC_MISSING_CHILDREN", of("missing_children"), F.array_join("lost", ", ")),
-        found(guides.where(~F.coalesce(F.col("coverage") == "all", F.lit(False))), "GUIDE_COVERAGE_INVALID", of("incomplete_guide")),
-        found(guides.where(n < n_workflows), "GUIDE_INCOMPLETE", of("incomplete_guide"), n.cast("string")),
-        found(plan.where(n < F.coalesce("min_claims", F.lit(0))), "CLAIM_QUOTA_UNDERFLOW", "warn", n.cast("string")),
-        found(plan.where(n > F.coalesce("max_claims", F.lit(999))), "CLAIM_QUOTA_EXCEEDED", of("quota_exceeded"), n.cast("string")),
-        found(topics.where(F.contains("headings", F.replace(F.lower("topic"), F.lit("_"), F.lit(" ")))), "FORBIDDEN_TOPIC", "error", F.col("topic")),
-        found(reused_claims(used).withColumn("section", F.lit("")).withColumnRenamed("claim_id", "slug"), "CLAIM_CROSS_SECTION", "warn", F.col("n_sections").cast("string")),
-        found(mandatory_missing(required, plan.select("section", "slug")), "MANDATORY_PAGE_MISSING", "warn" if profile == "local" else "error"),
+        found(plan.where("page_role is null"), "ROLE_MISSING"),
+        found(contents.where(F.contains("content", F.lit("```"))), "TOC_HAS_SNIPPETS"),
+        found(contents.withColumn("lost", lost).where(F.size("lost") > 0), "TOC_MISSING_CHILDREN", F.array_join("lost", ", ")),
+        found(guides.where(~F.coalesce(F.col("coverage") == "all", F.lit(False))), "GUIDE_COVERAGE_INVALID"),
+        found(guides.where(n < n_workflows), "GUIDE_INCOMPLETE", n.cast("string")),
+        found(plan.where(n < F.coalesce("min_claims", F.lit(0))), "CLAIM_QUOTA_UNDERFLOW", n.cast("string")),
+        found(plan.where(n > F.coalesce("max_claims", F.lit(999))), "CLAIM_QUOTA_EXCEEDED", n.cast("string")),
+        found(topics.where(F.contains("headings", F.replace(F.lower("topic"), F.lit("_"), F.lit(" ")))), "FORBIDDEN_TOPIC", F.col("topic")),
+        found(reused_claims(used).withColumn("section", F.lit("")).withColumnRenamed("claim_id", "slug"), "CLAIM_CROSS_SECTION", F.col("n_sections").cast("string")),
+        found(mandatory_missing(required, plan.select("section", "slug")), "MANDATORY_PAGE_MISSING"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -136,3 +154,29 @@ def reports_index(reports: DataFrame) -> DataFrame:
     passed, score = number(r"(?i)(\d+)\s+passed"), F.regexp_extract("content", r"(?i)score[^\d]{0,20}(\d+(?:\.\d+)?)\s*/\s*5", 1)
     out = own.groupBy("agent", "task").agg(F.max(F.when(report, passed)).alias("n_passed"), F.max(F.when(report, number(r"(?i)(\d+)\s+failed"))).alias("n_failed"), F.max(F.when(~report, F.nullif(score, F.lit("")).cast("double"))).alias("score"))
     return out.orderBy("agent", "task")
+
+
+def content_strategy(role: Column, section: Column, n_workflows: Column) -> Column:
+    """primary_focus, forbidden, min_claims, max_claims of a page by its role and section."""
+
+    def row(focus: Column, forbidden: list[str], least: Column, most: int) -> Column:
+        topics = F.array(*map(F.lit, forbidden)) if forbidden else F.array().cast("array<string>")
+        return F.struct(focus.alias("primary_focus"), topics.alias("forbidden"), least.cast("int").alias("min_claims"), F.lit(most).alias("max_claims"))
+
+    out = F.when(F.lit(False), row(F.lit(""), [], F.lit(0), 0))
+    for own, where, focus, forbidden, least, most in STRATEGIES:
+        out = out.when((role == own) & (F.lit(True) if where is None else section == where), row(F.lit(focus), forbidden, n_workflows if least is None else F.lit(least), most))
+    return out.otherwise(row(F.concat(F.coalesce(section, F.lit("")), F.lit(" page content")), [], F.lit(1), 10))
+
+
+def contracts(pages: DataFrame, roots: dict[str, str] | None = None) -> DataFrame:
+    """section, key, type, n_pages, required: what front matter the Markdown pages (path, content) of each section have.
+    A key's type is that of most of its values, ties by name; a key is required where every page with front matter has it."""
+    from ..functions.frontmatter import front_matter_entries
+
+    own = pages.where(F.lower("path").rlike(r"\.(md|markdown)$")).select(section_of(F.col("path"), roots).alias("section"), front_matter_entries(F.col("content")).alias("e"))
+    own = own.where(F.col("section").isNotNull() & (F.size("e") > 0))
+    sizes = own.groupBy("section").agg(F.count("*").alias("n_all"))
+    votes = own.select("section", F.explode("e").alias("e")).groupBy("section", F.col("e.key").alias("key"), F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
+    best = votes.groupBy("section", "key").agg(F.min_by("type", F.struct((-F.col("n")).alias("n"), "type")).alias("type"), F.sum("n").alias("n_pages"))
+    return best.join(sizes, "section").select("section", "key", "type", "n_pages", (F.col("n_pages") == F.col("n_all")).alias("required"))

@@ -130,6 +130,33 @@ def content_path(path: Column) -> Column:
     return F.struct(F.when(known, section).otherwise("unknown").alias("section"), F.when(known, F.get(parts, F.lit(2))).alias("family"), F.when(known, locale).alias("locale"), F.when(known, slug).alias("slug"))
 
 
+def component(part: Column) -> Column:
+    """A part of a URL: lower case, spaces as hyphens, other marks gone; null where it would lead elsewhere."""
+    plain = F.regexp_replace(F.replace(F.lower(part), F.lit(" "), F.lit("-")), r"[^a-z0-9\-_.]", "")
+    return F.when(~F.contains(part, F.lit("..")) & ~part.rlike(r"[/\\]"), plain)
+
+
+def url_of_content(path: Column, default: str = "en", default_in_folder: bool = False) -> Column:
+    """The URL path of a content file, or null where the path is too short, names no language, or a part is not allowed.
+
+    content/<site>/<family>/<language>/<folders>/<name>.md; a blog's path has no language, its file's name may
+    (index.fr.md). Index files of sections (_index.md) stand for their folder, bundles (index.md) for theirs as well."""
+    parts = F.split(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^content/", ""), "/")
+    site, family, name = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.size(parts) - 1)
+    blog = site.startswith("blog.")
+    index, bundle = name.rlike(r"^_index\."), name.rlike(r"^index\.")
+    slug = F.when(index, "").when(bundle, F.when(F.size(parts) > 3, F.get(parts, F.size(parts) - 2)).otherwise("")).otherwise(F.regexp_replace(F.regexp_replace(name, r"\.[a-z]{2}\.md$", ""), r"\.md$", ""))
+    length = F.size(parts) - F.when(bundle, 4).otherwise(3)
+    inner = F.when(length > 0, F.slice(parts, F.lit(3), F.greatest(length, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    suffix = F.regexp_extract(name, r"\.([a-z]{2})\.md$", 1)
+    locale = F.when(blog, F.when(suffix == "", default).otherwise(suffix)).otherwise(F.get(inner, F.lit(0)))
+    folders = F.when(blog, inner).otherwise(F.slice(inner, F.lit(2), F.size(inner)))
+    shown = F.when((locale == default) & F.lit(not default_in_folder), "").otherwise(component(locale))
+    each = F.transform(F.filter(F.concat(F.array(shown, component(family)), F.transform(folders, component), F.array(component(slug))), lambda x: x.isNull() | (x != "")), lambda x: x)
+    whole = F.concat(F.lit("/"), F.array_join(each, "/"), F.lit("/"))
+    return F.when((F.size(parts) >= 3) & locale.isNotNull() & ~F.exists(each, lambda x: x.isNull()), F.regexp_replace(whole, "/{2,}", "/"))
+
+
 def unique_keys(rows: DataFrame, base: str, within: str, order: str) -> DataFrame:
     """rows with key: base and a number that counts the rows of `within`."""
     return rows.withColumn("key", F.concat_ws("-", base, F.row_number().over(Window.partitionBy(within).orderBy(order)).cast("string")))
