@@ -636,7 +636,8 @@ def issue_route(spark, d):
 
 @query()
 def all_page_checks(spark, d):
-    return checks.all_checks(markdown(spark, d), _roles(spark, d), PRODUCT)
+    found = checks.all_checks(markdown(spark, d), _roles(spark, d), PRODUCT)
+    return _rows(found.withColumn("detail", F.when(F.col("check").endswith("claim_grounding"), "x").otherwise(F.col("detail"))))  # as its own query has it
 
 
 def _roles(spark, d):
@@ -689,10 +690,22 @@ def claim_reuse(spark, d):
     return links.reused_claims(u)
 
 
-@query("SELECT 'docs' AS section, 4::BIGINT AS target, 7::BIGINT AS tier_max, 4::BIGINT AS effective UNION ALL SELECT 'kb', 6, 3, 3 UNION ALL SELECT 'reference', 11, 5, 5 UNION ALL SELECT 'blog', 2, 4, 2 UNION ALL SELECT 'products', 1, 1, 1")
+_QUOTAS = """SELECT CASE doc_id % 5 WHEN 0 THEN 'products' WHEN 1 THEN 'docs' WHEN 2 THEN 'reference' WHEN 3 THEN 'kb' ELSE 'blog' END AS section, 1 + count(*) % 3 AS min_pages, count(DISTINCT source) AS max_pages, count(DISTINCT lang) AS n_mandatory"""
+
+
+@query(f"""WITH q AS ({_QUOTAS} FROM documents GROUP BY 1),
+v AS (SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS n_workflows, (SELECT count(*) FROM benchmark) AS n_symbols, (SELECT count(DISTINCT source) FROM documents) AS n_features, (SELECT count(*) FROM labels) AS score),
+m AS (SELECT section, min_pages, greatest(min_pages, floor(max_pages * 0.7 + 1e-9)::BIGINT) AS tier_max, CASE section WHEN 'products' THEN 1 WHEN 'docs' THEN n_mandatory + n_workflows WHEN 'reference' THEN 1 + n_symbols // 3
+  WHEN 'kb' THEN n_mandatory + least(n_features, 5) ELSE 1 + (score > 200)::INT END AS target FROM q, v) SELECT section, target, tier_max, greatest(min_pages, least(target, tier_max)) AS effective FROM m""")
 def quotas_tier(spark, d):
-    q = spark.createDataFrame([("products", 1, 2, 1), ("docs", 1, 10, 1), ("kb", 1, 5, 1), ("reference", 1, 8, 0), ("blog", 1, 6, 0)], "section string, min_pages long, max_pages long, n_mandatory long")
-    return links.effective_quotas(q, spark.createDataFrame([(3, 30, 9, 250)], "n_workflows long, n_symbols long, n_features long, score long"), "standard")
+    """Sections' quotas from the documents, evidence counted over the tables."""
+    q = spark.sql(f"{_QUOTAS} FROM {{docs}} GROUP BY 1", docs=table(spark, d, "documents"))
+    counts = {"n_workflows": ("conversations", F.count_distinct("conv_id")), "n_symbols": ("benchmark", F.count("*")), "n_features": ("documents", F.count_distinct("source")), "score": ("labels", F.count("*"))}
+    rows = [table(spark, d, t).agg(n.alias(name)) for name, (t, n) in counts.items()]
+    volume = rows[0]
+    for one in rows[1:]:
+        volume = volume.join(F.broadcast(one))  # one row each
+    return links.effective_quotas(q, volume, "standard")
 
 
 @query(f"WITH {MD}, r AS (SELECT slug, CASE doc_id % 5 WHEN 0 THEN 'products' WHEN 1 THEN 'docs' WHEN 2 THEN 'reference' WHEN 3 THEN 'kb' ELSE 'blog' END AS section, '/' || slug || '/' AS u FROM md), k AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY slug) AS k FROM r), t AS (SELECT section, list(u ORDER BY k) AS l FROM k WHERE k <= 2 GROUP BY 1) SELECT r.slug, array_to_string(coalesce(CASE WHEN r.section = 'blog' THEN l[:1] ELSE l END, []), ',') AS links FROM r LEFT JOIN t ON t.section = CASE r.section WHEN 'docs' THEN 'reference' WHEN 'kb' THEN 'docs' WHEN 'blog' THEN 'products' END")

@@ -45,9 +45,10 @@ def read_events(spark: SparkSession, path: str, tolerant: bool = False) -> DataF
     return found.drop("value", "file", "block")
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """A compact JSON object a line, fields in alphabetical order."""
-    events.select(F.to_json(F.struct(*sorted(events.columns))).alias("value")).write.mode("append").text(path)
+def append_events(events: DataFrame, path: str, by: str | None = None) -> None:
+    """A compact JSON object a line, fields in alphabetical order; in a folder for each value of `by`, should it be given."""
+    lines = events.select(*([by] if by else []), F.to_json(F.struct(*sorted(events.columns))).alias("value"))
+    (lines.write.partitionBy(by) if by else lines.write).mode("append").text(path)
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
@@ -55,9 +56,10 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
     return _payload_as_text(spark.readStream.text(path)).drop("value")
 
 
-def load_artifact(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
-    """A JSON document by its schema; a missing required field fails the query."""
-    found = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def load_artifact(spark: SparkSession, path: str, schema: str, required: list[str] | None = None, lines: bool = False) -> DataFrame:
+    """A JSON document by its schema, or with lines what write_artifact() writes, an object a line; a missing required
+    field fails the query."""
+    found = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     for name in required or []:
         found = found.withColumn(name, F.when(F.col(name).isNull(), F.raise_error(F.lit(f"{name} is missing"))).otherwise(F.col(name)))
     return found
