@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import events, fixing, snapshots, state
 from weftline.streaming import letters, work_items
+from weftline.streaming import snapshots as streamed
 
 SCHEMA = "run_id string, ord long, event_id string, ts string, type string, payload string"
 KINDS = ["RUN_STATE_CHANGED", "ARTIFACT_WRITTEN", "WORK_ITEM_QUEUED", "WORK_ITEM_STARTED", "WORK_ITEM_FINISHED", "ISSUE_OPENED", "ISSUE_RESOLVED", "GATE_RUN_FINISHED", "SECTION_STATE_CHANGED", "OTHER"]
@@ -135,6 +136,32 @@ def test_state_machine_stream(rocks, tmp_path):
     assert [r.reason for r in late.where("ord = 10000").collect()] == ["unknown item"]
 
 
+def test_snapshot_stream(rocks, tmp_path):
+    """Upserts of a stream with restarts make the entries of the whole snapshot."""
+    spark, source, out = rocks, str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(a, b, str(b), *rest) for a, b, _, *rest in log(300, 8) if not (rest[1].startswith("WORK_ITEM") and "work_item_id" not in json.loads(rest[2]))]
+    rows = [r for r in rows if not (r[4] == "GATE_RUN_FINISHED" and "gate" not in json.loads(r[5]))]
+
+    def run(part):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(source)
+        events_ = spark.readStream.schema(SCHEMA.replace("ts string", "ts timestamp")).parquet(source)
+        made = streamed.snapshot_stream(events_, keep_ms=3_600_000, delay="1 minute")
+        q = made.writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/b={n}")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    for k in range(3):
+        run(rows[k * 100 : (k + 1) * 100])
+    run(rows[:5])  # delivered again
+    kept = {}
+    for r in spark.read.parquet(out).orderBy("batch").collect():
+        kept[r.run_id, r.kind, r.key, r.n1 if r.kind == "issue" else None] = (r.status, r.n1, r.n2, r.n3)
+    want = snapshots.entries(state.snapshot(frame(spark, rows))).collect()
+    assert {(r.run_id, r.kind, r.key, r.n1 if r.kind == "issue" else None): (r.status, r.n1, r.n2, r.n3) for r in want} == kept
+    run([("new", 0, "0", "2024-01-02 00:00:00", "OTHER", "{}")])
+    run([("new", 1, "1", "2024-01-02 00:00:01", "OTHER", "{}")])
+    assert {r.run_id for r in spark.read.parquet(out).where("kind = 'expired'").collect()} == {r[0] for r in rows}
+
+
 def test_stream_needs_its_state_store(spark):
     with pytest.raises(ValueError):
         work_items.work_item_stream(frame(spark, log(3)))

@@ -22,8 +22,8 @@ from .events import chain_breaks, field
 _KEYS = ["run_id", "kind", "key", "part"]
 
 
-def _things() -> Column:
-    """The registers an event writes: kind, key, part (which tells openings of one id apart), value, extra."""
+def _things(exploded: bool = True) -> Column:
+    """The registers an event writes, as an array or a row each: kind, key, part (which tells openings of one id apart), value, extra."""
     a = lambda kind, key, value=F.lit(None), part=F.lit(None), extra=F.lit(None): F.struct(
         F.lit(kind).alias("kind"), key.cast("string").alias("key"), part.cast("long").alias("part"), value.cast("string").alias("value"), extra.cast("string").alias("extra")
     )
@@ -40,7 +40,8 @@ def _things() -> Column:
         .when((kind == "GATE_RUN_FINISHED") & field("gate").isNotNull(), a("gate", field("gate"), field("ok").cast("boolean")))
         .when((kind == "SECTION_STATE_CHANGED") & field("section").isNotNull(), a("section", field("section"), field("new_state")))
     )
-    return F.explode(F.filter(F.array(a("run", F.lit("")), own), lambda x: x.isNotNull()))
+    found = F.filter(F.array(a("run", F.lit("")), own), lambda x: x.isNotNull())
+    return F.explode(found) if exploded else found
 
 
 def _together(registers: DataFrame) -> DataFrame:
