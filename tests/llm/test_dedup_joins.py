@@ -228,3 +228,14 @@ def test_prefixes_of_pairs_lose_no_similar_sets():
             met += 1
             assert prefix(x) & prefix(y)
     assert met > 5000
+
+
+def test_one_id_with_different_texts(spark):
+    """Each text is a document; what they share stays in one of them, the same in every run."""
+    passage = "Some words of a long passage that both of the texts hold and that is longer than one run needs to be. It goes on for a second sentence of some length here."
+    frame = spark.createDataFrame([(5, f"{passage}\nonly the first one has this"), (5, f"{passage}\nanother line stands in the second"), (5, None)], "doc_id long, text string")
+    for clean in (dedup_lines, dedup_spans):
+        got = sorted(r.text or "" for r in clean(spark, frame).collect())
+        assert len(got) == 3 and got[0] == "" and sum("long passage" in t for t in got) == 1
+        assert sum("only the first" in t for t in got) == 1 == sum("stands in the second" in t for t in got)
+        assert got == sorted(r.text or "" for r in clean(spark, frame.repartition(3)).collect())

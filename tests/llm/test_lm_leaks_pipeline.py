@@ -31,6 +31,38 @@ def test_lm_scores(spark, docs, empty, texts):
     assert lm_scoring.score_documents(spark, empty).count() == 0
 
 
+def test_lm_scores_against_plain_em(spark, docs, texts):
+    """Token by token, with the estimates themselves instead of bins."""
+    runs = [(d, zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0, ["\n", *tokens(t)[:-1], "\n"]) for d, t in texts]
+    c, pairs = Counter(), Counter()
+    for _, held, w in runs:
+        if not held:
+            c.update(w[1:])
+            pairs.update(zip(w, w[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    level = lambda x: min(int(math.floor(math.log2(max(x, 0.5)))) + 1, 47)
+    rows = []
+    for _, held, w in runs:
+        for a, b in () if held else zip(w, w[1:], strict=False):
+            context = c[a] - 1
+            rows.append((level(context), (pairs[a, b] - 1) / max(context, 1) if context > 0 else 0.0, (c[b] - 1) / (n - 1), 1 / (v + 1)))
+    weights = {k: [1 / 3] * 3 for k in {level(x) for x in range(n)} | {0}} | {0: [0, 0.5, 0.5]}
+    for _ in range(lm_scoring.EM_STEPS):
+        new = {k: [0.01 * x for x in own] for k, own in weights.items()}
+        for k, *p in rows:
+            share = [w * x for w, x in zip(weights[k], p, strict=True)]
+            for j in range(3):
+                new[k][j] += share[j] / sum(share)
+        weights = {k: [x / sum(own) for x in own] for k, own in new.items()}
+    want = []
+    for d, _, w in runs:
+        p = [sum(x * y for x, y in zip(weights[level(c[a])], ((pairs[a, b] / max(c[a], 1)) if c[a] > 0 else 0, c[b] / n, 1 / (v + 1)), strict=True)) for a, b in zip(w, w[1:], strict=False)]
+        want.append((str(d), len(p), sum(map(math.log10, p))))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_scoring.score_documents(spark, docs).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert all(abs(x[2] - y[2]) <= 0.02 * abs(y[2]) + 0.05 for x, y in zip(got, sorted(want), strict=True))
+
+
 def test_lm_is_a_distribution():
     weights = lm_scoring.em(np.array([0]), np.array([1.0]))
     assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 2] > 0).all() and weights[0, 0] == 0

@@ -22,7 +22,8 @@ in), so both prefixes of lost + 1 pairs hold a shared one. Sets of under four wo
   remains is compared exactly, on the sets of the lines concerned.
 
 Defined results: null text stays null and counts as no line; lines without a word always stay; rows of equal
-doc_id and text count as one document and are cleaned alike; a null doc_id comes before all others; an empty
+doc_id and text count as one document and are cleaned alike; rows of one doc_id and different texts are documents of
+their own, in an order that a hash of the text gives; a null doc_id comes before all others; an empty
 table gives no rows; a document whose lines all go keeps its row with an empty text; other columns are kept. A
 document has at most 2^27 lines (more raise an error).
 """

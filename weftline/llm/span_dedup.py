@@ -11,7 +11,8 @@ thousandth of all runs, fewer than a thousand by that, are broadcast, so their r
 hash fills a task of the shuffled joins.
 
 Defined results: null text stays null; white space between words doesn't matter; runs shorter than MIN_WORDS
-at the end of a text are no runs; rows of equal doc_id and text count as one document and are cleaned alike;
+at the end of a text are no runs; rows of equal doc_id and text count as one document and are cleaned alike; rows of one doc_id and different texts are
+documents of their own, in an order that a hash of the text gives;
 a null doc_id comes first; an empty table gives no rows; a text that loses all its sentences stays as an empty
 one; other columns are kept.
 """
