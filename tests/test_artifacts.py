@@ -84,3 +84,15 @@ def test_scorers_by_name(spark):
     assert [r.similarity for r in evidence.score_pairs(pairs).collect()] == [1.0, 0.0] == [r.similarity for r in evidence.score_pairs(pairs, "jaccard").collect()]
     with pytest.raises(ValueError):
         evidence.score_pairs(pairs, "unknown")
+
+
+def test_claims_of_groups_by_parts_of_keys(spark):
+    import random
+
+    rnd = random.Random(4)
+    key = lambda n: "".join(rnd.choice("ab_") for _ in range(n))
+    base = [key(rnd.randrange(1, 30)) for _ in range(40)]
+    known = [(k[rnd.randrange(len(k)) :][: rnd.randrange(1, 14)] if n % 2 else k, n) for n, k in enumerate(base)] + [("", 99), (None, 98)]
+    wanted = [k[rnd.randrange(len(k)) :][: rnd.randrange(1, 25)] for k in base[:20]] + base[20:25] + ["", "none"]
+    got = plan.claims_of_groups(spark.createDataFrame([(w,) for w in wanted], "group_key string"), spark.createDataFrame(known, "key string, claim_id long")).collect()
+    assert {(r.group_key, r.claim_id) for r in got} == {(w, c) for w in wanted for k, c in known if w and k and (w in k or k in w)} and len(got) == len(set(got))

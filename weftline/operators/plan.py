@@ -107,16 +107,23 @@ def enriched(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"audience_level": audience_level(F.col("claim_text")), "complexity": complexity(F.col("claim_text")), "prerequisites": none, "use_cases": none, "target_persona": F.lit("developers")})
 
 
+#: Keys meet by their first so many characters, so a key of n characters has at most GRAM * n parts.
+GRAM = 8
+
+
 def claims_of_groups(wanted: DataFrame, groups: DataFrame) -> DataFrame:
-    """wanted (group_key) with the claims of every group (key, claim_id) whose key holds it or is held by it: both ways
-    an equality join with the parts of the other's key, no comparison of all with all."""
+    """wanted (group_key) with the claims of every group (key, claim_id) whose key holds it or is held by it: both ways the
+    beginning of the shorter key meets parts of that length of the longer one by equality, and only these are compared."""
 
     def parts(c: str) -> Column:
-        at = lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(F.col(c), i, n))
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), at)))
-
-    inner = wanted.where(F.length("group_key") > 0).select("group_key", F.explode(parts("group_key")).alias("key")).join(groups, "key")
-    outer = groups.where(F.length("key") > 0).select(F.explode(parts("key")).alias("group_key"), "claim_id").join(wanted.select("group_key"), "group_key")
+        at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(c) - i + 1)), lambda n: F.substring(F.col(c), i, n))
+        return F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), at))))
+
+    begin = lambda c: F.substring(c, 1, GRAM)
+    known = groups.where(F.length("key") > 0).select("key", "claim_id")
+    asked = wanted.where(F.length("group_key") > 0).select("group_key").distinct()
+    inner = asked.select("group_key", parts("group_key").alias("part")).join(known.withColumn("part", begin("key")), "part").where(F.contains("group_key", "key"))
+    outer = known.select("key", "claim_id", parts("key").alias("part")).join(asked.withColumn("part", begin("group_key")), "part").where(F.contains("key", "group_key"))
     return inner.select("group_key", "claim_id").union(outer.select("group_key", "claim_id")).distinct()
 
 
