@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from weftline.plans import artifacts, catalogue, history, inventory, rows  # noqa: F401
+from weftline.plans import artifacts, catalogue, given, history, inventory, rows  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -340,7 +340,8 @@ def sentence_extract(spark, d):
 
 @query(f"WITH {MD}, {_STATEMENTS}, k AS (SELECT *, lower(claim_text) AS x FROM st) SELECT {_KIND} AS claim_kind, count(*) AS n FROM k GROUP BY 1")
 def claim_kind_histogram(spark, d):
-    return _statements(spark, d).groupBy(claims.claim_kind(F.col("claim_text")).alias("claim_kind")).agg(F.count("*").alias("n"))
+    kinds = _statements(spark, d).select(claims.claim_kind(F.col("claim_text")).alias("claim_kind"), F.lit("inference").alias("truth_status"))
+    return claims.kind_histogram(kinds).select("claim_kind", F.col("n_claims").alias("n"))
 
 
 @query(rf"""WITH {MD}, {_STATEMENTS} SELECT doc_id, start_line, CASE WHEN regexp_matches(claim_text, '(?i)\byour job is to\b|\bwe don.t need\b|\bcode in module\b|\btodo\b|\bfixme\b|\bhack\b|\bworkaround\b') THEN 'developer_instruction'
@@ -757,8 +758,10 @@ def patch_plan(spark, d):
     return files.patches(drafts, f.where("doc_id % 5 <> 0")).select("path", "action")
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, regexp_matches(text, '(?i)the') AS met, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)the'))) AS n FROM documents)
+SELECT count(*) AS n_files, sum(n)::BIGINT AS added, sum(n)::BIGINT AS deleted, count(*) FILTER (2 * n > 50) AS n_over, count(*) FILTER (NOT met) AS n_form_only, count(*) <= 100 AND count(*) FILTER (2 * n > 50) = 0 AS ok FROM l""")
 def diff_budget(spark, d):
+    """One word replaced in all texts: the lines that hold it are the diff."""
     f = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("original"), F.regexp_replace("text", "(?i)the", "a").alias("modified"))
     return files.diff_budget(f, 100, 50)
 

@@ -42,9 +42,9 @@ def path_languages(spark, d):
     return _of_path(spark, d, language=files.language(F.col("path")))
 
 
-@query(f"WITH {FILES} SELECT path, {_by('readme', 'guide', None, None, None, None, None, None, None, None, None, None, otherwise='other')} AS doc_type FROM f WHERE m IN (0, 1, 2, 3)")
+@query(f"WITH {FILES} SELECT path, {_by('readme', 'guide', None, None, None, None, None, None, None, None, None, None, otherwise='other')} AS doc_type FROM f")
 def path_doc_types(spark, d):
-    return _of_path(spark, d, doc_type=files.doc_type(F.col("path"))).where("path rlike '^(README|docs/guide|src|lib)'")
+    return _of_path(spark, d, doc_type=files.doc_type(F.col("path")))
 
 
 @query(f"WITH {FILES} SELECT path, {_by(100, 90, 50, 50, 50, 50, 90, 30, 50, 90, 30, 90)} AS score FROM f")
@@ -178,10 +178,14 @@ def front_matter_fields(spark, d):
     return markdown(spark, d).select("slug", T.front_matter_field(block, "title").alias("title"), T.front_matter_field(block, "permalink").alias("permalink"))
 
 
-@query("SELECT doc_id, string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[1] AS described, 'T' || doc_id AS tagline, 'About it.' AS description, 4 AS lines, 2 AS functions, 1 AS classes FROM documents WHERE NOT contains(text, '\"\"\"') AND regexp_matches(text, '\\S')")
+_QUOTED = [f"nullif(string_split(trim(regexp_extract(c, '(?s){q}(.*?){q}', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10))[1], '')" for q in ('"""', "''''''")]
+
+
+@query(rf"""WITH x AS (SELECT doc_id, repeat('"', 3) || text || repeat('"', 3) AS c FROM documents)
+SELECT doc_id, coalesce({_QUOTED[0]}, {_QUOTED[1]}, trim(regexp_extract(c, '(?m)#\s*(.*?)$', 1))) AS described, 'T' || doc_id AS tagline, 'About it.' AS description, 4 AS lines, 2 AS functions, 1 AS classes FROM x""")
 def code_descriptions(spark, d):
     q = '"""'
-    docs = table(spark, d, "documents").where(~F.col("text").contains(q) & F.col("text").rlike(r"\S"))
+    docs = table(spark, d, "documents")
     page = F.concat(F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n\n## Sub\n  About it. \n"))
     c = support.code_complexity(F.lit("class A:\n  def f(self): ...\nasync def g(): ...\nx = 1"))
     p = support.positioning(page)
@@ -485,10 +489,10 @@ def next_fix(spark, d):
     return gates.next_fix(_issues(spark, d)).select("line")
 
 
-@query("SELECT doc_id AS slug, 'Reads PDF' AS detail FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id AS slug, 'Reads PDF' AS detail FROM documents WHERE doc_id % 3 = 0 AND NOT contains(lower(text), 'reads pdf')")
 def missing_phrases(spark, d):
     p = table(spark, d, "documents").select(F.col("doc_id").alias("slug"), F.concat("text", F.when(F.col("doc_id") % 3 == 0, "").otherwise(" it reads pdf "), F.lit(" pip install acme ")).alias("content"))
-    return checks.missing_phrases(p.where(~F.lower("content").contains("reads pdf") | (F.col("slug") % 3 > 0)), spark.createDataFrame([("Reads PDF",), ("pip install acme",)], "phrase string"), "x").select("slug", "detail")
+    return checks.missing_phrases(p, spark.createDataFrame([("Reads PDF",), ("pip install acme",)], "phrase string"), "x").select("slug", "detail")
 
 
 @query("SELECT doc_id AS slug, 'The' AS detail FROM documents WHERE contains(lower(text), 'the') AND doc_id % 2 = 0")
@@ -504,10 +508,10 @@ def limitation_honesty(spark, d):
     return checks.limitation_honesty(p, roles, spark.range(3)).select("slug", "severity")
 
 
-@query("SELECT doc_id AS slug FROM documents WHERE (doc_id % 3 = 0) <> (length(text) - length(replace(text, '(', '')) <> length(text) - length(replace(text, ')', ''))) OR length(text) - length(replace(text, '{', '')) <> length(text) - length(replace(text, '}', ''))")
+@query("WITH c AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN 'f(' ELSE '' END AS code FROM documents) SELECT doc_id AS slug FROM c WHERE length(replace(code, '(', '')) <> length(replace(code, ')', '')) OR length(replace(code, '{', '')) <> length(replace(code, '}', ''))")
 def code_balance(spark, d):
-    code = F.concat("text", F.when((F.col("doc_id") % 3 == 0) & (F.regexp_count("text", F.lit(r"\(")) == F.regexp_count("text", F.lit(r"\)"))), "f(").otherwise(""))
-    b = table(spark, d, "documents").where("doc_id % 3 <> 0 or regexp_count(text, '\\\\(') = regexp_count(text, '\\\\)')").select(F.col("doc_id").alias("slug"), F.lit(1).alias("line"), F.lit("js").alias("language"), code.alias("code"))
+    code = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "f(").otherwise(""))
+    b = table(spark, d, "documents").select(F.col("doc_id").alias("slug"), F.lit(1).alias("line"), F.lit("js").alias("language"), code.alias("code"))
     return checks.balance(b).select("slug")
 
 
