@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,15 +58,26 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(word) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), groups))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value computed a single time however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def reading_grade(text: Column) -> Column:
-    """Flesch-Kincaid grade level, kept within 0 and 20; 0 for texts of under ten characters."""
-    found = split_words(text)
-    n_words = F.size(found)
-    n_sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda s: s.rlike(r"\S")))
-    n_syllables = F.aggregate(F.transform(found, lambda w: syllables(F.lower(F.regexp_replace(w, "[^a-zA-Z]", "")))), F.lit(0), lambda a, s: a + s)
-    grade = 0.39 * n_words / n_sentences + 11.8 * n_syllables / n_words - 15.59
-    short = (F.length(strip(text)) < 10) | (n_words == 0) | (n_sentences == 0)
-    return F.when(short, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(20.0), grade)))
+    """Flesch-Kincaid grade level, kept within 0 and 20; 0 for texts of under ten characters and for null."""
+    text = F.coalesce(text, F.lit(""))
+
+
+    def of(counts: Column) -> Column:
+        n_words, n_sentences, n_syllables = counts["w"], counts["s"], counts["y"]
+        grade = 0.39 * n_words / n_sentences + 11.8 * n_syllables / n_words - 15.59
+        none = counts["short"] | (n_words == 0) | (n_sentences == 0)
+        return F.when(none, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(20.0), grade)))
+
+    sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda s: s.rlike(r"\S")))
+    spoken = lambda words: F.aggregate(words, F.lit(0), lambda a, w: a + syllables(F.lower(F.regexp_replace(w, "[^a-zA-Z]", ""))))
+    short = F.length(strip(text)) < 10
+    return once(once(split_words(text), lambda w: F.struct(F.size(w).alias("w"), sentences.alias("s"), spoken(w).alias("y"), short.alias("short"))), of)
 
 
 def body(content: Column) -> Column:
