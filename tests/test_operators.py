@@ -118,6 +118,15 @@ def test_diffs_and_patches(spark):
     assert (r.n_files, r.n_over, r.n_form_only, r.ok) == (2, 1, 1, False)
 
 
+def test_snippets_by_tags_makes_pairs_once(spark):
+    wanted = spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["y"]), (2, ["z"]), (3, [None, "w"]), (4, []), (None, ["x"])], "page int, tags array<string>")
+    held = spark.createDataFrame([("s", 1, ["x", "y", "z"]), ("t", 2, ["z", None]), ("u", 3, ["v"])], "snippet_id string, ord int, tags array<string>")
+    found = links.snippets_by_tags(wanted, held)
+    assert sorted((r.page or 0, r.snippet_id, r.ord) for r in found.collect()) == [(0, "s", 1), (1, "s", 1), (2, "s", 1), (2, "t", 2)]
+    joined = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in joined  # no pair of members is made distinct afterwards
+
+
 def test_schema_vote_ties_by_name(spark):
     rows = [("s", 1, "a", "1"), ("s", 2, "a", "x"), ("s", 1, "b", "true")]
     got = {r.key: (r.type, r.required) for r in files.schema_vote(spark.createDataFrame(rows, "section string, doc int, key string, value string")).collect()}

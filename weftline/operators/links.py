@@ -9,6 +9,9 @@ from ..functions.text import resolve_path
 
 MARKDOWN_LINK = r"\[[^\]]*\]\(([^)\s]+)\)"
 
+#: Over how many parts the members of a class are dealt.
+_SALTS = 32
+
 
 def relative_links(lines: DataFrame) -> DataFrame:
     """slug, line, target of links outside code, without those that lead to another host or inside the page."""
@@ -74,10 +77,18 @@ def claims_by_ids(ids: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def snippets_by_tags(wanted: DataFrame, snippets: DataFrame) -> DataFrame:
-    """wanted (page, tags) with each snippet (snippet_id, tags, ord) that shares a tag: page, snippet_id, ord."""
-    a = wanted.select("page", F.explode(F.array_distinct("tags")).alias("tag"))
-    b = snippets.select("snippet_id", "ord", F.explode(F.array_distinct("tags")).alias("tag"))
-    return a.join(b, "tag").select("page", "snippet_id", "ord").distinct()
+    """wanted (page, tags) with each snippet (snippet_id, tags, ord) that shares a tag: page, snippet_id, ord.
+
+    Pages and snippets with equal sets of tags are a class each. Classes meet by tag and are made distinct; then their
+    members follow. Each page and snippet has one class, so pairs are made once and are neither sorted nor shuffled,
+    however many there are. Members of a class are dealt over salts, since few classes can hold all rows."""
+    own = lambda df, tags, *keys: df.select(*keys, F.explode("tags").alias("tag")).where("tag is not null").groupBy(*keys).agg(F.array_sort(F.collect_set("tag")).alias(tags))
+    pages, held = own(wanted, "a", "page"), own(snippets, "b", "snippet_id", "ord")
+    each = lambda df, tags: df.select(tags).distinct().withColumn("tag", F.explode(tags))
+    met = each(pages, "a").join(each(held, "b"), "tag").select("a", "b").distinct()
+    pages = pages.join(met, "a").withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(_SALTS)))
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    return pages.join(held, ["b", "salt"]).select("page", "snippet_id", "ord")
 
 
 def first_matching_snippet(claims: DataFrame, snippets: DataFrame) -> DataFrame:
