@@ -226,3 +226,10 @@ def test_patch_ignores_nulls_and_batches(spark):
     assert telemetry.batch_upload_transactional(runs, more).count() == 2
     with pytest.raises(ValueError, match="limit"):
         telemetry.page_of_runs(runs, 0)
+
+
+def test_word_boundaries_are_those_of_ascii(spark):
+    """As the SQL's engine reads them: a letter beyond ASCII ends a word."""
+    lines = checks.lines_of(spark.createDataFrame([("p", "vu éan an jour\nthe theé, todoé: fixme\nthethe the")], "slug string, content string"))
+    assert [(r.line, r.detail) for r in checks.grammar(lines).orderBy("line").collect()] == [(1, "repeated word"), (2, "repeated word")]
+    assert [(r.line, r.detail) for r in checks.completeness(lines).orderBy("detail").collect()] == [(2, "0"), (2, "2")]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_in, normalize_claim, sha_id, split_words, strip, words
+from ..functions.text import any_in, ascii_edges, normalize_claim, sha_id, split_words, strip, words
 
 #: Words and phrases that decide a claim's kind, subject and polarity.
 LIMITATION = ["does not support", "not supported", "not yet implemented", "not implemented", "cannot", "limitation", "unsupported"]
@@ -17,20 +17,20 @@ API_STRONG = ["api includes", "api provides", "class for", "class that", "functi
 API_WEAK = ["class", "function", "method", "interface"]
 FORMAT_CONTEXT = ["format", "file type", "reads", "writes"]
 NEGATIVE = ["does not support", "not supported", "cannot", "not yet implemented", "not implemented", "limitation", "unsupported", "no support for"]
-FORMATS = r"\b(obj|fbx|stl|dae|gltf|glb|ply|3ds|off|one|pdf|dwg|dxf)\b"
+FORMATS = ascii_edges(r"\b(obj|fbx|stl|dae|gltf|glb|ply|3ds|off|one|pdf|dwg|dxf)\b")
 HEADING_MARKERS = ["supports", "can", "enables", "install", "usage", "format", "provides"]
 BOOST = [
     "support", "can", "enable", "provide", "allow", "install", "use", "usage", "format", "read", "write", "does not",
     "cannot", "limitation", "not yet", "class", "function", "method", "api", "interface",
 ]
-DEVELOPER = r"(?i)\byour job is to\b|\bwe don.t need\b|\bcode in module\b|\btodo\b|\bfixme\b|\bhack\b|\bworkaround\b"
-INTERNAL = [
+DEVELOPER = ascii_edges(r"(?i)\byour job is to\b|\bwe don.t need\b|\bcode in module\b|\btodo\b|\bfixme\b|\bhack\b|\bworkaround\b")
+INTERNAL = [ascii_edges(p) for p in (
     r"0x[0-9a-fA-F]{4,}", r"(?i)\bjcid\w+", r"(?i)\bguid[_\-]", r"(?i)\w+\s*\(\d+\s*bytes?\)\s*:", r"(?i)\bsection\s+\d+\.\d+",
     r"\b(?:MUST|SHALL|SHOULD)\s+(?:be|have|contain)\b",
     r"\b(?:CompactID|FileNode|ExtendedGUID|PartitionID|ObjectDeclaration|PropertySet|OutlineElementRTL)\b",
     r"""["']0x[0-9A-Fa-f]{2}["']""",
-]
-CODE_WORD = r"\b[a-z]+(?:_[a-z]+)+\b|\b[a-z]+[A-Z]\w+\b"
+)]
+CODE_WORD = ascii_edges(r"\b[a-z]+(?:_[a-z]+)+\b|\b[a-z]+[A-Z]\w+\b")
 CAMEL = r"([A-Z][a-z]+(?:[A-Z][a-z]+){2,})"
 PRIORITIES = {"manifest": 1, "source_code": 2, "test": 3, "implementation_doc": 4, "api_doc": 5, "readme_technical": 6, "readme_marketing": 7}
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_in, glob_to_regex, sha_id, strip
+from ..functions.text import any_in, ascii_edges, glob_to_regex, sha_id, strip
 from .checks import issue
 
 #: Error names by what to do about them, tags by what a path holds, terms of the semantic checks.
@@ -18,8 +18,8 @@ PATH_TAGS = {
     "merge": ["merge"], "extract": ["extract"], "parse": ["parse", "parsing"], "render": ["render"],
 }
 TYPE_TAGS = {"readme": ["quickstart", "readme"], "implementation_notes": ["implementation"], "architecture": ["architecture"], "api_docs": ["api"]}
-COMMERCIAL_TERMS = r"evaluation\s+limit|paid\s+plan|trial\s+version|\bproprietary\b|enterprise\s+edition|premium\s+feature|subscription\s+required"
-INTERNAL_TERMS = r"\b0x[0-9a-fA-F]{4,}\b|\bjcid[A-Za-z0-9_]+\b|\bCompactID\b|\bFileNode\b|\b[A-F0-9]{8}-[A-F0-9]{4}-[A-F0-9]{4}-[A-F0-9]{4}-[A-F0-9]{12}\b"
+COMMERCIAL_TERMS = ascii_edges(r"evaluation\s+limit|paid\s+plan|trial\s+version|\bproprietary\b|enterprise\s+edition|premium\s+feature|subscription\s+required")
+INTERNAL_TERMS = ascii_edges(r"\b0x[0-9a-fA-F]{4,}\b|\bjcid[A-Za-z0-9_]+\b|\bCompactID\b|\bFileNode\b|\b[A-F0-9]{8}-[A-F0-9]{4}-[A-F0-9]{4}-[A-F0-9]{4}-[A-F0-9]{12}\b")
 
 
 def backoff(attempt: Column, base: float = 1.0, factor: float = 2.0, cap: float = 60.0, jitter: Column | None = None) -> Column:
