@@ -6,14 +6,13 @@ Files are (path, content) with content as text, or (path, sha256, size).
 from __future__ import annotations
 
 import ast
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_space, strip
+from ..functions.text import ascii_edges, normalize_space, strip
 from ..sources.events import hash_tree
 from .gates import SECRETS
 
@@ -120,24 +119,42 @@ def patches(drafts: DataFrame, tree: DataFrame) -> DataFrame:
     return met.select("path", action.alias("action"), F.when(action == "replace", F.col("before")).alias("expected_before_hash"))
 
 
+def _lines_in(text: str | None) -> list[str]:
+    """What newlines end, and what stands behind the last one."""
+    lines = (text or "").split("\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def _changed_lines(a: list[str], b: list[str]) -> tuple[int, int]:
+    """Lines added and deleted by the shortest diff: those outside the longest common subsequence, a bit per line of a."""
+    at: dict[str, int] = {}
+    for k, line in enumerate(a):
+        at[line] = at.get(line, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for line in b:
+        hit = row & at.get(line, 0)
+        if hit:
+            row = (row + hit | row - hit) & full
+    common = len(a) - row.bit_count()
+    return len(b) - common, len(a) - common
+
+
 def _changed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        counts = []
-        for a, b in zip(rows["original"], rows["modified"], strict=True):
-            diff = [x for x in difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="", n=0) if not x.startswith(("---", "+++"))]
-            counts.append((sum(x.startswith("+") for x in diff), sum(x.startswith("-") for x in diff)))
-        yield pd.DataFrame({"path": rows["path"], "added": [a for a, _ in counts], "deleted": [d for _, d in counts]})
+        counts = [_changed_lines(_lines_in(a), _lines_in(b)) for a, b in zip(rows["original"], rows["modified"], strict=True)]
+        yield rows.drop(columns=["original", "modified"]).assign(added=[a for a, _ in counts], deleted=[d for _, d in counts])
 
 
 def diff_lines(changes: DataFrame) -> DataFrame:
-    """path, lines added and deleted; the line alignment has no SQL form, so it runs on batches of rows."""
+    """path, lines added and deleted, no more than there have to be; the line alignment has no SQL form, so it runs on batches of rows."""
     return changes.select("path", "original", "modified").mapInPandas(_changed, "path string, added long, deleted long")
 
 
 def diff_budget(changes: DataFrame, most_files: int, most_lines: int) -> DataFrame:
     """Totals, files over the line budget, changes of form alone, and whether the budget is kept."""
     same = normalize_space(F.coalesce("original", F.lit(""))) == normalize_space(F.coalesce("modified", F.lit("")))
-    met = changes.select("path", same.alias("form_only")).join(diff_lines(changes), "path")
+    met = changes.select(same.alias("form_only"), "original", "modified").mapInPandas(_changed, "form_only boolean, added long, deleted long")
     out = met.agg(F.count("*").alias("n_files"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.count_if(F.col("added") + F.col("deleted") > most_lines).alias("n_over"), F.count_if("form_only").alias("n_form_only"))
     return out.withColumn("ok", (F.col("n_files") <= most_files) & (F.col("n_over") == 0))
 
@@ -335,10 +352,10 @@ def repairs(product: str, repo_url: str) -> dict[str, object]:
         "template_tokens": lambda c: F.regexp_replace(F.regexp_replace(c, "__PRODUCT_NAME__", product), "__[A-Z0-9_]+__", ""),
         "link_normalization": lambda c: F.regexp_replace(c, r"\]\(\./([\w-]+)\.md\)", "](/docs/$1/)"),
         "alt_text": lambda c: F.regexp_replace(c, r"!\[\s*\]\(([^)]*?)([\w-]+)\.(\w+)\)", "![$2]($1$2.$3)"),
-        "placeholder_content": lambda c: F.array_join(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"(?i)\b(TODO|TBD|FIXME|XXX|PLACEHOLDER)\b")), "\n"),
+        "placeholder_content": lambda c: F.array_join(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(ascii_edges(r"(?i)\b(TODO|TBD|FIXME|XXX|PLACEHOLDER)\b"))), "\n"),
         "foss_licensing": lambda c: F.array_join(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"(?i)commercial licen[sc]e|purchase|pricing|free trial|buy now")), "\n"),
         "invalid_claim_marker": lambda c: F.regexp_replace(c, r"<!--\s*claim_id:[^>]*-->\s*", ""),
-        "error_message_format": lambda c: _lines(c, lambda x: F.regexp_replace(x, r"(?<!`)\b((?:Error|Exception|Warning|Failed): [^`\n]*)", "`$1`")),
+        "error_message_format": lambda c: _lines(c, lambda x: F.regexp_replace(x, ascii_edges(r"(?<!`)\b((?:Error|Exception|Warning|Failed): [^`\n]*)"), "`$1`")),
         "terminology_consistency": lambda c: F.regexp_replace(c, r"https://github\.com/[\w.-]+/[\w.-]+", repo_url),
         "bullet_splitting": lambda c: _lines(c, bullet),
         "metadata": lambda c: F.when(~F.lower(F.regexp_extract(c, r"(?m)^title:\s*(.*)$", 1)).contains(product.lower()), F.regexp_replace(c, r"(?m)^title:\s*(.*)$", f"title: {product} $1")).otherwise(c),
