@@ -203,3 +203,14 @@ def test_letters_are_sent_again(spark, tmp_path):
     assert second == {"delivered": 1, "refused": 0} and taken[-1] == 4 and len(taken) == 10
     letters.post(rows, path, "batch-2")  # the same rows once more: the ledger has them
     assert letters.flush(spark, path, rows.schema, lambda b: taken.append("again")) == {"delivered": 0, "refused": 0} and "again" not in taken
+
+
+def test_assemble_reads_registers_once(spark, tmp_path):
+    rows = [("r", 1, "e1", None, "WORK_ITEM_QUEUED", '{"work_item_id":"w"}'), ("r", 2, "e2", None, "ISSUE_OPENED", '{"issue":{"issue_id":"i"}}'), ("r", 3, "e3", None, "ISSUE_RESOLVED", '{"issue_id":"i"}'), ("r", 4, "e4", None, "ISSUE_OPENED", '{"issue":{"issue_id":"i"}}'), ("q", 1, "e5", None, "GATE_RUN_FINISHED", '{"gate":"g","ok":true}')]
+    events_ = spark.createDataFrame(rows, "run_id string, ord long, event_id string, ts timestamp, type string, payload string")
+    snapshots.fold(events_).write.parquet(str(tmp_path / "registers"))
+    made = snapshots.assemble(spark.read.parquet(str(tmp_path / "registers")))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = {r.run_id: r for r in made.collect()}
+    assert [(i.ord, i.status) for i in got["r"].issues] == [(2, "RESOLVED"), (4, "OPEN")] and [w.status for w in got["r"].work_items] == ["queued"]
+    assert got["r"].gates is None and got["q"].gates == {"g": True} and got["q"].issues is None and got["q"].n_events == 1

@@ -64,34 +64,40 @@ def merge(*registers: DataFrame) -> DataFrame:
 
 
 def assemble(registers: DataFrame) -> DataFrame:
-    """The snapshot of each run, with the fields of state.snapshot()."""
-    of = lambda *kinds: registers.where(F.col("kind").isin(*kinds))
-    entries = lambda pair, name: F.map_from_entries(F.array_sort(F.collect_list(pair))).alias(name)
-    runs = of("run").select("run_id", F.col("n").alias("n_events"), F.col("last.ord").alias("last_ord"))
-    state = of("state").select("run_id", F.col("last.value").alias("run_state"))
-    written = F.struct(F.col("last.value").alias("path"), F.col("last.extra").alias("sha256"), "last.ts", "last.event_id")
-    artifacts = of("artifact").groupBy("run_id").agg(entries(F.struct(F.col("key").alias("name"), written.alias("entry")), "artifacts"))
-    moved = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("last.ord", "last.ts")))
-    items = of("queued", "started", "finished").groupBy("run_id", F.col("key").alias("id")).agg(
-        F.min(F.when(F.col("kind") == "queued", F.col("first"))).alias("queued"), moved("started").alias("s"), moved("finished").alias("f"),
+    """The snapshot of each run, with the fields of state.snapshot(). Registers are read once: those of one thing meet by
+    its key, then things by their run."""
+    kind, last = F.col("kind"), F.col("last")
+    of = lambda name, value: F.when(kind == name, value)
+    family = F.when(kind.isin("queued", "started", "finished"), "item").when(kind.isin("opened", "resolved"), "issue").otherwise(kind)
+    things = registers.groupBy("run_id", family.alias("kind"), "key").agg(
+        F.max("n").alias("n"), F.max("last").alias("last"), F.min(of("queued", F.col("first"))).alias("queued"),
+        *(F.max(of(name, F.struct("last.ord", "last.ts"))).alias(c) for name, c in (("started", "s"), ("finished", "f"), ("resolved", "r"))),
+        F.array_sort(F.collect_list(of("opened", F.col("part")))).alias("parts"),
     )
     after = lambda c: F.when(F.col(c)["ord"] > F.col("queued"), F.col(c))
-    items = items.where("queued is not null").withColumn("s", after("s")).withColumn("f", after("f"))
+    things = things.withColumn("s", after("s")).withColumn("f", after("f"))
+    written = F.struct(last["value"].alias("path"), last["extra"].alias("sha256"), last["ts"].alias("ts"), last["event_id"].alias("event_id"))
     status = F.when(F.col("f.ord").isNotNull() & (F.col("s.ord").isNull() | (F.col("f.ord") > F.col("s.ord"))), "finished").when(F.col("s.ord").isNotNull(), "running").otherwise("queued")
-    row = F.struct("queued", "id", status.alias("status"), F.col("s.ts").alias("started_at"), F.col("f.ts").alias("finished_at"))
-    items = items.groupBy("run_id").agg(F.array_sort(F.collect_list(row)).alias("work_items"))
-    solved = of("resolved").where("key is not null").select("run_id", "key", F.col("last.ord").alias("solved"), F.col("last.ts").alias("solved_at"))
-    opened = of("opened").groupBy("run_id", "key").agg(F.min("part").alias("first_opened"), F.collect_list("part").alias("parts"))
-    opened = opened.join(solved, ["run_id", "key"], "left").select("run_id", "key", "first_opened", "solved", "solved_at", F.explode("parts").alias("ord"))
-    closed = F.coalesce((F.col("ord") == F.col("first_opened")) & (F.col("solved") > F.col("ord")), F.lit(False))
-    issue = F.struct("ord", F.col("key").alias("issue_id"), F.when(closed, "RESOLVED").otherwise("OPEN").alias("status"), F.when(closed, F.col("solved_at")).alias("resolved_at"))
-    issues = opened.groupBy("run_id").agg(F.array_sort(F.collect_list(issue)).alias("issues"))
-    gates = of("gate").groupBy("run_id").agg(entries(F.struct(F.col("key").alias("gate"), F.col("last.value").cast("boolean").alias("ok")), "gates"))
-    sections = of("section").groupBy("run_id").agg(entries(F.struct(F.col("key").alias("section"), F.col("last.value").alias("section_state")), "sections"))
-    out = runs
-    for part in (state, artifacts, items, issues, gates, sections):
-        out = out.join(part, "run_id", "left")
-    return out
+    item = F.struct("queued", F.col("key").alias("id"), status.alias("status"), F.col("s.ts").alias("started_at"), F.col("f.ts").alias("finished_at"))
+
+    def issue(ord_: Column, k: Column) -> Column:
+        """The k-th opening of an id; a resolution after the first closes that one."""
+        closed = F.coalesce((k == 0) & F.col("key").isNotNull() & (F.col("r.ord") > ord_), F.lit(False))
+        return F.struct(ord_.alias("ord"), F.col("key").alias("issue_id"), F.when(closed, "RESOLVED").otherwise("OPEN").alias("status"), F.when(closed, F.col("r.ts")).alias("resolved_at"))
+
+    gathered = lambda value: F.array_sort(F.collect_list(value))
+    runs = things.groupBy("run_id").agg(
+        F.max(of("run", F.col("n"))).alias("n_events"), F.max(of("run", last["ord"])).alias("last_ord"), F.max(of("state", last["value"])).alias("run_state"),
+        gathered(of("artifact", F.struct(F.col("key").alias("name"), written.alias("entry")))).alias("artifacts"),
+        gathered(F.when((kind == "item") & F.col("queued").isNotNull(), item)).alias("work_items"),
+        F.array_sort(F.flatten(F.collect_list(of("issue", F.transform("parts", issue))))).alias("issues"),
+        gathered(of("gate", F.struct(F.col("key").alias("gate"), last["value"].cast("boolean").alias("ok")))).alias("gates"),
+        gathered(of("section", F.struct(F.col("key").alias("section"), last["value"].alias("section_state")))).alias("sections"),
+    ).where("n_events is not null")
+    some = lambda name, value: F.when(F.size(name) > 0, value).alias(name)
+    maps = ("artifacts", "gates", "sections")
+    parts = [some(c, F.map_from_entries(c) if c in maps else F.col(c)) for c in ("artifacts", "work_items", "issues", "gates", "sections")]
+    return runs.select("run_id", "n_events", "last_ord", "run_state", *parts)
 
 
 def tail(events: DataFrame, stored: DataFrame) -> DataFrame:

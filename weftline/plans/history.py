@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events, files, fixing, snapshots, state
+from ..sources.tables import Rounds, spread
 from .catalogue import MD, PRODUCT, REPO, markdown, query, table
 
 _TYPE = """CASE event_type WHEN 'signup' THEN 'WORK_ITEM_QUEUED' WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'WORK_ITEM_QUEUED' ELSE 'WORK_ITEM_STARTED' END
@@ -21,7 +22,7 @@ WORKERS = [f"w{k}" for k in range(6)]
 
 def log(spark, d):
     """The whole table of events as a log."""
-    fields = spark.sql(f"SELECT {_FIELDS} FROM {{events}}", events=table(spark, d, "events"))
+    fields = spark.sql(f"SELECT {_FIELDS} FROM {{events}}", events=spread(table(spark, d, "events")))
     payload = F.struct(F.col("item").alias("work_item_id"), "name", F.concat(F.lit("p/"), "name").alias("path"), F.col("sha").alias("sha256"), "new_state", "gate", "ok", "section", "issue_id", F.struct("issue_id").alias("issue"))
     return fields.select("run_id", "ord", F.col("ord").cast("string").alias("event_id"), "ts", "type", F.to_json(payload).alias("payload"))
 
@@ -46,13 +47,17 @@ def snapshot_whole(spark, d):
     return snapshots.entries(state.snapshot(log(spark, d)))
 
 
+def _stored(spark, own):
+    """Registers of each run up to its latest checkpoint, written: both the tail and the merge read them."""
+    at = state.latest_checkpoint(state.checkpoints(own, 20)).select("run_id", "last_ord")
+    return Rounds(spark, "registers").cut(snapshots.fold(own.join(at, "run_id").where("ord <= last_ord").drop("last_ord")))
+
+
 @query(f"WITH {_SNAPSHOT} SELECT * FROM sn")
 def snapshot_resumed(spark, d):
     """Cut at each run's latest checkpoint; what is stored and the tail make the whole."""
     own = log(spark, d)
-    at = state.latest_checkpoint(state.checkpoints(own, 20)).select("run_id", "last_ord")
-    prefix = own.join(at, "run_id").where("ord <= last_ord").drop("last_ord")
-    return snapshots.entries(snapshots.assemble(snapshots.resumed(own, snapshots.fold(prefix))))
+    return snapshots.entries(snapshots.assemble(snapshots.resumed(own, _stored(spark, own))))
 
 
 @query(f"""WITH {_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS k, count(*) OVER (PARTITION BY run_id) AS c FROM ev),
@@ -61,9 +66,7 @@ SELECT r.run_id, (SELECT arg_max(new_state, ord) FROM p WHERE p.run_id = r.run_i
        (SELECT string_agg('w' || w.k, ',' ORDER BY w.k) FROM w WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.run_id = r.run_id AND d.item = 'w' || w.k)) AS workers_to_rerun FROM (SELECT DISTINCT run_id FROM ev) r""")
 def resume_reports(spark, d):
     own = log(spark, d)
-    at = state.latest_checkpoint(state.checkpoints(own, 20)).select("run_id", "last_ord")
-    stored = snapshots.fold(own.join(at, "run_id").where("ord <= last_ord").drop("last_ord"))
-    return snapshots.resume_report(own, stored, WORKERS).withColumn("workers_to_rerun", F.array_join("workers_to_rerun", ","))
+    return snapshots.resume_report(own, _stored(spark, own), WORKERS).withColumn("workers_to_rerun", F.array_join("workers_to_rerun", ","))
 
 
 @query(f"WITH {_LOG} SELECT run_id, ord, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS number FROM ev")
