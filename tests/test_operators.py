@@ -233,3 +233,12 @@ def test_word_boundaries_are_those_of_ascii(spark):
     lines = checks.lines_of(spark.createDataFrame([("p", "vu éan an jour\nthe theé, todoé: fixme\nthethe the")], "slug string, content string"))
     assert [(r.line, r.detail) for r in checks.grammar(lines).orderBy("line").collect()] == [(1, "repeated word"), (2, "repeated word")]
     assert [(r.line, r.detail) for r in checks.completeness(lines).orderBy("detail").collect()] == [(2, "0"), (2, "2")]
+
+
+def test_logs_of_many_runs_share_files(spark, tmp_path):
+    rows = [(f"e{r}-{k}", f"r{r}" if r else None, "2024-01-01", "T", "{}", k) for r in range(300) for k in range(r % 4 + 1)]
+    own = spark.createDataFrame(rows, "event_id string, run_id string, ts string, type string, payload string, ord int")
+    sources.append_events(own, str(tmp_path / "log"), together=("run_id", "ord"))
+    assert len(list((tmp_path / "log").glob("**/part-*"))) < 50
+    found = sources.read_events(spark, str(tmp_path / "log"), by="run_id")
+    assert sorted((r.event_id, r.ord) for r in found.collect()) == sorted((r[0], r[5] + 1) for r in rows)

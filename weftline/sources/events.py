@@ -32,9 +32,17 @@ def _numbered_lines(lines: DataFrame) -> DataFrame:
     return own.join(begins, ["file", "block"]).withColumn("ord", F.col("before") + F.col("id") - F.col("first_id") + 1).drop("id", "first_id", "before")
 
 
-def read_events(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+def _places_within(found: DataFrame, by: str) -> DataFrame:
+    """ord of lines (file, ord) counted from the first line in their file with the same value of `by`."""
+    first = found.groupBy(F.col("file").alias("_file"), F.col(by).alias("_by")).agg(F.min("ord").alias("_first"))
+    met = found.join(first, (F.col("file") == F.col("_file")) & F.col(by).eqNullSafe(F.col("_by")))
+    return met.withColumn("ord", F.col("ord") - F.col("_first") + 1).drop("_file", "_by", "_first")
+
+
+def read_events(spark: SparkSession, path: str, tolerant: bool = False, by: str | None = None) -> DataFrame:
     """An event log, a JSON object a line, with ord (the line's place in its file, from 1) - the order is part of
-    the data. Blank lines are skipped. A malformed line fails the query when it is read, or is left out if tolerant."""
+    the data. With `by`, a column whose values' lines stand together in one file each (append_events(together=)), ord is the
+    place among the lines of a value. Blank lines are skipped. A malformed line fails the query when it is read, or is left out if tolerant."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).where(F.trim("value") != "")
     event_id = F.get_json_object("value", "$.event_id")
     bad = F.try_parse_json("value").isNull() | event_id.isNull()
@@ -42,11 +50,15 @@ def read_events(spark: SparkSession, path: str, tolerant: bool = False) -> DataF
     found = _payload_as_text(raw)
     if not tolerant:
         found = found.withColumn("event_id", F.when(bad, F.raise_error(F.concat(F.lit("malformed event: "), F.left("value", F.lit(80))))).otherwise(F.col("event_id")))
-    return found.drop("value", "file", "block")
+    return (_places_within(found, by) if by else found).drop("value", "file", "block")
 
 
-def append_events(events: DataFrame, path: str, by: str | None = None) -> None:
-    """A compact JSON object a line, fields in alphabetical order; in a folder for each value of `by`, should it be given."""
+def append_events(events: DataFrame, path: str, by: str | None = None, together: tuple[str, str] | None = None) -> None:
+    """A compact JSON object a line, fields in alphabetical order; in a folder for each value of `by`, should it be given.
+    With together (a column and one to order by, which is not written), the lines of each value stand in order in one file,
+    and a file holds many values: files follow the size of a log, not the number of its runs."""
+    if together:
+        events = events.repartition(together[0]).sortWithinPartitions(*together).drop(together[1])
     lines = events.select(*([by] if by else []), F.to_json(F.struct(*sorted(events.columns))).alias("value"))
     (lines.write.partitionBy(by) if by else lines.write).mode("append").text(path)
 
