@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents give the idf (a table of fixed size).
-2. TF-IDF rows of the benchmark's passages, weighted up, and of a bounded sample of corpus passages, over the
-   words of the benchmark, are factorised by a distributed randomised SVD: the products with the sparse rows run on the executors, only
-   matrices of bounded size (rows x rank) come to the driver.
+2. TF-IDF rows of the benchmark's passages, weighted up, and of all documents, over the words of the benchmark, are
+   factorised by a distributed randomised SVD: the products with the sparse rows run on the executors, only matrices
+   of bounded size (words of the block x rank) come to the driver. All documents together weigh as much as DOCUMENTS
+   rows, so that passages keep their share of the space however many documents there are.
 3. Every document is cut into overlapping windows of words. A window's cosine with each passage in the latent
    space is found where an upper bound, a running sum over words, lets it reach the threshold; words whose weight in
    that space is under 0.01 are left out of both.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -35,11 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty
-from .quality_rules import sampled
 
 WINDOW, STRIDE = 64, 32
 ITEMS = 200
-SAMPLE = 1000
+DOCUMENTS = 1000
 RANK, OVERSAMPLE = 256, 16  # ITEMS / RANK stays well under 1
 EMPHASIS = 4.0
 COSINE = 0.3
@@ -95,10 +96,15 @@ def held_enough(term: np.ndarray, sizes: np.ndarray, span: int, shares: np.ndarr
     keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
     window, term = keys // width, keys % width
     begins = np.flatnonzero(np.diff(window, prepend=-1))
+    if len(begins):  # the most that any column can reach
+        sizes = np.diff(np.append(begins, len(keys)))
+        able = np.repeat(np.add.reduceat(most[term], begins) >= 1 - 1e-4, sizes)
+        window, term = window[able], term[able]
+        begins = np.flatnonzero(np.diff(window, prepend=-1))
     out, low = [], 0
     while low < len(begins):  # bounded pieces
         high = max(low + 1, int(np.searchsorted(begins, begins[low] + rows)))
-        end = begins[high] if high < len(begins) else len(keys)
+        end = begins[high] if high < len(begins) else len(term)
         held = np.add.reduceat(shares[term[begins[low] : end]], begins[low:high] - begins[low], axis=0)
         out += [[int(window[begins[low + k]]), c] for k, c in np.argwhere(held >= 1 - 1e-4).tolist()]
         low = high
@@ -117,7 +123,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         counts, n = np.zeros(1 << _BITS, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts[np.unique(hashes(words_of(text)) & _MASK)] += 1
+                counts[hashes(set(words_of(text))) & _MASK] += 1  # a bucket named twice still gets 1
                 n += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], ["bucket", "n"])
@@ -144,75 +150,74 @@ def weigh(words: list[bytes], idf: np.ndarray) -> tuple[list[bytes], np.ndarray]
 # ------------------------------------------------------------------------------------- randomised SVD
 
 
-def _random_row(word: bytes, width: int) -> np.ndarray:
-    return np.random.default_rng(zlib.crc32(word)).standard_normal(width)
-
-
-def times(rows: DataFrame, width: int, of_word: dict[bytes, np.ndarray] | None) -> tuple[list[int], np.ndarray]:
-    """The sparse rows times a matrix with a row per word (random where none is given)."""
+def sparse_rows(docs: DataFrame, numbers: dict[bytes, int], idf: np.ndarray) -> DataFrame:
+    """Of each document that holds any of the numbered words: their numbers (int32) and TF-IDF (float32), where the
+    TF-IDF of all its words has length 1."""
 
     def run(batches):
         for batch in batches:
-            ids, out = [], []
-            for r in batch.to_pylist():
-                own = [_random_row(w, width) if of_word is None else of_word[w] for w in r["words"]]
-                ids.append(r["row"])
-                out.append((np.array(r["weights"]) @ np.array(own)).astype(np.float32).tobytes() if own else np.zeros(width, dtype=np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["row", "y"])
-
-    found = sorted((r.row, r.y) for r in rows.mapInArrow(run, "row long, y binary").collect())
-    return [r for r, _ in found], np.array([np.frombuffer(y, dtype=np.float32) for _, y in found]).reshape(-1, width)
+            terms, weights = [], []
+            for text in batch.column(0).to_pylist():
+                count = Counter(words_of(text))
+                found = list(map(numbers.get, count))
+                w = np.fromiter(count.values(), dtype=np.float64, count=len(count)) * idf[hashes(count) & _MASK]
+                own = np.array([k for k, t in enumerate(found) if t is not None], dtype=np.int64)
+                if len(own):
+                    terms.append(np.array([found[k] for k in own], dtype=np.int32).tobytes())
+                    weights.append((w[own] / max(np.linalg.norm(w), 1e-12)).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(weights, pa.binary())], ["terms", "weights"])
 
+    return text_or_empty(docs).select("text").mapInArrow(run, "terms binary, weights binary")
 
-def transposed_times(rows: DataFrame, ids: list[int], y: np.ndarray) -> dict[bytes, np.ndarray]:
-    """The transposed rows times y: partial sums on each task, met by word."""
-    place, width, y = {r: k for k, r in enumerate(ids)}, y.shape[1], y.astype(np.float32)
 
-    def emit(sums: dict[bytes, np.ndarray]):
-        names = list(sums)
-        for low in range(0, len(names), 2048):
-            part = names[low : low + 2048]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([sums[w].tobytes() for w in part], pa.binary())], ["word", "z"])
+def gram_times(rows: DataFrame, z: np.ndarray) -> np.ndarray:
+    """Transposed rows times rows times z, which has a row per word: partial sums on each task, met by word."""
+    shared, schema = rows.sparkSession.sparkContext.broadcast(z.astype(np.float32)), "term int, y binary"
 
-    def add(sums: dict[bytes, np.ndarray], word: bytes, z: np.ndarray) -> None:
-        if word in sums:
-            sums[word] += z
-        else:
-            sums[word] = z.copy()
+    def emit(out, terms: list[int]):
+        for low in range(0, len(terms), 2048):
+            some = terms[low : low + 2048]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([out[t].tobytes() for t in some], pa.binary())], ["term", "y"])
 
     def part(batches):
-        sums: dict[bytes, np.ndarray] = {}
+        z = shared.value
+        out, met = np.zeros_like(z), np.zeros(len(z), dtype=bool)
         for batch in batches:
-            for r in batch.to_pylist():
-                own = y[place[r["row"]]]
-                for w, x in zip(r["words"], r["weights"], strict=True):
-                    add(sums, w, np.float32(x) * own)
-        yield from emit(sums)
+            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t, x = np.frombuffer(t, dtype=np.int32), np.frombuffer(x, dtype=np.float32)
+                out[t] += np.outer(x, x @ z[t])
+                met[t] = True
+        yield from emit(out, np.flatnonzero(met).tolist())
 
     def whole(batches):
-        sums: dict[bytes, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for w, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                add(sums, w, np.frombuffer(z, dtype=np.float32))
-        yield from emit(sums)
-
-    met = rows.mapInArrow(part, "word binary, z binary").repartition("word").mapInArrow(whole, "word binary, z binary")
-    return {bytes(r.word): np.frombuffer(r.z, dtype=np.float32).reshape(width) for r in met.collect()}
-
-
-def randomised_svd(rows: DataFrame, n: int, rank: int = RANK) -> dict[bytes, np.ndarray]:
-    """Right singular vectors of the sparse rows, a row per word: one power iteration, then the small factor."""
-    width = max(1, min(rank + OVERSAMPLE, n))
-    ids, y = times(rows, width, None)
-    z = transposed_times(rows, ids, np.linalg.qr(y)[0])
-    ids, y = times(rows, width, z)
-    b = transposed_times(rows, ids, np.linalg.qr(y)[0])
-    names = sorted(b)
-    wide = np.array([b[w] for w in names]).reshape(-1, width).astype(np.float64)
-    values, u = np.linalg.eigh(wide.T @ wide)
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[t] = sums.get(t, 0.0) + np.frombuffer(y, dtype=np.float32).astype(np.float64)
+        yield from emit(sums, list(sums))
+
+    out = np.zeros(z.shape)
+    for r in rows.mapInArrow(part, schema).repartition("term").mapInArrow(whole, schema).collect():
+        out[r.term] = np.frombuffer(r.y)
+    return out
+
+
+def latent_space(rows: DataFrame, share: float, passages: list[tuple[list[int], np.ndarray]], n_words: int, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors, a row per word, of the documents' rows, their squares times `share`, and the passages' on
+    top of each other: one power iteration from random directions, then the small factor."""
+    width = min(rank + OVERSAMPLE, n_words)
+
+    def times(z: np.ndarray) -> np.ndarray:
+        out = share * gram_times(rows, z)
+        for t, x in passages:
+            out[t] += np.outer(x, x @ z[t])
+        return out
+
+    q = np.linalg.qr(times(np.random.default_rng(7).standard_normal((n_words, width))))[0]
+    small = q.T @ times(q)
+    values, u = np.linalg.eigh((small + small.T) / 2)
     best = [k for k in np.argsort(values)[::-1][:rank] if values[k] > 1e-9 * max(values.max(), 1e-12)]
-    v = wide @ (u[:, best] / np.sqrt(values[best]))
-    return dict(zip(names, v, strict=True))
+    return q @ u[:, best]
 
 
 # --------------------------------------------------------------------------------------------- search
@@ -225,8 +230,8 @@ def lcs(a: list, b: list) -> int:
         at[w] = at.get(w, 0) | 1 << k
     full = (1 << len(a)) - 1
     row = full
-    for w in b:
-        hit = row & at.get(w, 0)
+    for places in filter(None, map(at.get, b)):
+        hit = row & places
         row = (row + hit | row - hit) & full
     return len(a) - row.bit_count()
 
@@ -312,11 +317,12 @@ class Index:
         bounds = np.concatenate([[0.0], np.cumsum(weight * self.most[term])])
         length = np.sqrt(np.maximum(squares[ends] - squares[starts], 1e-12))
         out = []
-        for k in np.flatnonzero(bounds[ends] - bounds[starts] >= COSINE * length).tolist():
-            a, b = int(starts[k]), int(ends[k])
-            cosine = self.queries @ (weight[a:b].astype(np.float32) @ self.table[term[a:b]]) / length[k]
-            for j in np.flatnonzero(cosine >= COSINE).tolist():
-                reach = max(STRIDE, len(self.items[j].words))
+        able, single = np.flatnonzero(bounds[ends] - bounds[starts] >= COSINE * length), weight.astype(np.float32)
+        for low in range(0, len(able), 1024):  # bounded pieces
+            some = able[low : low + 1024]
+            latent = np.array([single[a:b] @ self.table[term[a:b]] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            for k, j in np.argwhere(latent @ self.queries.T >= COSINE * length[some, None]).tolist():
+                k, reach = some[k], max(STRIDE, len(self.items[j].words))
                 out.append((int(text[k]), max(0, int(local[k]) - reach), int(local[k]) + WINDOW + reach, j))
         for span, (numbers, shares, most) in self.counts.items():
             text, local, _, _ = cut(sizes, 2 * span, span)
@@ -337,36 +343,21 @@ class Index:
         return out
 
 
-def build_index(spark: SparkSession, docs: DataFrame, passages: list[tuple[int, str]], idf: np.ndarray, sample: int = SAMPLE) -> Index:
+def build_index(spark: SparkSession, docs: DataFrame, passages: list[tuple[int, str]], idf: np.ndarray) -> Index:
     items = [Item(i, w, idf) for i, w in ((i, words_of(t or "")) for i, t in passages) if w]
     if not items:
         return Index([], {}, idf)
-    terms = {w for item in items for w in item.words}  # other words speak for no passage; they only count in lengths
-
-    def corpus(batches):
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                w = words_of(text)
-                starts = windows(len(w))
-                if starts:
-                    at = starts[len(w) * 7919 % len(starts)]  # one window a document
-                    names, weights = weigh(w[at : at + WINDOW], idf)
-                    own = [k for k, name in enumerate(names) if name in terms]
-                    rows.append(([names[k] for k in own], weights[own]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.binary())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64()))], ["words", "weights"])
-
-    scratch = Scratch(spark, "lsa")
+    terms = sorted({w for item in items for w in item.words})  # other words speak for no passage; they only count in lengths
+    numbers = {w: k for k, w in enumerate(terms)}
     own = []
     for item in items:
         names, weights = weigh(item.words, idf)
-        own.append((names, (EMPHASIS * weights).tolist()))
-    schema = "words array<binary>, weights array<double>"
-    rows = spark.createDataFrame(own, schema).union(sampled(text_or_empty(docs), sample).mapInArrow(corpus, schema).limit(2 * sample))
-    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    vectors = randomised_svd(rows, rows.count(), max(RANK, len(items) * RANK // ITEMS))
+        own.append(([numbers[w] for w in names], EMPHASIS * weights))
+    scratch = Scratch(spark, "lsa")
+    rows = scratch.write(sparse_rows(docs, numbers, idf), "rows")
+    space = latent_space(rows, DOCUMENTS / max(DOCUMENTS, rows.count()), own, len(terms), max(RANK, len(items) * RANK // ITEMS))
     scratch.drop("rows")
-    return Index(items, vectors, idf)
+    return Index(items, dict(zip(terms, space, strict=True)), idf)
 
 
 def _nulls_last(item_id: int | None) -> tuple[bool, int]:
