@@ -93,6 +93,25 @@ def test_line_dedup_reads_long_lists_in_shares(spark, monkeypatch):
     assert got == {d: want[(d, t)] for d, t in rows}
 
 
+def test_line_dedup_compares_no_lines_that_lists_tell_apart(spark, monkeypatch):
+    """Lines of few words share pairs by chance: postings tell such pairs apart, they are neither written nor joined with lines."""
+    from weftline.llm import line_dedup
+
+    rnd, pairs, write = random.Random(3), [], line_dedup.Scratch.write
+
+    def counted(self, df, name):
+        found = write(self, df, name)
+        pairs.extend([found.count()] if "doc_id2" in df.columns else [])
+        return found
+
+    monkeypatch.setattr(line_dedup.Scratch, "write", counted)
+    rows = [(d, " ".join(rnd.sample([f"w{k}" for k in range(30)], 12))) for d in range(600)] + [(600, "a b c d e f"), (601, "f e d c b")]
+    want, _ = brute_lines(rows)
+    got = {r.doc_id: r.text for r in dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: want[(d, t)] for d, t in rows} and got[601] == ""
+    assert 0 < sum(pairs) < len(rows)
+
+
 def test_bands_reach_recall():
     bands, rows = choose_bands(0.8, 0.998)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.998

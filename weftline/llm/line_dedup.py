@@ -18,8 +18,8 @@ in), so both prefixes of lost + 1 pairs hold a shared one. Sets of under four wo
   is collected, and none is cut. Lists that can be long, since both their words are frequent, are read in shares;
   the join of open lines is not, so shares change no result.
 - Length and position of the shared pair bound the overlap first. Then does a sketch, 64 bits of which each token
-  turns one: tokens that two sets share cancel out, so sketches differ in no more bits than the sets in tokens. What
-  remains is compared exactly, on the sets of the lines concerned.
+  turns one: tokens that two sets share cancel out, so sketches differ in no more bits than the sets in tokens. Postings
+  carry both, so lists alone tell which lines are compared exactly, on the sets of the lines concerned.
 
 Defined results: null text stays null and counts as no line; lines without a word always stay; rows of equal
 doc_id and text count as one document and are cleaned alike; rows of one doc_id and different texts are documents of
@@ -110,21 +110,19 @@ def _possible(one: Column, other: Column) -> Column:
     return by_length & (F.least(p, q) + F.least(n - p, m - q) >= _needed(n, m))
 
 
-def _close() -> Column:
-    """The sketches' bound of the difference of lines 1 and 2."""
-    n, m = F.col("n1"), F.col("n2")
-    return F.bit_count(F.col("s1").bitwiseXOR(F.col("s2"))) <= n + m - 2 * _needed(n, m)
+def _close(one: Column, other: Column, s: Column, z: Column) -> Column:
+    """The sketches' bound of the difference of two lines; of their shapes and sketches."""
+    n, m = _size_of(one), _size_of(other)
+    return F.bit_count(s.bitwiseXOR(z)) <= n + m - 2 * _needed(n, m)
 
 
 def _same_line(end: int) -> Column:
     return F.col(f"doc_id{end}").eqNullSafe(F.col("doc_id")) & (F.col(f"at{end}") == F.col("at"))
 
 
-def _with(df: DataFrame, lines: DataFrame, end: int, *columns: str, grows: bool = False) -> DataFrame:
-    """df with the columns, their names ending in end, that lines has of line doc_id<end>, at<end>. Where the join grows with
-    the input and no line is hot, it is a merge join at every size."""
+def _with(df: DataFrame, lines: DataFrame, end: int, *columns: str) -> DataFrame:
+    """df with the columns, their names ending in end, that lines has of line doc_id<end>, at<end>."""
     own = lines.select("doc_id", "at", *[F.col(c).alias(f"{c}{end}") for c in columns])
-    own = own.hint("merge") if grows else own
     return df.join(own, _same_line(end)).drop("doc_id", "at")
 
 
@@ -170,19 +168,24 @@ def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
 
 def _listed(reps: DataFrame, part: int) -> DataFrame:
     """Of a slice of the postings those that share their pair with another line: token, doc_id, at, shape (copies by their
-    logarithm, size, place of the pair), k (place in the list; high where it is one of several shares), long (whether lines of the list can be left untried),
-    tries: up to three earlier lines."""
+    logarithm, size, place of the pair), s (the sketch), prev (the line's pair before this one), k (place in the list; high where it is one of several shares),
+    long (whether lines of the list can be left untried), tries: of up to three earlier lines those that shapes and sketches let be similar."""
     shape = F.shiftleft(F.floor(F.log2("m")).cast("long"), 56).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 28))
-    postings = reps.select("doc_id", "at", shape.alias("shape"), F.posexplode("prefix").alias("p", "token"))
-    postings = postings.where(F.pmod(F.shiftright("token", 15), F.lit(SLICES)) == part).select("token", "doc_id", "at", F.col("shape").bitwiseOR(F.col("p").cast("long")).alias("shape"))
+    postings = reps.select("doc_id", "at", shape.alias("shape"), "s", "prefix", F.posexplode("prefix").alias("p", "token"))
+    postings = postings.where(F.pmod(F.shiftright("token", 15), F.lit(SLICES)) == part)
+    prev = F.shiftright(F.get("prefix", F.col("p") - 1), 15)
+    postings = postings.select("token", "doc_id", "at", F.col("shape").bitwiseOR(F.col("p").cast("long")).alias("shape"), "s", prev.alias("prev"))
     # most pairs stand in one line: a count alone finds them, and only the others are put in order
     shared = F.col("token").bitwiseAND(_RARITY) > 0
     postings = postings.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where((F.col("size") > 1) | shared)
-    in_order, me = Window.partitionBy("token").orderBy("doc_id", "at"), F.struct("doc_id", "at", "shape")
-    most = F.max(F.struct(F.shiftright("shape", 56).alias("m"), "doc_id", "at", "shape")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    in_order, me = Window.partitionBy("token").orderBy("doc_id", "at"), F.struct("doc_id", "at", "shape", "s")
+    most = F.max(F.struct(F.shiftright("shape", 56).alias("m"), "doc_id", "at", "shape", "s")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     ranked = postings.select("*", F.row_number().over(in_order).alias("k"), F.first(me).over(in_order).alias("head"), most.alias("most"), F.lag(me).over(in_order).alias("prior"))
-    tries = F.when(F.col("k") > 1, F.array_distinct(F.array("head", F.struct("most.doc_id", "most.at", "most.shape"), "prior")))
-    return ranked.select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", F.when(shared, 1 << 30).otherwise(F.col("k")).alias("k"), (shared | (F.col("size") > 3)).alias("long"), tries.alias("tries"))
+    three = F.array_distinct(F.array("head", F.struct("most.doc_id", "most.at", "most.shape", "most.s"), "prior"))
+    able = F.filter(three, lambda e: _possible(F.col("shape"), e["shape"]) & _close(F.col("shape"), e["shape"], F.col("s"), e["s"]))
+    tries = F.when(F.col("k") > 1, F.transform(able, lambda e: F.struct(e["doc_id"].alias("doc_id"), e["at"].alias("at"))))
+    k, long = F.when(shared, 1 << 30).otherwise(F.col("k")), shared | (F.col("size") > 3)
+    return ranked.select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", "s", "prev", k.alias("k"), long.alias("long"), tries.alias("tries"))
 
 
 def _classes(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +205,7 @@ def _classes(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     for part in range(SLICES):
         mine = lambda d, a: F.pmod(F.xxhash64(d, a), F.lit(SLICES)) == part  # noqa: B023, E731
         some = keyed.where("n >= 4").where(mine("doc_id", "at")).select("doc_id", "at", "n", "s", "prefix")
-        of_some = known.where(mine("_doc_id", "_at")).hint("merge")
+        of_some = known.where(mine("_doc_id", "_at")).hint("shuffle_hash")  # the few are hashed, prefixes are not sorted
         some = some.join(of_some, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("at") == F.col("_at")), "left").drop("_doc_id", "_at")
         some = scratch.write(some.withColumn("m", F.coalesce("m", F.lit(1))).where("m > 0"), f"classes-{part}")
         scratch.drop()
@@ -228,35 +231,30 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
         slices.append(scratch.write(_listed(classes, part), f"listed-{part}"))
         scratch.drop()
     listed = reduce(DataFrame.union, slices)
-    # of the lines in any list: sketches, and the pairs that other lines share, in order
-    held = listed.groupBy("doc_id", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("shape").bitwiseAND(_SIZE).alias("p"), "token"))), lambda x: x["token"]).alias("prefix"))  # at most a line's prefix
-    one = classes.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"), "n", "s")
-    lines = held.join(one, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("at") == F.col("_at"))).drop("_doc_id", "_at")
-    lines = scratch.write(lines, "lines")
     scratch.drop("counts", *(f"classes-{part}" for part in range(SLICES)))
     line1, line2 = ([F.col(c).alias(f"{c}{end}") for c in ("doc_id", "at")] for end in (1, 2))
-    pair, sketch = ["doc_id1", "at1", "doc_id2", "at2"], ("n", "s")
-    tried = listed.select(*line1, "shape", F.explode("tries").alias("e")).where(_possible(F.col("shape"), F.col("e.shape")))
-    tried = scratch.write(tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct(), "tried")
+    tried = listed.where(F.size("tries") > 0).select(*line1, F.explode("tries").alias("e"))
+    near = scratch.write(tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct(), "led-near")
     scratch.drop()
-    near = scratch.write(_with(_with(tried, lines, 1, *sketch), lines, 2, *sketch).where(_close()).select(*pair), "led-near")
-    scratch.drop("tried")
     gone = _similar(near, docs, apart, scratch, "led")
     # up to the third of a list all earlier lines have been tried
-    open_ = listed.where("k > 3").select("token", *line1, F.col("shape").alias("shape1"))
+    held = ["shape", "s", "prev"]
+    open_ = listed.where("k > 3").select("token", *line1, *[F.col(c).alias(f"{c}1") for c in held])
     open_ = scratch.write(open_.join(gone, _same_line(1), "left_anti"), "open")
     scratch.drop()
     earlier = F.struct(F.col("doc_id2").alias("d"), F.col("at2").alias("a")) < F.struct(F.col("doc_id1").alias("d"), F.col("at1").alias("a"))
-    # a pair of lines that shares several pairs of words meets in the list of the first alone
-    first = F.when(earlier & _possible(F.col("shape1"), F.col("shape2")) & _close(), F.get(F.array_intersect("prefix1", "prefix2"), F.lit(0)) == F.col("token")).otherwise(False)
+    shapes = F.col("shape1"), F.col("shape2")
+    # where two lines share the pair before too, they have met in its list: of a run of shared pairs only the first counts
+    begins = F.coalesce(F.col("prev1") != F.col("prev2"), F.lit(True))
+    able = earlier & begins & _possible(*shapes) & _close(*shapes, F.col("s1"), F.col("s2"))
     met = []
     for part, some in enumerate(slices):
         mine = open_.where(F.pmod("token", F.lit(SLICES)) == part)
-        others = some.where("long").select("token", *line2, F.col("shape").alias("shape2")).join(mine.select("token").distinct(), "token", "left_semi")
-        late = _with(mine, lines, 1, *sketch, "prefix", grows=True).join(_with(others, lines, 2, *sketch, "prefix", grows=True), "token").where(first).select(*pair)
+        others = some.where("long").select("token", *line2, *[F.col(c).alias(f"{c}2") for c in held])
+        late = mine.join(others.hint("merge"), "token").where(able).select("doc_id1", "at1", "doc_id2", "at2")
         met.append(scratch.write(late.distinct(), f"late-near-{part}"))
         scratch.drop()
-    scratch.drop("lines", *(f"listed-{part}" for part in range(SLICES)), "open")
+    scratch.drop(*(f"listed-{part}" for part in range(SLICES)), "open")
     late = _similar(reduce(DataFrame.union, met), docs, apart, scratch, "late")
     # a near line's equal copies are among `same` already
     found = scratch.write(same.union(gone).union(late).distinct(), "found")
