@@ -12,9 +12,9 @@ in), so both prefixes of lost + 1 pairs hold a shared one. Sets of under four wo
   sorts by rarity.
 - Lines of equal sets collapse first (partial aggregation), and only the earliest of each goes on: a line
   that a third of all documents hold is one row.
-- Postings (pair, line) are read in order of lines, and a line is tried against the first line of the pair's list,
-  the one with most copies so far and the one before it: a large group of near copies is settled with a few
-  comparisons a member. Only lines that this leaves open are joined with all earlier lines of their lists. No list
+- Postings (pair, line) are read in order of lines. Of the first line of a pair's list, the one with most copies so far
+  and the one before it, over all its lists, a line is tried against the closest by its sketch and the earliest: a large
+  group of near copies is settled with two comparisons a member. Only lines that this leaves open are joined with all earlier lines of their lists. No list
   is collected, and none is cut. Lists that can be long, since both their words are frequent, are read in shares;
   the join of open lines is not, so shares change no result.
 - Length and position of the shared pair bound the overlap first. Then does a sketch, 64 bits of which each token
@@ -132,6 +132,7 @@ def _similar(near: DataFrame, docs: DataFrame, apart: bool, scratch: Scratch, na
     ends = F.explode(F.array(*[F.struct(F.col(f"doc_id{end}").alias("doc_id"), F.col(f"at{end}").alias("at")) for end in (1, 2)]))
     h = F.shiftleft(F.shiftright("at", _LINE_BITS), _LINE_BITS)
     by_doc = near.select(ends.alias("x")).select("x.*").groupBy(F.col("doc_id").alias("_doc_id"), h.alias("_h")).agg(F.collect_set("at").alias("_wanted"))  # at most a document's lines
+    by_doc = by_doc.hint("shuffle_hash")  # it grows with the input, so it is not broadcast at any size
     met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_document(F.col("text"), apart) == F.col("_h"))).select("doc_id", F.split(_spaced(F.col("text")), "\n").alias("lines"), "_wanted")
     each = F.transform("_wanted", lambda at: F.struct(at.alias("at"), F.get(F.col("lines"), _number(at)).alias("line")))
     sets = met.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.at", _tokens(F.col("x.line")).alias("tokens"))
@@ -169,7 +170,7 @@ def _keyed(docs: DataFrame, table: DataFrame, apart: bool) -> DataFrame:
 def _listed(reps: DataFrame, part: int) -> DataFrame:
     """Of a slice of the postings those that share their pair with another line: token, doc_id, at, shape (copies by their
     logarithm, size, place of the pair), s (the sketch), prev (the line's pair before this one), k (place in the list; high where it is one of several shares),
-    long (whether lines of the list can be left untried), tries: of up to three earlier lines those that shapes and sketches let be similar."""
+    tries: of up to three earlier lines those that shapes and sketches let be similar, led by the bits in which sketches differ."""
     shape = F.shiftleft(F.floor(F.log2("m")).cast("long"), 56).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 28))
     postings = reps.select("doc_id", "at", shape.alias("shape"), "s", "prefix", F.posexplode("prefix").alias("p", "token"))
     postings = postings.where(F.pmod(F.shiftright("token", 15), F.lit(SLICES)) == part)
@@ -183,9 +184,9 @@ def _listed(reps: DataFrame, part: int) -> DataFrame:
     ranked = postings.select("*", F.row_number().over(in_order).alias("k"), F.first(me).over(in_order).alias("head"), most.alias("most"), F.lag(me).over(in_order).alias("prior"))
     three = F.array_distinct(F.array("head", F.struct("most.doc_id", "most.at", "most.shape", "most.s"), "prior"))
     able = F.filter(three, lambda e: _possible(F.col("shape"), e["shape"]) & _close(F.col("shape"), e["shape"], F.col("s"), e["s"]))
-    tries = F.when(F.col("k") > 1, F.transform(able, lambda e: F.struct(e["doc_id"].alias("doc_id"), e["at"].alias("at"))))
-    k, long = F.when(shared, 1 << 30).otherwise(F.col("k")), shared | (F.col("size") > 3)
-    return ranked.select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", "s", "prev", k.alias("k"), long.alias("long"), tries.alias("tries"))
+    apart = lambda e: F.bit_count(F.col("s").bitwiseXOR(e["s"])).alias("apart")
+    tries = F.when(F.col("k") > 1, F.transform(able, lambda e: F.struct(apart(e), e["doc_id"].alias("doc_id"), e["at"].alias("at"))))
+    return ranked.select(F.shiftright("token", 15).alias("token"), "doc_id", "at", "shape", "s", "prev", F.when(shared, 1 << 30).otherwise(F.col("k")).alias("k"), tries.alias("tries"))
 
 
 def _classes(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -234,12 +235,16 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     scratch.drop("counts", *(f"classes-{part}" for part in range(SLICES)))
     line1, line2 = ([F.col(c).alias(f"{c}{end}") for c in ("doc_id", "at")] for end in (1, 2))
     tried = listed.where(F.size("tries") > 0).select(*line1, F.explode("tries").alias("e"))
-    near = scratch.write(tried.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")).distinct(), "led-near")
+    # of all lists the closest and the earliest line first: they settle most of a large group of near copies
+    earliest = F.struct("e.doc_id", "e.at")
+    best = tried.groupBy("doc_id1", "at1").agg(F.min("e").alias("close"), F.min(earliest).alias("early"))
+    best = best.select("doc_id1", "at1", F.explode(F.array_distinct(F.array(F.struct("close.doc_id", "close.at"), "early"))).alias("e"))
+    near = scratch.write(best.select("doc_id1", "at1", F.col("e.doc_id").alias("doc_id2"), F.col("e.at").alias("at2")), "led-near")
     scratch.drop()
     gone = _similar(near, docs, apart, scratch, "led")
-    # up to the third of a list all earlier lines have been tried
+    # lines that this leaves open meet all earlier ones of their lists
     held = ["shape", "s", "prev"]
-    open_ = listed.where("k > 3").select("token", *line1, *[F.col(c).alias(f"{c}1") for c in held])
+    open_ = listed.where("k > 1").select("token", *line1, *[F.col(c).alias(f"{c}1") for c in held])
     open_ = scratch.write(open_.join(gone, _same_line(1), "left_anti"), "open")
     scratch.drop()
     earlier = F.struct(F.col("doc_id2").alias("d"), F.col("at2").alias("a")) < F.struct(F.col("doc_id1").alias("d"), F.col("at1").alias("a"))
@@ -250,7 +255,7 @@ def _repeated(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
     met = []
     for part, some in enumerate(slices):
         mine = open_.where(F.pmod("token", F.lit(SLICES)) == part)
-        others = some.where("long").select("token", *line2, *[F.col(c).alias(f"{c}2") for c in held])
+        others = some.select("token", *line2, *[F.col(c).alias(f"{c}2") for c in held])
         late = mine.join(others.hint("merge"), "token").where(able).select("doc_id1", "at1", "doc_id2", "at2")
         met.append(scratch.write(late.distinct(), f"late-near-{part}"))
         scratch.drop()
