@@ -31,6 +31,33 @@ def test_grade_of_any_text(spark):
     assert {r.k: round(r.g, 9) for r in rows} == {k: round(grade(t), 9) for k, t in enumerate(texts)}
 
 
+def test_grades_halfway_and_on_a_limit_as_in_sql(spark):
+    """Words, sentences and syllables whose grade in doubles falls on the other side: 15.45 and 19.35 halfway, 16 on the limit;
+    then line ends that count as characters, and a vertical tab inside a word."""
+    import duckdb
+
+    from weftline.plans import catalogue, rows
+
+    def page(n_words, n_sentences, n_syllables):
+        more = n_syllables - n_words  # one word of one syllable each, the first ones longer
+        words = ["ba" + "ba" * (more // n_words + (k < more % n_words)) for k in range(n_words)]
+        return " ".join(w + ("." if k < n_sentences else "") for k, w in enumerate(words))
+
+    counts = [(10, 1, 23), (20, 1, 46), (20, 3, 46), (20, 13, 56), (60, 36, 153), (295, 59, 741), (295, 15, 548), (320, 10, 464), (380, 12, 684)]
+    texts = [page(*c) for c in counts] + ["banana\n\n\n\n", "\u00a0banana \u3000   \n", "banana\x0bbanana banana", "\x0b banana banana. \x0b."]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = dict(duck.execute(catalogue.ORACLES["readability_grade"]).fetchall())
+    pages = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "slug string, content string")
+    got = {int(r.slug): r.g for r in pages.select("slug", (F.round(reading_grade(F.col("content")) * 1e6) / 1e6).alias("g")).collect()}
+    assert got == want
+    issues = f"SELECT doc_id, printf('%.1f', round_even(grade, 1)), CASE WHEN grade > 16 THEN 'error' ELSE 'warn' END FROM ({rows._GRADE.replace('FROM bodies', 'FROM documents')}) WHERE grade > 14"
+    roles = spark.createDataFrame([], "slug string, page_role string")
+    found = checks.readability(pages, roles).select(F.col("slug").cast("long"), "detail", "severity").collect()
+    assert sorted(map(tuple, found)) == sorted(duck.execute(issues).fetchall())
+
+
 def test_once_names_a_value_as_often_as_needed(spark):
     row = spark.createDataFrame([(3, None)], "a int, b int").select(once(F.col("a") + 1, lambda x: x * x + x).alias("x"), once(F.col("b"), lambda x: F.coalesce(x, F.lit(7))).alias("y")).first()
     assert tuple(row) == (20, 7)

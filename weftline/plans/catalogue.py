@@ -302,7 +302,7 @@ def evidence_coverage(spark, d):
 y AS (SELECT doc_id, len(w) AS n_w, n_s, list_sum(list_transform(list_transform(w, lambda x: lower(regexp_replace(x, '[^a-zA-Z]', '', 'g'))), lambda x: CASE WHEN x = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') THEN 1 ELSE 0 END) END)) AS n_y, length(trim(text)) AS n FROM w)
 SELECT doc_id, round(CASE WHEN n < 10 OR n_w = 0 OR n_s = 0 THEN 0 ELSE greatest(0, least(20, 0.39 * n_w / n_s + 11.8 * n_y / n_w - 15.59)) END, 6) AS grade FROM y""")
 def readability_grade(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(T.reading_grade(F.col("text")), 6).alias("grade"))
+    return table(spark, d, "documents").select("doc_id", (F.round(T.reading_grade(F.col("text")) * 1e6) / 1e6).alias("grade"))
 
 
 @query("SELECT doc_id, round(CASE WHEN trim(text) = '' THEN 0 ELSE len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*($|#|//|/\\*|\\*|--|<!--)'))) / len(string_split(text, chr(10))) END, 9) AS ratio FROM documents")
