@@ -127,6 +127,19 @@ def test_snippets_by_tags_makes_pairs_once(spark):
     assert "Aggregate" not in joined  # no pair of members is made distinct afterwards
 
 
+def test_snippets_by_tags_of_large_classes(spark):
+    """Classes of more members than a block holds, a page and a snippet without an id among them: pairs come from loops over blocks,
+    above the last join, so that no join makes a row of each."""
+    wanted = spark.range(700).select(F.when(F.col("id") != 650, F.col("id")).alias("page"), F.array(F.when(F.col("id") < 600, "x").otherwise("y"), F.lit("z")).alias("tags"))
+    held = spark.range(800).select(F.when(F.col("id") != 7, F.col("id")).alias("snippet_id"), F.col("id").alias("ord"), F.array(F.when(F.col("id") < 500, "x").otherwise("y")).alias("tags"))
+    found = links.snippets_by_tags(wanted, held)
+    assert found.columns == ["page", "snippet_id", "ord"]
+    r = found.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("page", F.lit(-1)), "ord").alias("n_distinct"), F.count_if(F.col("page").isNull()).alias("n_null"), F.count_if(F.col("snippet_id").isNull()).alias("n_open"), F.count_if((F.coalesce("page", F.lit(650)) < 600) != (F.col("ord") < 500)).alias("n_wrong")).first()
+    assert tuple(r) == (600 * 500 + 100 * 300, 600 * 500 + 100 * 300, 300, 600, 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join")
+
+
 def test_schema_vote_ties_by_name(spark):
     rows = [("s", 1, "a", "1"), ("s", 2, "a", "x"), ("s", 1, "b", "true")]
     got = {r.key: (r.type, r.required) for r in files.schema_vote(spark.createDataFrame(rows, "section string, doc int, key string, value string")).collect()}

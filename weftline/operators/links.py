@@ -9,8 +9,8 @@ from ..functions.text import resolve_path
 
 MARKDOWN_LINK = r"\[[^\]]*\]\(([^)\s]+)\)"
 
-#: Over how many parts the members of a class are dealt.
-_SALTS = 32
+#: About how many members of a class are one block.
+_BLOCK = 256
 
 
 def relative_links(lines: DataFrame) -> DataFrame:
@@ -79,16 +79,23 @@ def claims_by_ids(ids: DataFrame, claims: DataFrame) -> DataFrame:
 def snippets_by_tags(wanted: DataFrame, snippets: DataFrame) -> DataFrame:
     """wanted (page, tags) with each snippet (snippet_id, tags, ord) that shares a tag: page, snippet_id, ord.
 
-    Pages and snippets with equal sets of tags are a class each. Classes meet by tag and are made distinct; then their
-    members follow. Each page and snippet has one class, so pairs are made once and are neither sorted nor shuffled,
-    however many there are. Members of a class are dealt over salts, since few classes can hold all rows."""
+    Pages and snippets with equal sets of tags are a class each. Classes meet by tag and are made distinct; then blocks of
+    their members do, dealt evenly over the tasks. Each page and snippet lies in one block, so pairs are made once, as two
+    loops over a pair of blocks: they are neither joined nor sorted nor shuffled, however many there are."""
     own = lambda df, tags, *keys: df.select(*keys, F.explode("tags").alias("tag")).where("tag is not null").groupBy(*keys).agg(F.array_sort(F.collect_set("tag")).alias(tags))
     pages, held = own(wanted, "a", "page"), own(snippets, "b", "snippet_id", "ord")
     each = lambda df, tags: df.select(tags).distinct().withColumn("tag", F.explode(tags))
     met = each(pages, "a").join(each(held, "b"), "tag").select("a", "b").distinct()
-    pages = pages.join(met, "a").withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(_SALTS)))
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-    return pages.join(held, ["b", "salt"]).select("page", "snippet_id", "ord")
+    pairs = _blocks(pages, "a", F.struct("page"), "pages").join(met, "a").join(_blocks(held, "b", F.struct("snippet_id", "ord"), "held"), "b")
+    dealt = pairs.select("pages", "held").repartition(4 * wanted.sparkSession.sparkContext.defaultParallelism)  # by number: few bytes in, many rows out
+    return dealt.select("held", F.inline("pages")).select("page", F.inline("held"))
+
+
+def _blocks(rows: DataFrame, tags: str, member: Column, name: str) -> DataFrame:
+    """tags, name: lists of about _BLOCK members each, as many as the rows of equal tags need."""
+    parts = rows.groupBy(tags).agg(F.ceil(F.count("*") / _BLOCK).alias("parts"))
+    dealt = rows.join(parts, tags).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")))
+    return dealt.groupBy(tags, "part").agg(F.collect_list(member).alias(name)).drop("part")
 
 
 def first_matching_snippet(claims: DataFrame, snippets: DataFrame) -> DataFrame:
